@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, language_id, quality_classifier, token_counts
 
 
 def _vocabulary_path() -> str:
@@ -19,6 +19,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, _vocabulary_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ratings = quality_classifier.quality_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.classify(docs, quality_classifier.train(docs, ratings, n_grades=3), tail_from=2)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe_codec.digests(bpe_codec.round_trip(docs, _vocabulary_path()))
@@ -26,6 +36,8 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op5_language_id": op5_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
 }
 
