@@ -7,22 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, language_id, quality_classifier, token_counts
+from . import bpe_codec, language_id, mixing, quality_classifier, quality_rules, sharding, token_counts, url_filters
 
 
 def _vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of a page is that of the document with the page's number."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filters.label_outcomes(labels))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_counts.count_tokens(docs, _vocabulary_path())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ratings = quality_classifier.quality_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,11 +48,19 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.round_trip(docs, _vocabulary_path()))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql()}
