@@ -88,11 +88,12 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     return docs.select(F.col(doc_id).alias("doc_id"), both(F.col(text)).alias("_codec")).select("doc_id", "_codec.*")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the packed ids and of the decoded text."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, columns named in ``more``, and SHA-256 of packed ids and decoded text."""
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        *more,
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

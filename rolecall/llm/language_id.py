@@ -188,6 +188,12 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     return judged.select("doc_id", F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("score"), ((F.col("_l.lang") == NO_LANGUAGE) | (F.col("_l.score") < model.reject_below)).alias("rejected"))
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``identify`` doesn't reject, with their columns."""
+    found = language(F.col(text), model)
+    return docs.withColumn("_found", found).where((F.col("_found.lang") != NO_LANGUAGE) & (F.col("_found.score") >= model.reject_below)).drop("_found")
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -192,6 +192,13 @@ def classify(docs: DataFrame, model: OrdinalModel, tail_from: int, least: float
     return judged.select("doc_id", F.col("_grade.expected").alias("expected_grade"), F.col("_grade.tail").alias("tail_probability"), kept.alias("kept"))
 
 
+def keep_good(docs: DataFrame, model: OrdinalModel, tail_from: int, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with their columns."""
+    if model.thresholds is None:
+        return docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    return docs.where(grades(F.col(text), model, tail_from)["tail"] >= least)
+
+
 def quality_grades(labels: DataFrame) -> DataFrame:
     """doc_id and grade from labels: 0 toxic, 1 low quality, 2 good; the worst of repeated labels."""
     return labels.groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t")).select("doc_id", F.when(F.col("_t") == 1, 0).when(F.col("_q") == 0, 1).when(F.col("_q") == 1, 2).alias("grade"))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, mixing, quality_classifier, quality_rules, sharding, token_counts, url_filters
+from . import bpe_codec, graph_search, language_id, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filters
 
 
 def _vocabulary_path() -> str:
@@ -25,6 +26,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, _vocabulary_path())
 
 
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return graph_search.nearest_neighbours(table, F.col("vec_id") % 100 == 0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -48,6 +54,10 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.round_trip(docs, _vocabulary_path()))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -55,11 +65,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
+    "op3_graph_search": op3_graph_search,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
 }
 
