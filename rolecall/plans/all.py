@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import listing, texts  # noqa: F401
+from . import listing, texts, verdicts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
