@@ -150,8 +150,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def derived(self, name: str) -> DataFrame:
-        sql, tables = _ALL[name]
-        return self.spark.sql(_dialect(sql, "spark"), **{t: self.raw(t) for t in tables})
+        return self.derived_from(name, {t: self.raw(t) for t in _ALL[name][1]})
+
+    def derived_from(self, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+        """The derived table over the given ones, which may be streams."""
+        return self.spark.sql(_dialect(_ALL[name][0], "spark"), **tables)
 
     companies = cached_property(lambda self: self.derived("companies"))
     postings = cached_property(lambda self: self.derived("postings"))

@@ -1 +1 @@
-
+"""Structured Streaming forms of keyed folds."""
