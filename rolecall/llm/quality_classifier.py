@@ -99,13 +99,17 @@ def _sigmoid(x):
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, epochs: int = 6, rate: float = 0.3, l2: float = 1e-3, seen: int = 8, seed: int = 0) -> OrdinalModel:
-    """Fits by AdaGrad over shuffled examples; buckets seen in fewer than ``seen`` texts get no weight."""
+    """Fits by AdaGrad over shuffled examples, and shortens ``rows`` in place; buckets seen in fewer than ``seen`` texts get no weight."""
     weights = np.zeros(REPEAT + 1)
     present = np.unique(grades)
     if len(present) < 2:
         return OrdinalModel(weights.astype(np.float32), None)
-    usual = np.bincount(np.concatenate([b for b, _ in rows]), minlength=REPEAT + 1) >= min(seen, max(1, len(rows) // 20))
-    rows = [(b[usual[b]], v[usual[b]].astype(np.float64)) for b, v in rows]
+    times = np.zeros(REPEAT + 1, dtype=np.int32)
+    for bucket, _ in rows:
+        times[bucket] += 1
+    usual = times >= min(seen, max(1, len(rows) // 20))
+    for j, (bucket, value) in enumerate(rows):
+        rows[j] = bucket[usual[bucket]], value[usual[bucket]]
     share = np.array([(grades <= k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = np.log(share / (1 - share))
     squares, squares_t = np.full(REPEAT + 1, 1e-6), np.ones(n_grades - 1)
@@ -142,12 +146,15 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, most: int = 6000,
         table = WordTable(word_buckets)
         for batch in batches:
             made = list(sparse_features([t.encode() for t in batch["text"]], table))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "bucket": [b for b, _ in made], "value": [v for _, v in made]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "bucket": [b.tobytes() for b, _ in made], "value": [v.tobytes() for _, v in made]})
 
-    got = rated.mapInPandas(features, "doc_id long, grade int, bucket array<int>, value array<float>").toPandas()
+    # packed, so that the driver holds 8 bytes a feature
+    got = rated.mapInPandas(features, "doc_id long, grade int, bucket binary, value binary").toPandas()
     got = got[got["bucket"].map(len) > 0].sort_values("doc_id", kind="stable")
-    rows = [(np.asarray(b, dtype=np.int64), np.asarray(v)) for b, v in zip(got["bucket"], got["value"], strict=True)]
-    return fit(rows, got["grade"].to_numpy(dtype=np.int64), n_grades)
+    rows = [(np.frombuffer(b, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for b, v in zip(got["bucket"], got["value"], strict=True)]
+    grade = got["grade"].to_numpy(dtype=np.int64)
+    del got
+    return fit(rows, grade, n_grades)
 
 
 def grades(text: Column, model: OrdinalModel, tail_from: int) -> Column:
