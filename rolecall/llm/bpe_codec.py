@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .bpe import Vocabulary, vocabulary
 from .common import spans
 
-REMEMBERED, CHARS = 200_000, 4_000_000
+#: Pre-tokens that a worker remembers, and characters worked on and given out at a time.
+REMEMBERED, CHARS = 100_000, 2_000_000
 
 
 class Encoder:
@@ -82,8 +83,10 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         vocab = vocabulary(path)
         encoder = Encoder(vocab)
         for batch in batches:
-            ids = encoder.encode(batch.tolist())
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decode_ids(vocab, x) for x in ids], dtype=object)})
+            texts = batch.tolist()
+            for begin, end in spans([len(t or "") for t in texts], CHARS):
+                ids = encoder.encode(texts[begin:end])
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decode_ids(vocab, x) for x in ids], dtype=object)})
 
     return docs.select(F.col(doc_id).alias("doc_id"), both(F.col(text)).alias("_codec")).select("doc_id", "_codec.*")
 

@@ -17,7 +17,7 @@ from .bpe import vocabulary
 from .common import spans
 
 #: Pre-tokens that a worker remembers, and characters worked on at a time.
-REMEMBERED, CHARS = 400_000, 4_000_000
+REMEMBERED, CHARS = 150_000, 2_000_000
 
 
 def token_count(text: Column, path: str) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 from .common import spans
 
 #: Bytes of text worked on at a time, and words that a worker remembers.
-CHUNK, REMEMBERED = 4_000_000, 500_000
+CHUNK, REMEMBERED = 2_000_000, 150_000
 
 
 class WordTable:
