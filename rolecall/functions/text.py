@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import chain
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from .. import lexicons as lx
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is evaluated once, however often it is used; lambdas of array
+    functions would evaluate an outer expression again for every element."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def _pattern(words: Sequence[str]) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
 
@@ -40,7 +46,7 @@ def slug(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of two letters or more that are no stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in lx.STOP_WORDS])
+    stop = constant(list(lx.STOP_WORDS), "array<string>")
     return F.filter(F.split(comparable(c), " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
@@ -87,7 +93,7 @@ def group(c: Column, pattern: str, n: int) -> Column:
 def job_date(c: Column, as_of: Column) -> Column:
     """Date of a job board's text, or null.  ``as_of`` stands for today; impossible dates are null."""
     s = collapse(c)
-    months = F.create_map(*[F.lit(x) for x in chain.from_iterable(lx.MONTHS.items())])
+    months = constant(lx.MONTHS, "map<string,int>")
 
     def made(y: Column, m: Column, d: Column) -> Column:
         text = F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
@@ -123,10 +129,16 @@ def degree_level(c: Column) -> Column:
     return out.otherwise("UNKNOWN")
 
 
+def constant(value: object, kind: str) -> Column:
+    """A fixed table as one literal: parsed from text once, by constant folding.  Built up from
+    single literals it would be a tree of hundreds of nodes in every plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def lookup(c: Column, table: dict, default: Column) -> Column:
-    """The value of a small fixed table."""
-    pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return F.coalesce(F.try_element_at(pairs, c), default)
+    """The value of a small fixed table of texts or whole numbers."""
+    kind = "int" if all(isinstance(v, int) for v in table.values()) else "string"
+    return F.coalesce(F.try_element_at(constant(table, f"map<string,{kind}>"), c), default)
 
 
 def degree_rank(level: Column) -> Column:
@@ -147,43 +159,49 @@ def skill_label(skill: Column) -> Column:
 
 def _entries(pairs: Sequence[tuple[str, str]]) -> Column:
     """A lexicon as one array constant of (alias, id)."""
-    return F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(i).alias("id")) for a, i in pairs])
+    return constant([{"alias": a, "id": i} for a, i in pairs], "array<struct<alias: string, id: string>>")
 
 
 def _holds(text: Column, alias: Column, whole_word: bool) -> Column:
     """Containment in comparable text; aliases of one or two letters must be whole words."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    word = F.contains(padded, F.concat(F.lit(" "), alias, F.lit(" ")))
+    word = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
     return word if whole_word else F.when(F.length(alias) <= 2, word).otherwise(F.contains(text, alias))
 
 
 def skills_in(c: Column, whole_word: bool = False) -> Column:
     """Skills whose alias occurs, in order of alias length; an empty array for null."""
-    text = F.coalesce(comparable(c), F.lit(""))
-    hits = F.filter(_entries(lx.skill_aliases()), lambda e: _holds(text, e["alias"], whole_word))
-    return F.array_distinct(F.transform(hits, lambda e: e["id"]))
+
+    def found(text: Column) -> Column:
+        hits = F.filter(_entries(lx.skill_aliases()), lambda e: _holds(text, e["alias"], whole_word))
+        return F.array_distinct(F.transform(hits, lambda e: e["id"]))
+
+    return let(F.coalesce(comparable(c), F.lit("")), found)
 
 
 def canonical_skill(c: Column, whole_word: bool = False) -> Column:
     """The first skill whose alias occurs; null if none does."""
-    text = comparable(c)
-    return F.get(F.filter(_entries(lx.skill_aliases()), lambda e: _holds(text, e["alias"], whole_word)), 0)["id"]
+    return let(comparable(c), lambda text: F.get(F.filter(_entries(lx.skill_aliases()), lambda e: _holds(text, e["alias"], whole_word)), 0)["id"])
 
 
 def canonical_skills(xs: Column) -> Column:
     """Canonical ids of a list, unknown ones verbatim, the first of those that compare equal."""
     kept = F.filter(F.transform(xs, F.trim), lambda t: t != "")
     ids = F.transform(kept, lambda t: F.coalesce(canonical_skill(t), t))
-    keyed = F.transform(ids, lambda x: F.struct(comparable(x).alias("key"), x.alias("id")))
-    first = F.filter(keyed, lambda e, i: F.array_position(F.transform(keyed, lambda k: k["key"]), e["key"]) == i + 1)
-    return F.transform(first, lambda e: e["id"])
+
+
+    def first_of_key(ids: Column) -> Column:
+        def kept(keys: Column) -> Column:
+            return F.filter(ids, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+
+        return let(F.transform(ids, comparable), kept)
+
+    return let(ids, first_of_key)
 
 
 def field_of(c: Column) -> Column:
     """The field of study: longest alias that occurs, branches before generic families."""
-    text = F.coalesce(comparable(c), F.lit(""))
-    hit = F.get(F.filter(_entries(lx.field_aliases()), lambda e: F.contains(text, e["alias"])), 0)["id"]
-    return F.coalesce(hit, F.lit(lx.UNKNOWN_FIELD))
+    hit = lambda text: F.get(F.filter(_entries(lx.field_aliases()), lambda e: F.contains(text, e["alias"])), 0)["id"]
+    return F.coalesce(let(F.coalesce(comparable(c), F.lit("")), hit), F.lit(lx.UNKNOWN_FIELD))
 
 
 def work_arrangement(location: Column) -> Column:

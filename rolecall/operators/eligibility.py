@@ -56,7 +56,7 @@ def degree_check() -> Column:
 
 def _relation(mine: Column, asked: Column) -> Column:
     """struct<strength, score, why> of the profile's field and one of the posting's."""
-    table = F.create_map(*[x for u, j, s, w in lx.RELATIONS for x in (F.lit(f"{u}>{j}"), F.struct(F.lit(s).alias("strength"), F.lit(lx.RELATION_SCORES[s]).alias("score"), F.lit(w).alias("why")))])
+    table = tx.constant({f"{u}>{j}": {"strength": s, "score": lx.RELATION_SCORES[s], "why": w} for u, j, s, w in lx.RELATIONS}, "map<string,struct<strength: string, score: int, why: string>>")
     made = lambda s, w: F.struct(F.lit(s).alias("strength"), F.lit(lx.RELATION_SCORES[s]).alias("score"), w.alias("why"))
     return (
         F.when(mine == lx.UNKNOWN_FIELD, made("NONE", F.lit("Your branch could not be mapped to a known field.")))

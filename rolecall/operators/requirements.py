@@ -35,20 +35,23 @@ def _fields_of(text: Column) -> Column:
     """array<struct<field, sentence>> of a text's sentences that speak of a degree, first of each field."""
     said = F.filter(tx.statements(text, 0), lambda s: tx.comparable(s).rlike(lx.FIELD_WORDS))
     each = F.flatten(F.transform(said, lambda s: F.transform(F.split(s, lx.FIELD_SPLIT), lambda p: F.struct(tx.field_of(p).alias("field"), s.alias("sentence")))))
-    known = F.filter(each, lambda e: e["field"] != lx.UNKNOWN_FIELD)
-    names = F.transform(known, lambda e: e["field"])
-    return F.filter(known, lambda e, i: F.array_position(names, e["field"]) == i + 1)
+
+    def first_of_field(known: Column) -> Column:
+        return tx.let(F.transform(known, lambda e: e["field"]), lambda names: F.filter(known, lambda e, i: F.array_position(names, e["field"]) == i + 1))
+
+    return tx.let(F.filter(each, lambda e: e["field"] != lx.UNKNOWN_FIELD), first_of_field)
 
 
 def fields(edu: Column, description: Column, title: Column) -> Column:
     """struct<found, origin, accepts_equivalent>; found is array<struct<field, sentence>>."""
-    a, b, c = (_fields_of(F.coalesce(x, F.lit(""))) for x in (edu, description, title))
     equivalent = F.lit(False)
     for x in (edu, description, title):
         equivalent = equivalent | F.coalesce(x.rlike(lx.EQUIVALENT), F.lit(False))
-    found = F.when(F.size(a) > 0, a).when(F.size(b) > 0, b).otherwise(c)
-    origin = F.when(F.size(a) > 0, "EXPLICIT").when((F.size(b) > 0) | (F.size(c) > 0), "INFERRED").otherwise("MISSING")
-    return F.struct(found.alias("found"), origin.alias("origin"), equivalent.alias("accepts_equivalent"))
+    of = lambda x: _fields_of(F.coalesce(x, F.lit("")))
+    made = lambda found, origin: F.struct(found.alias("found"), origin.alias("origin"), equivalent.alias("accepts_equivalent"))
+    prose = lambda found: made(found, F.when(F.size(found) > 0, "INFERRED").otherwise("MISSING"))
+    later = tx.let(of(description), lambda b: F.when(F.size(b) > 0, prose(b)).otherwise(tx.let(of(title), prose)))
+    return tx.let(of(edu), lambda a: F.when(F.size(a) > 0, made(a, F.lit("EXPLICIT"))).otherwise(later))
 
 
 def mandatory_nearby(corpus: Column, pattern: str) -> Column:

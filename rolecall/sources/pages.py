@@ -71,29 +71,25 @@ def _at(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _let(v: Column, make) -> Column:
-    """``make`` of a value that is evaluated once, however often it is used."""
-    return F.get(F.transform(F.array(v), make), 0)
-
-
 def _open(v: Column) -> Column:
     """The first of an array; the @value, @id or value of an object."""
-    first = _let(v, lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), _at(x, "$[0]")).otherwise(x))
+    first = tx.let(v, lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), _at(x, "$[0]")).otherwise(x))
     inner = lambda x: F.coalesce(_at(x, "$['@value']"), _at(x, "$['@id']"), _at(x, "$.value"))
-    return _let(first, lambda x: F.when(F.startswith(_kind(x), F.lit("OBJECT")), inner(x)).otherwise(x))
+    return tx.let(first, lambda x: F.when(F.startswith(_kind(x), F.lit("OBJECT")), inner(x)).otherwise(x))
 
 
 def _scalar(v: Column) -> Column:
     """Text of a value, unwrapped twice; null for none, blank or a nested object."""
     nested = lambda x: F.startswith(_kind(x), F.lit("OBJECT")) | F.startswith(_kind(x), F.lit("ARRAY"))
-    return _let(_open(_open(v)), lambda x: F.nullif(tx.collapse(F.when(~nested(x), _at(x, "$", "string"))), F.lit("")))
+    return tx.let(_open(_open(v)), lambda x: F.nullif(tx.collapse(F.when(~nested(x), _at(x, "$", "string"))), F.lit("")))
 
 
 def json_ld_nodes(pages: DataFrame, depth: int = 8) -> DataFrame:
     """page_id, url, node: every JobPosting object of a page's ld+json scripts, arrays and @graph
     flattened to ``depth``; trailing commas are repaired, other bad JSON is left out."""
     script = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-    bodies = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(script), 1)).alias("_body"))
+    likely = pages.where(F.contains("html", F.lit("JobPosting")))
+    bodies = likely.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(script), 1)).alias("_body"))
     parsed = F.coalesce(F.try_parse_json("_body"), F.try_parse_json(F.regexp_replace("_body", r",\s*([}\]])", "$1")))
     rows = bodies.withColumn("_level", F.filter(F.array(parsed), lambda v: v.isNotNull())).withColumn("_all", F.col("_level"))
     for _ in range(depth):
