@@ -34,10 +34,14 @@ class RangePlan:
     rounds: int = 4
 
 
-def _weighted_sample(keys: DataFrame, weight: Column, most: int, seed: int) -> list[Key]:
-    """At most ``most`` keys without replacement, likelier by weight (exponential ranks)."""
+def _weighted_sample(keys: DataFrame, weight: Column, total: float, most: int, seed: int) -> list[Key]:
+    """At most ``most`` keys without replacement, likelier by weight (exponential ranks).
+
+    ``total`` is the sum of the weights: about four times ``most`` ranks lie below the bound, so
+    what all tasks together send stays near that, however many they are.
+    """
     rank = -F.log(unit_hash(F.struct("text_hash", "id_hash"), seed)) / weight
-    rows = keys.select("text_hash", "id_hash", rank.alias("_rank")).orderBy("_rank", "text_hash", "id_hash").limit(most).collect()
+    rows = keys.select("text_hash", "id_hash", rank.alias("_rank")).where(F.col("_rank") <= 4 * most / total).orderBy("_rank", "text_hash", "id_hash").limit(most).collect()
     return [(r["text_hash"], r["id_hash"]) for r in rows]
 
 
@@ -68,7 +72,7 @@ def _cut(keys: DataFrame, plan: RangePlan) -> tuple[list[Key], list[tuple[int, i
         return [], []
     # half the weight by bytes and half by rows, so that neither many tiny nor a few huge texts fill a range
     weight = F.col("size") / F.lit(float(size)) + F.lit(1.0 / n)
-    cuts = _quantiles(_weighted_sample(keys, weight, plan.sample, 1), min(plan.ranges, n))
+    cuts = _quantiles(_weighted_sample(keys, weight, 2.0, plan.sample, 1), min(plan.ranges, n))
     for round_ in range(plan.rounds + 1):
         stats = keys.groupBy(_range_number(cuts).alias("range")).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
         parts = max(1, len(cuts))
@@ -77,7 +81,8 @@ def _cut(keys: DataFrame, plan: RangePlan) -> tuple[list[Key], list[tuple[int, i
         if not overfull or round_ == plan.rounds:
             break
         inside = keys.withColumn("_range", _range_number(cuts)).where(F.col("_range").isin(overfull))
-        extra = _weighted_sample(inside, weight, plan.sample, 2 + round_)
+        held = sum(r["n"] / n + r["b"] / size for r in stats if r["range"] in set(overfull))
+        extra = _weighted_sample(inside, weight, held, plan.sample, 2 + round_)
         by_range: dict[int, list[Key]] = {}
         for key in extra:
             by_range.setdefault(bisect.bisect_right(cuts, key), []).append(key)
