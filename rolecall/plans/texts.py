@@ -204,14 +204,15 @@ def relation_table(t: Tables) -> DataFrame:
 
 _REL = "rel AS (SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{j}', '{s}', {lx.RELATION_SCORES[s]})" for u, j, s, _ in lx.RELATIONS) + ") v(user_field, job_field, strength, score))"
 _USERS = "users AS (SELECT user_id, CASE WHEN CAST(user_id AS INT) % 2 = 0 THEN 'CHEMICAL_ENGINEERING' ELSE 'CHEMISTRY' END AS user_field FROM profiles WHERE CAST(user_id AS INT) < 4)"
+_ALL_USERS = "users AS (SELECT user_id, CASE WHEN CAST(user_id AS INT) % 2 = 0 THEN 'CHEMICAL_ENGINEERING' ELSE 'CHEMISTRY' END AS user_field FROM profiles)"
 _PAIRS = f"""pairs AS (SELECT r.job_id, u.user_id, r.f AS job_field, r.pos, CASE WHEN u.user_field = r.f THEN 'EQUIVALENT' ELSE coalesce(rel.strength, 'NONE') END AS strength,
  CASE WHEN u.user_field = r.f THEN 100 ELSE coalesce(rel.score, 0) END AS score FROM (SELECT job_id, unnest(string_split(field_list, ';')) AS f, generate_subscripts(string_split(field_list, ';'), 1) AS pos FROM requirements WHERE field_list <> '') r
  JOIN (SELECT p.id, u.* FROM postings p JOIN users u ON u.user_id = p.user_id) u ON u.id = r.job_id LEFT JOIN rel ON rel.user_field = u.user_field AND rel.job_field = r.f)"""
 
 
-def _pairs(t: Tables) -> DataFrame:
+def _pairs(t: Tables, profiles: DataFrame) -> DataFrame:
     n = F.col("user_id").cast("int")
-    users = t.profiles.where(n < 4).select("user_id", F.when(n % 2 == 0, "CHEMICAL_ENGINEERING").otherwise("CHEMISTRY").alias("user_field"))
+    users = profiles.select("user_id", F.when(n % 2 == 0, "CHEMICAL_ENGINEERING").otherwise("CHEMISTRY").alias("user_field"))
     asked = t.postings.select(F.col("id").alias("job_id"), "user_id").join(users, "user_id")
     fields = t.requirements.where("field_list <> ''").select("job_id", F.posexplode(F.split("field_list", ";")).alias("pos", "job_field"))
     pairs = fields.join(asked, "job_id").join(relation_table(t), ["user_field", "job_field"], "left")
@@ -219,12 +220,35 @@ def _pairs(t: Tables) -> DataFrame:
     return pairs.select("job_id", "user_id", "job_field", (F.col("pos") + 1).alias("pos"), F.when(same, "EQUIVALENT").otherwise(F.coalesce("strength", F.lit("NONE"))).alias("strength"), F.when(same, 100).otherwise(F.coalesce("score", F.lit(0))).alias("score"))
 
 
-@query("c11_field_relation", "SELECT job_id, user_id, job_field, strength, score FROM pairs", _REL, _USERS, _PAIRS)
+def _first_users(t: Tables) -> DataFrame:
+    return t.profiles.where(F.col("user_id").cast("int") < 4)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    best = pairs.groupBy("job_id", "user_id").agg(F.max_by(F.struct("job_field", "score"), F.struct("score", -F.col("pos"))).alias("best"))
+    return best.select("job_id", "user_id", "best.job_field", "best.score")
+
+
+_RELATIONS = "SELECT job_id, user_id, job_field, strength, score FROM pairs"
+_BEST = "SELECT job_id, user_id, job_field, score FROM (SELECT *, row_number() OVER (PARTITION BY job_id, user_id ORDER BY score DESC, pos) AS k FROM pairs) WHERE k = 1"
+
+
+# The SQL of c11 and c12 holds the users below 4 only; the forms on all users have their own.
+@query("c11_field_relation", _RELATIONS, _REL, _USERS, _PAIRS)
 def _(t):
-    return _pairs(t).select("job_id", "user_id", "job_field", "strength", "score")
+    return _pairs(t, _first_users(t)).select("job_id", "user_id", "job_field", "strength", "score")
 
 
-@query("c12_best_relation", "SELECT job_id, user_id, job_field, score FROM (SELECT *, row_number() OVER (PARTITION BY job_id, user_id ORDER BY score DESC, pos) AS k FROM pairs) WHERE k = 1", _REL, _USERS, _PAIRS)
+@query("c11_field_relation_all", _RELATIONS, _REL, _ALL_USERS, _PAIRS)
 def _(t):
-    best = _pairs(t).groupBy("job_id", "user_id").agg(F.max_by(F.struct("job_field", "score"), F.struct("score", -F.col("pos"))).alias("best"))
-    return best.select("job_id", "user_id", "best.job_field", "best.score")
+    return _pairs(t, t.profiles).select("job_id", "user_id", "job_field", "strength", "score")
+
+
+@query("c12_best_relation", _BEST, _REL, _USERS, _PAIRS)
+def _(t):
+    return _best(_pairs(t, _first_users(t)))
+
+
+@query("c12_best_relation_all", _BEST, _REL, _ALL_USERS, _PAIRS)
+def _(t):
+    return _best(_pairs(t, t.profiles))
