@@ -149,6 +149,12 @@ def _(t):
     return lc.already_tracked(t.postings.where(F.col("id").cast("long") % 9 == 2), t.postings).select("id")
 
 
+# The SQL of c9 asks for one posting in nine; the form on all postings has its own.
+@query("c9_already_tracked_all", f"SELECT x.id FROM keyed x WHERE NOT EXISTS (SELECT 1 FROM keyed y WHERE y.id <> x.id AND x.company_id = y.company_id AND (x.ext = y.ext OR (x.nm = y.nm AND x.place = y.place AND x.place <> '') OR ({_T3})))", _KEYED)
+def _(t):
+    return lc.already_tracked(t.postings, t.postings).select("id")
+
+
 # --- upserts and histories ------------------------------------------------------------------------
 
 

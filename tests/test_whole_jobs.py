@@ -2,6 +2,7 @@
 
 import pytest
 
+from rolecall.operators import lifecycle as lc
 from rolecall.plans.all import QUERIES
 from rolecall.plans.fixtures import Tables
 
@@ -15,3 +16,32 @@ def test_every_posting_with_fields_gets_a_relation(spark, name):
     got = QUERIES[name](spark, DATA)
     assert {r.job_id for r in got.select("job_id").collect()} == {r.job_id for r in asked.select("job_id").collect()}
     assert {r.user_id for r in got.select("user_id").distinct().collect()} == {r.user_id for r in t.postings.select("user_id").distinct().collect()}
+
+
+def test_every_posting_is_asked_whether_it_is_tracked(spark):
+    got = {int(r.id) % 9 for r in QUERIES["c9_already_tracked_all"](spark, DATA).collect()}
+    assert got == set(range(9))
+
+
+def test_already_tracked_equals_brute_force(spark):
+    titles = ["Process Engineer", "Engineer, Process", "the process engineer", "Data Analyst", "Senior Process Safety Design Engineer", "Senior Process Safety Design Engineer II"]
+    rows = [(str(i), f"c{i % 3}", f"R-{i % 7}" if i % 4 == 0 else None, titles[i * 7 % 6], ["Pune", "", "Pune, India", "Mumbai"][i * 5 % 4], i % 2 == 0, i * 11 % 60) for i in range(60)]
+    jobs = spark.createDataFrame(rows, "id string, company_id string, external_job_id string, title string, location string, is_official boolean, n int").selectExpr("* except (n)", "if(n % 13 = 0, null, date_add(date'1998-01-01', n)) as posted_at")
+
+    def words(title):
+        return {w for w in title.lower().replace(",", " ").split() if w != "the"}
+
+    def clash(x, y):
+        if x[0] == y[0] or x[1] != y[1]:
+            return False
+        place = [r[4].lower().replace(", india", "") for r in (x, y)]
+        name = [" ".join(r[3].lower().replace(",", " ").split()) for r in (x, y)]
+        if (x[2] is not None and x[2] == y[2]) or (name[0] == name[1] and place[0] == place[1] != ""):
+            return True
+        day = [None if r[6] % 13 == 0 else r[6] for r in (x, y)]
+        alike = len(words(x[3]) & words(y[3])) / len(words(x[3]) | words(y[3]))
+        return place[0] == place[1] != "" and (x[5] or y[5]) and (None in day or abs(day[0] - day[1]) <= 21) and alike >= 0.82
+
+    want = {x[0] for x in rows if not any(clash(x, y) for y in rows)}
+    assert 0 < len(want) < 60
+    assert {r.id for r in lc.already_tracked(jobs, jobs).select("id").collect()} == want
