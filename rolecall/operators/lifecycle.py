@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import text as tx
+from ..storage import written
 
 
 def fingerprint() -> Column:
@@ -290,18 +291,59 @@ def merge_answers(requirements: DataFrame, answers: DataFrame) -> DataFrame:
     }).drop("_skills", "_level", "_auth")
 
 
+def _least_labels(edges: DataFrame) -> DataFrame:
+    """page_id, url, root of each url on an edge (page_id, a, b): the least url of its component.
+
+    Each round a url takes the least label next to it, then that label's own label, so chains
+    shrink fast.  Labels only fall, so the rounds end by themselves, and only when none moves.
+    """
+    both = written(edges.unionAll(edges.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "clash-edges")
+    labels = written(both.groupBy("page_id", F.col("a").alias("url")).agg(F.least("url", F.min("b")).alias("root")), "clash-labels")
+    while True:
+        there = labels.select("page_id", F.col("url").alias("b"), F.col("root").alias("near"))
+        least = both.join(there, ["page_id", "b"]).groupBy("page_id", F.col("a").alias("url")).agg(F.min("near").alias("near"))
+        step = labels.join(least, ["page_id", "url"]).withColumn("next", F.least("root", "near"))
+        jump = there.select("page_id", F.col("b").alias("next"), F.col("near").alias("far"))
+        moved = step.join(jump, ["page_id", "next"]).withColumn("to", F.least("next", "far"))
+        rounds = written(moved.select("page_id", "url", F.col("to").alias("root"), (F.col("to") < F.col("root")).alias("moved")), "clash-labels")
+        labels = rounds.drop("moved")
+        if rounds.where("moved").isEmpty():
+            return labels
+
+
+def clash_roots(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """page_id, url, root: the least url of all that clash with it, directly or through others.
+
+    Two rows of a page clash if they have one url, or one location and titles of a similarity over
+    ``threshold``.  Equal token sets are a star to their least url; other sets join on the rare
+    tokens that two titles this similar must share.  Urls that clash with none are left out.
+    """
+    words = F.array_sort(F.array_distinct(tx.tokens(F.coalesce("title", F.lit("")))))
+    keyed = rows.select("page_id", "url", F.coalesce("location", F.lit("")).alias("place"), words.alias("words")).where(F.size("words") > 0)
+    sets = keyed.groupBy("page_id", "place", "words").agg(F.min("url").alias("head"))
+    stars = keyed.join(sets, ["page_id", "place", "words"]).where("url <> head").select("page_id", F.col("head").alias("a"), F.col("url").alias("b"))
+    # two sets that differ in a token are similar over t only if they share more than t / (1 - t)
+    long = sets.where(F.size("words") > threshold / (1 - threshold) - 1e-6).withColumn("id", F.struct("page_id", "place", "words"))
+    counts = long.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rare = _prefix(long, counts, threshold)
+    x, y = rare.alias("x"), rare.alias("y")
+    block = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("page_id", "place", "token")]
+    alike = tx.token_similarity(F.col("x.words"), F.col("y.words")) > threshold
+    near = x.join(y, block[0] & block[1] & block[2] & (F.col("x.words") < F.col("y.words")) & alike).where("x.head <> y.head")
+    pairs = near.select("x.page_id", F.col("x.head").alias("a"), F.col("y.head").alias("b"))
+    return _least_labels(stars.unionAll(pairs))
+
+
 def merge_extracted(rows: DataFrame) -> DataFrame:
     """One row per posting of a page's several extractors.
 
-    Rows clash by url, or by title (comparable form) and location; the clash is followed from url
-    group to title group by the least url.  The structured extraction wins, then the longer
-    description; gaps of id and dates are filled.
+    Rows clash by url, or by similar titles at one location (``clash_roots``), and all that hang
+    together are one posting, named by its least url.  The structured extraction wins, then the
+    longer description; gaps of id and dates are filled.
     """
-    urls = rows.groupBy("page_id", tx.comparable(F.col("title")).alias("_name"), F.coalesce("location", F.lit("")).alias("_place")).agg(F.min("url").alias("_root"))
-    keyed = rows.withColumns({"_name": tx.comparable(F.col("title")), "_place": F.coalesce("location", F.lit(""))}).join(urls, ["page_id", "_name", "_place"])
-    roots = keyed.groupBy("page_id", "url").agg(F.min("_root").alias("root"))
+    roots = clash_roots(rows)
     order = F.struct((F.col("method") != "JSON_LD").alias("prose"), (-F.length(F.coalesce("description", F.lit("")))).alias("size"), "url", "title")
-    ranked = keyed.join(roots, ["page_id", "url"]).withColumn("_order", order)
+    ranked = rows.join(roots, ["page_id", "url"], "left").withColumns({"root": F.coalesce("root", "url"), "_order": order})
     best = lambda c: F.min(F.struct("_order", F.col(c).alias("v")))["v"].alias(c)
     fill = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("_order", F.col(c).alias("v"))))["v"].alias(c)
     return ranked.groupBy("page_id", "root").agg(*[best(c) for c in ("url", "title", "location", "description", "method")], *[fill(c) for c in ("external_job_id", "posted_at", "closing_at")], F.count("*").alias("merged"))

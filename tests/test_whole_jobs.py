@@ -1,7 +1,11 @@
 """Queries that must read every row of their tables, and clustering against brute force."""
 
+import random
+from collections import Counter
+
 import pytest
 
+from rolecall import lexicons as lx
 from rolecall.operators import lifecycle as lc
 from rolecall.plans.all import QUERIES
 from rolecall.plans.fixtures import Tables
@@ -45,3 +49,51 @@ def test_already_tracked_equals_brute_force(spark):
     want = {x[0] for x in rows if not any(clash(x, y) for y in rows)}
     assert 0 < len(want) < 60
     assert {r.id for r in lc.already_tracked(jobs, jobs).select("id").collect()} == want
+
+
+LONG = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
+TITLES = ["Graduate Process Engineer", "Process Engineer, Graduate", "The Graduate Process Engineer (Role)", "Process Engineer", "Data Analyst", "analyst data", "The Job", "of the job", "", LONG, f"{LONG} kilo", f"{LONG} kilo lima", " ".join(LONG.split()[:9]), LONG.replace("alpha", "zulu")]
+ROW = "page_id string, url string, title string, location string, description string, method string, external_job_id string, posted_at string, closing_at string"
+
+
+def clusters_by_brute_force(rows):
+    def words(title):
+        return {w for w in "".join(c if c.isalnum() else " " for c in title.lower()).split() if len(w) > 1 and w not in lx.STOP_WORDS}
+
+    def clash(x, y):
+        a, b = words(x[2]), words(y[2])
+        return x[0] == y[0] and (x[1] == y[1] or (x[3] == y[3] and len(a & b) / max(len(a | b), 1) > 0.9))
+
+    root = [r[1] for r in rows]
+    pairs = [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if clash(x, y)]
+    while True:
+        before = list(root)
+        for i, j in pairs:
+            root[i] = min(root[i], root[j])
+        if root == before:
+            return Counter((r[0], root[i]) for i, r in enumerate(rows))
+
+
+def merged(spark, rows):
+    return {(r.page_id, r.root): r.merged for r in lc.merge_extracted(spark.createDataFrame(rows, ROW)).collect()}
+
+
+def extracted(page, url, title, location="Pune"):
+    return (page, url, title, location, "d", "JSON_LD", None, None, None)
+
+
+def test_merge_follows_reordered_titles_and_chains(spark):
+    same = [extracted("p", "u1", TITLES[0]), extracted("p", "u2", TITLES[1]), extracted("p", "u3", TITLES[2])]
+    assert merged(spark, same) == {("p", "u1"): 3}
+    chain = [extracted("p", "a", "Data Analyst"), extracted("p", "b", "Data Analyst"), extracted("p", "b", "Process Engineer"), extracted("p", "c", "Process Engineer")]
+    assert merged(spark, chain) == {("p", "a"): 4}
+    path = [extracted("q", f"u{i:02d}", f"title number{i + d}") for i in range(40) for d in (0, 1)]
+    assert merged(spark, path) == {("q", "u00"): 80}
+    apart = [extracted("p", "u1", "Data Analyst"), extracted("p", "u2", "Data Analyst", "Mumbai"), extracted("q", "u1", "Data Analyst"), extracted("p", "u3", "The Job"), extracted("p", "u4", "The Job")]
+    assert merged(spark, apart) == {("p", "u1"): 1, ("p", "u2"): 1, ("q", "u1"): 1, ("p", "u3"): 1, ("p", "u4"): 1}
+
+
+def test_merge_clusters_equal_brute_force(spark):
+    r = random.Random(7)
+    rows = [extracted(f"p{r.randrange(40)}", f"u{r.randrange(30):02d}", r.choice(TITLES), r.choice(["Pune", "Mumbai", "Delhi"])) for _ in range(400)]
+    assert merged(spark, rows) == clusters_by_brute_force(rows)
