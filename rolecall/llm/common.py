@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, DataType, StructType, VariantType
 
 #: ASCII white space that parts words: space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what ``written`` left in the shared folder for this application.
+
+    Call it when the results that were built from these tables have been stored or read: a
+    DataFrame that still reads them fails afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until none is a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return isinstance(kind, AtomicType) and not isinstance(kind, VariantType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, but for those that can't be hashed (maps, variants)."""
+    return F.xxhash64(*[F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema if _hashable(f.dataType)])
+
+
+def text_hash(text: Column) -> Column:
+    """A hash of a text; null and empty texts differ."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def unit_hash(column: Column, seed: int) -> Column:
     """A seeded pseudo-random double in (0, 1) for each value of ``column``."""
     bits = F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11)

@@ -2,9 +2,9 @@
 
 Distinct vectors are dealt to shards by hash.  Each shard is one graph, built in batches: greedy
 beam searches over the graph so far propose neighbours, relaxed distance pruning keeps diverse
-edges, and reverse edges are pruned alike.  Every query is searched in every shard by beam search,
-queries coming in blocks; the shards' nearest are ranked again by exact distance in double
-precision.
+edges, and reverse edges are pruned alike.  Every query is searched in every shard of its length
+by beam search; a task reads a shard once and the queries stream past it.  All distances are those
+of the original vectors in double precision, scaled by a power of two so that none overflows.
 """
 
 from __future__ import annotations
@@ -23,17 +23,34 @@ from .common import written
 @dataclass(frozen=True)
 class GraphParams:
     """``degree`` edges a node; beams of ``build_beam`` and ``search_beam``; pruning relaxed by
-    ``alpha``; about ``shard_rows`` vectors a shard and ``block_rows`` queries a block."""
+    ``alpha``.  A shard holds about ``shard_root`` times the square root of the number of vectors
+    of its length, at least ``shard_rows`` and at most ``shard_bytes`` of components, so that work
+    and shuffle grow more slowly than the number of shards times that of queries would with a fixed size.
+    Up to ``block_rows`` queries are one task's for a shard."""
 
     degree: int = 32
     build_beam: int = 48
     search_beam: int = 128
     alpha: float = 1.2
     shard_rows: int = 4000
-    block_rows: int = 4096
+    shard_root: float = 32.0
+    shard_bytes: int = 256_000_000
+    block_rows: int = 65_536
     batch: int = 256
     entries: int = 16
 
+    def shards(self, n: Column, dim: Column) -> Column:
+        most = F.greatest(F.lit(1.0), F.lit(float(self.shard_bytes)) / (8 * dim))
+        rows = F.least(most, F.greatest(F.lit(float(self.shard_rows)), F.lit(self.shard_root) * F.sqrt(n)))
+        return F.ceil(n / rows).cast("int")
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, int]:
+    """Vectors in double precision with components of at most 1, and the power of two taken out."""
+    vectors = np.asarray(vectors, dtype=np.float64)
+    exponent = int(np.frexp(np.abs(vectors).max())[1]) if vectors.size else 0
+    return np.ldexp(vectors, -exponent), exponent
+
 
 def _distances(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Squared distances [q, m] of each query to its own list of nodes; infinite where the id is -1."""
@@ -48,7 +65,7 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, que
     squared distances, and the ids of all nodes that were expanded."""
     n = len(queries)
     ids = np.full((n, beam), -1, dtype=np.int32)
-    dist = np.full((n, beam), np.inf, dtype=np.float32)
+    dist = np.full((n, beam), np.inf)
     first = np.tile(entries[:beam].astype(np.int32), (n, 1))
     d = _distances(vectors, first, queries)
     order = np.argsort(d, axis=1, kind="stable")
@@ -77,7 +94,7 @@ def beam_search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, que
         all_dist = np.concatenate([dist[live], d], axis=1)
         all_seen = np.concatenate([seen[live], np.zeros(near.shape, dtype=bool)], axis=1)
         order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
-        ids[live] = np.where(np.isinf(np.take_along_axis(all_dist, order, 1)), -1, np.take_along_axis(all_ids, order, 1))
+        ids[live] = np.take_along_axis(all_ids, order, 1)
         dist[live] = np.take_along_axis(all_dist, order, 1)
         seen[live] = np.take_along_axis(all_seen, order, 1)
     return ids, dist, np.stack(expanded, axis=1) if expanded else np.zeros((n, 0), dtype=np.int32)
@@ -91,7 +108,7 @@ def robust_prune(vectors: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degre
     dist = _distances(vectors, cand, vectors[nodes])
     order = np.argsort(dist, axis=1, kind="stable")
     cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
-    points = vectors[cand]
+    points = vectors[cand] - vectors[nodes][:, None, :]
     norm = np.einsum("qmd,qmd->qm", points, points)
     between = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(points, points.transpose(0, 2, 1))
     out = np.full((len(nodes), degree), -1, dtype=np.int32)
@@ -128,7 +145,36 @@ def build_graph(vectors: np.ndarray, params: GraphParams = GraphParams(), seed:
         graph[batch] = edges
         _add_reverse(vectors, graph, batch, edges, params)
         done += len(batch)
-    return graph, entries.astype(np.int32)
+    return graph, _join_lost(vectors, graph, entries.astype(np.int32))
+
+
+def _reached(graph: np.ndarray, front: np.ndarray, seen: np.ndarray) -> None:
+    """Marks in ``seen`` all that can be reached from ``front``."""
+    while len(front):
+        seen[front] = True
+        step = np.unique(graph[front])
+        front = step[(step >= 0) & ~seen[step]]
+
+
+def _join_lost(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Gives each node that no path leads to an edge from the nearest of its own neighbours that
+    has room, or makes it an entry; returns the entries."""
+    seen = np.zeros(len(graph), dtype=bool)
+    _reached(graph, entries, seen)
+    more = []
+    for node in np.flatnonzero(~seen).tolist():
+        if seen[node]:
+            continue
+        near = graph[node][graph[node] >= 0]
+        near = near[seen[near]]
+        near = near[np.argsort(((vectors[near] - vectors[node]) ** 2).sum(axis=1), kind="stable")]
+        host = next((h for h in near.tolist() if (graph[h] < 0).any()), None)
+        if host is None:
+            more.append(node)
+        else:
+            graph[host, np.flatnonzero(graph[host] < 0)[0]] = node
+        _reached(graph, np.array([node]), seen)
+    return np.r_[entries, np.array(more, dtype=np.int32)].astype(np.int32)
 
 
 def _add_reverse(vectors: np.ndarray, graph: np.ndarray, batch: np.ndarray, edges: np.ndarray, params: GraphParams) -> None:
@@ -138,21 +184,31 @@ def _add_reverse(vectors: np.ndarray, graph: np.ndarray, batch: np.ndarray, edge
     source, target = source[order], target[order]
     heads, first, count = np.unique(target, return_index=True, return_counts=True)
     nth = np.arange(len(target)) - np.repeat(first, count)
-    width = 2 * params.degree  # the nearest of a hub's many new edges; pruning drops the others anyway
-    fresh = np.full((len(heads), min(width, int(count.max()) if len(count) else 0)), -1, dtype=np.int32)
-    ok = nth < fresh.shape[1]
-    fresh[np.repeat(np.arange(len(heads)), count)[ok], nth[ok]] = source[ok]
-    for at in range(0, len(heads), params.batch):
-        some, new = heads[at : at + params.batch], fresh[at : at + params.batch]
-        graph[some] = robust_prune(vectors, some, np.concatenate([graph[some], new], axis=1), params.degree, params.alpha)
+    # a hub's many new edges come in rounds, nearest first; each round is pruned with what is there
+    for low in range(0, int(count.max()) if len(count) else 0, 2 * params.degree):
+        some = np.flatnonzero(count > low)
+        fresh = np.full((len(heads), min(2 * params.degree, int(count.max()) - low)), -1, dtype=np.int32)
+        ok = (nth >= low) & (nth < low + fresh.shape[1])
+        fresh[np.repeat(np.arange(len(heads)), count)[ok], nth[ok] - low] = source[ok]
+        for at in range(0, len(some), params.batch):
+            h = some[at : at + params.batch]
+            graph[heads[h]] = robust_prune(vectors, heads[h], np.concatenate([graph[heads[h]], fresh[h]], axis=1), params.degree, params.alpha)
 
 
 def nearest(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, most: int, params: GraphParams) -> np.ndarray:
-    """Ids [q, most] of the nearest found; a shard no larger than the beam is read whole."""
+    """Ids [q, beam] of the nearest found (-1: none): ``most`` and those as near as the last of them.
+
+    A shard no larger than the beam, which would hold it whole, is read whole.
+    """
     if len(vectors) <= params.search_beam:
-        return np.tile(np.arange(len(vectors), dtype=np.int32), (len(queries), 1))
-    ids, _, _ = beam_search(vectors, graph, entries, queries, params.search_beam)
-    return ids[:, :most]
+        ids = np.tile(np.arange(len(vectors), dtype=np.int32), (len(queries), 1))
+        dist = _distances(vectors, ids, queries)
+    else:
+        ids, dist, _ = beam_search(vectors, graph, entries, queries, params.search_beam)
+    if ids.shape[1] > most:
+        edge = np.partition(dist, most - 1, axis=1)[:, most - 1 : most]
+        ids = np.where(dist <= edge, ids, -1)
+    return ids
 
 
 def valid_vector(vector: Column) -> Column:
@@ -172,69 +228,109 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("vector").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"))
 
 
-def build_index(rows: DataFrame, keep: int, params: GraphParams) -> DataFrame:
-    """One row per shard: dim, shard, n, vectors, graph, entries (packed), ids (an array for each vector)."""
+def build_index(rows: DataFrame, keep: int, params: GraphParams) -> tuple[DataFrame, DataFrame]:
+    """The index, one row per shard: dim, shard, n, vectors, graph, entries (packed), ids (an array
+    for each vector); and the number of shards of each dim (dim, shards)."""
     distinct = written(distinct_vectors(rows, keep).withColumn("dim", F.size("vector")), "ann-distinct")
-    shards = max(1, -(-distinct.count() // params.shard_rows))
+    sizes = written(distinct.groupBy("dim").agg(F.count("*").alias("n")).select("dim", params.shards(F.col("n"), F.col("dim")).alias("shards")), "ann-shards")
+    total = sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_order", kind="stable")
-        vectors = np.stack(pdf["vector"].to_numpy()).astype(np.float32)
-        graph, entries = build_graph(vectors, params) if len(vectors) > params.search_beam else (np.zeros((len(vectors), 0), dtype=np.int32), np.zeros(0, dtype=np.int32))
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "n": [len(vectors)], "vectors": [vectors.tobytes()], "graph": [graph.tobytes()], "entries": [entries.tobytes()], "ids": [[list(x) for x in pdf["ids"]]]})
-
-    dealt = distinct.withColumn("_order", F.xxhash64("vector", F.lit(3))).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    packed = dealt.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, n int, vectors binary, graph binary, entries binary, ids array<array<long>>")
-    return written(packed, "ann-index")
+        vectors = np.stack(pdf["vector"].to_numpy())
+        graph, entries = build_graph(scaled(vectors)[0], params) if len(vectors) > params.search_beam else (np.zeros((len(vectors), 0), dtype=np.int32), np.zeros(0, dtype=np.int32))
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "n": [len(vectors)], "vectors": [vectors.astype(np.float64).tobytes()], "graph": [graph.tobytes()], "entries": [entries.tobytes()], "ids": [[list(x) for x in pdf["ids"]]]})
+
+    dealt = distinct.join(sizes, "dim").withColumn("_order", F.xxhash64("vector", F.lit(3))).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    packed = dealt.repartition(2 * total, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, n int, vectors binary, graph binary, entries binary, ids array<array<long>>")
+    return written(packed, "ann-index"), sizes
+
+
+class _Shard:
+    """One shard, unpacked."""
+
+    def __init__(self, row: pd.Series) -> None:
+        self.vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(int(row["n"]), -1)
+        self.graph = np.frombuffer(row["graph"], dtype=np.int32).reshape(int(row["n"]), -1)
+        self.entries = np.frombuffer(row["entries"], dtype=np.int32)
+        self.ids = row["ids"]
+        self.work, self.exponent = scaled(self.vectors)
+
+    def ask(self, ids: list[int], points: np.ndarray, k: int, params: GraphParams) -> list[tuple[int, int, float]]:
+        """(query, neighbour, distance) of the ``k`` nearest found; an id found twice counts once."""
+        out = []
+        for at in range(0, len(ids), params.batch):
+            some = points[at : at + params.batch]
+            # a query far outside the shard's range is as far from all of it; clipping it keeps squares finite
+            asked = np.clip(np.ldexp(some, -self.exponent), -1e150, 1e150)
+            found = nearest(self.work, self.graph, self.entries, asked, k + 1, params)
+            for q, near, point in zip(ids[at : at + params.batch], found, some, strict=True):
+                near = near[near >= 0]
+                best: dict[int, float] = {}
+                for g, i in zip(lengths(self.vectors[near] - point).tolist(), near.tolist(), strict=True):
+                    for v in self.ids[i]:
+                        if v != q and g < best.get(v, np.inf):
+                            best[v] = g
+                out += [(q, v, g) for g, v in sorted((g, v) for v, g in best.items())[:k]]
+        return out
+
+
+def lengths(diff: np.ndarray) -> np.ndarray:
+    """Euclidean length of each row; rows whose squares would over- or underflow are scaled first."""
+    top = np.abs(diff).max(axis=1, initial=0.0)
+    plain = (top == 0) | ((top > 1e-140) & (top < 1e140))
+    out = np.zeros(len(diff))
+    out[plain] = np.sqrt((diff[plain] ** 2).sum(axis=1))
+    if not plain.all():
+        rest = diff[~plain] / top[~plain][:, None]
+        out[~plain] = np.sqrt((rest**2).sum(axis=1)) * top[~plain]
+    return out
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, params: GraphParams) -> DataFrame:
+def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, params: GraphParams) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found of each of ``queries`` (vec_id, vector)."""
-    shards = {(r["dim"], r["shard"]) for r in index.select("dim", "shard").collect()}  # a line for each shard
-    asked = queries.select(F.col("vec_id"), F.col("vector"), F.size("vector").alias("dim"))
-    blocks = max(1, -(-asked.count() // params.block_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    places = index.sparkSession.createDataFrame(sorted(shards), "dim int, shard int") if shards else None
-    if places is None:
-        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), F.col("vec_id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    # each block of queries goes to each shard of its dimension
-    packed = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries")).join(F.broadcast(places), "dim")
-    cells = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(2 * len(shards) * blocks, "dim", "shard", "block")
-    cells = cells.join(packed.repartition(2 * len(shards) * blocks, "dim", "shard", "block"), ["dim", "shard", "block"])
+    packed, sizes = index
+    totals = sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1
+    blocks = max(1, -(-queries.count() // params.block_rows))
+    asked = (
+        queries.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        .join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    )
+    # a task's shard comes first, and its queries after it
+    held = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.lit(0))
+    cells = held.unionByName(asked.withColumn("part", F.lit(1)), allowMissingColumns=True)
+    order = ["dim", "shard", "block"]
+    cells = cells.repartition(2 * totals * blocks, *order).sortWithinPartitions(*order, "part", "vec_id")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, shard = None, None
         for batch in batches:
-            for cell in batch.itertuples(index=False):
-                vectors = np.frombuffer(cell.vectors, dtype=np.float32).reshape(cell.n, cell.dim)
-                graph = np.frombuffer(cell.graph, dtype=np.int32).reshape(cell.n, -1)
-                entries = np.frombuffer(cell.entries, dtype=np.int32)
-                ids = [q["vec_id"] for q in cell.queries]
-                points = np.stack([np.asarray(q["vector"], dtype=np.float64) for q in cell.queries])
-                out: list[tuple[int, int, float]] = []
-                for at in range(0, len(ids), params.batch):
-                    some = points[at : at + params.batch]
-                    found = nearest(vectors, graph, entries, some.astype(np.float32), k + 1, params)
-                    for q, near, point in zip(ids[at : at + params.batch], found, some, strict=True):
-                        near = near[near >= 0]
-                        gap = np.sqrt(((vectors[near].astype(np.float64) - point) ** 2).sum(axis=1))
-                        best = sorted((g, v) for g, i in zip(gap.tolist(), near.tolist(), strict=True) for v in cell.ids[i] if v != q)[:k]
-                        out += [(q, v, g) for g, v in best]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            for at, rows in batch.groupby(order, sort=False):
+                is_shard = rows["part"] == 0
+                if is_shard.any():
+                    cell, shard = at, _Shard(rows[is_shard].iloc[0])
+                asking = rows[~is_shard]
+                if len(asking) and at == cell:  # a shard that got no vector has no row
+                    points = np.stack(asking["vector"].to_numpy()).astype(np.float64)
+                    yield pd.DataFrame(shard.ask(asking["vec_id"].astype(int).tolist(), points, k, params), columns=["query_id", "vec_id", "score"])
 
     found = cells.mapInPandas(find, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    least = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    by_score = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return least.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 10, params: GraphParams = GraphParams(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row among all other rows.
 
-    Nearness is the Euclidean distance in double precision; ties go to the smaller vec_id.  Every
-    row with a valid vector is indexed; only ``is_query`` rows are looked for.  Vectors that are
-    null, empty, all zero, or hold a null or non-finite component take no part, nor do rows with
-    a null id.  Vectors of different lengths are not compared.  Equal vectors are one node with
-    the smallest ids; repeated rows count once; fewer than ``k`` candidates are all returned; an
-    empty table gives no rows; other columns are neither read nor returned.
+    Nearness is the Euclidean distance of the original vectors in double precision, whatever the
+    size of their components; ties go to the smaller vec_id.  Every row with a valid vector is
+    indexed; only ``is_query`` rows are looked for.  Vectors that are null, empty, all zero, or
+    hold a null or non-finite component take no part, nor do rows with a null id.  Vectors of
+    different lengths are not compared.  Equal vectors are one node with the smallest ids;
+    repeated rows count once; an id with several vectors is one query and one candidate, at its
+    least distance; fewer than ``k`` candidates are all returned; an empty table gives no rows;
+    other columns are neither read nor returned.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("_asked")).where(valid_vector(F.col("vector")) & F.col("vec_id").isNotNull())
     index = build_index(rows, k + 1, params)

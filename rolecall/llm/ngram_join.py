@@ -3,8 +3,10 @@
 Texts with equal n-gram sets form one class, and only one text of each class takes part.  Band
 and row counts are chosen for a target recall at the threshold.  Classes meet where a band of
 their signatures agrees; a pair belongs to the first band that it shares, so each is looked at
-once, and it is verified on the full n-gram sets.  Large buckets are dealt in blocks that meet
-pairwise, and from each cell come sums and a spanning forest, never the pairs.
+once, and it is verified on the full n-gram sets.  Large buckets are dealt in blocks, bounded by
+classes and by grams, that meet pairwise; from each cell come sums and a spanning forest, never
+the pairs.  Texts are read again only for the classes that have a pair to verify, one text for
+each class, and what the cells get is its gram hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, row_hash, text_hash, written
 from .words import WordTable
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -28,13 +30,15 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 @dataclass(frozen=True)
 class JoinParams:
     """``n`` words a gram; pairs of ``threshold`` or more are links, found with probability
-    ``recall`` or more; at most ``hashes`` MinHash values; blocks of about ``block`` classes."""
+    ``recall`` or more; at most ``hashes`` MinHash values; blocks of about ``block`` classes and
+    ``block_grams`` grams (eight bytes each) at most, but that a single text may hold more."""
 
     n: int = 5
     threshold: float = 0.8
     recall: float = 0.999
     hashes: int = 150
     block: int = 1024
+    block_grams: int = 1_000_000
 
     @property
     def bands_rows(self) -> tuple[int, int]:
@@ -105,8 +109,14 @@ def signatures(grams: np.ndarray, counts: np.ndarray, params: JoinParams) -> tup
     return sums, out
 
 
-def _signed(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, n (grams), h1, h2, bands of each row; n is 0 without words or id."""
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, and hashes of the text and of the whole row."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"), row_hash(docs).alias("row_hash"))
+
+
+def _signed(rows: DataFrame, params: JoinParams) -> DataFrame:
+    """doc_id, text_hash, row_hash, n (grams), set_key (a hash of the gram set), bands of each row;
+    n is 0 without words or id."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordTable(_word_hashes)
@@ -115,24 +125,47 @@ def _signed(docs: DataFrame, params: JoinParams) -> DataFrame:
             texts = [t.encode() if t is not None and ok else None for t, ok in zip(batch["text"], ids.notna(), strict=True)]
             for begin, end, grams, counts in gram_sets(texts, table, params.n):
                 sums, bands = signatures(grams, counts, params)
-                yield pd.DataFrame({"doc_id": ids[begin:end].astype("Int64").to_numpy(), "n": counts.astype(np.int32), "h1": sums[:, 0].view(np.int64), "h2": sums[:, 1].view(np.int64), "bands": list(bands.view(np.int64))})
+                part = {c: batch[c].iloc[begin:end].to_numpy() for c in ("text_hash", "row_hash")}
+                yield pd.DataFrame({"doc_id": ids[begin:end].astype("Int64").to_numpy(), **part, "n": counts.astype(np.int32), "set_key": _keys(sums), "bands": list(bands.view(np.int64))})
+
+    return rows.mapInPandas(sign, "doc_id long, text_hash long, row_hash long, n int, set_key binary, bands array<long>")
+
+
+def _keys(sums: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in sums]
+
+
+def _sets(texts: DataFrame, params: JoinParams) -> DataFrame:
+    """set_key and grams (packed) of each row's text."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = WordTable(_word_hashes)
+        for batch in batches:
+            for _, _, grams, counts in gram_sets([t.encode() for t in batch["text"]], table, params.n):
+                sums, _ = signatures(grams, counts, JoinParams(params.n, 1.0, 0.5, 1))
+                yield pd.DataFrame({"set_key": _keys(sums), "grams": [g.tobytes() for g in np.split(grams, np.cumsum(counts)[:-1])]})
 
-    return docs.mapInPandas(sign, "doc_id long, n int, h1 long, h2 long, bands array<long>")
+    return texts.select("text").mapInPandas(make, "set_key binary, grams binary")
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole cells, from batches sorted by cell."""
-    rest: pd.DataFrame | None = None
+    rest: list[pd.DataFrame] = []
     for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if not len(rows):
+        if not len(batch):
             continue
-        last = (rows["key"] == rows["key"].iloc[-1]) & (rows["low"] == rows["low"].iloc[-1]) & (rows["high"] == rows["high"].iloc[-1])
-        if not last.all():
-            yield rows[~last].reset_index(drop=True)
-        rest = rows[last].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
+        cells = [batch[c].to_numpy() for c in ("key", "low", "high")]
+        last = np.logical_and.reduce([c == c[-1] for c in cells])
+        ends = int(last.argmax())  # rows of the batch's last cell begin here
+        if rest and not all(rest[-1][c].iloc[-1] == batch[c].iloc[0] for c in ("key", "low", "high")):
+            yield pd.concat(rest, ignore_index=True)
+            rest = []
+        if ends:
+            yield pd.concat([*rest, batch.iloc[:ends]], ignore_index=True)
+            rest = []
+        rest.append(batch.iloc[ends:])
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
 
 
 class _Pairs:
@@ -140,7 +173,7 @@ class _Pairs:
 
     def __init__(self, rows: pd.DataFrame, threshold: float) -> None:
         self.bands, self.n = np.stack(rows["bands"].to_numpy()), rows["n"].to_numpy()
-        self.rep, self.block, self.pos = rows["rep"].to_numpy(), rows["part"].to_numpy(), rows["pos"].to_numpy()
+        self.block, self.pos = rows["part"].to_numpy(), rows["pos"].to_numpy()
         self.across = rows["low"].to_numpy() != rows["high"].to_numpy()
         cell = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("key", "low", "high")])
         self.fresh = np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)]
@@ -151,7 +184,7 @@ class _Pairs:
         for d in range(1, int(sizes.max())):
             i = np.flatnonzero(self.cell[d:] == self.cell[:-d])
             j = i + d
-            ok = (np.minimum(self.n[i], self.n[j]) >= self.threshold * np.maximum(self.n[i], self.n[j])) & (self.rep[i] != self.rep[j]) & (~self.across[i] | (self.block[i] != self.block[j]))
+            ok = (np.minimum(self.n[i], self.n[j]) >= self.threshold * np.maximum(self.n[i], self.n[j])) & (~self.across[i] | (self.block[i] != self.block[j]))
             i, j = i[ok], j[ok]
             for at in range(0, len(i), 20_000):
                 a, b = i[at : at + 20_000], j[at : at + 20_000]
@@ -199,37 +232,35 @@ def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(members, i), np.searchsorted(members, j)].astype(np.int64)
 
 
+def _trees(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row of each row's component under the pairs: least labels, then labels of labels."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, before[i], low)
+        np.minimum.at(label, before[j], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
 def _verified(rows: DataFrame, params: JoinParams) -> DataFrame:
-    """rep, root (of its tree in the cell's forest) and links (copies of all it is linked to)."""
+    """set_key, root (of its tree in the cell's forest) and links (copies of all it is linked to)."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordTable(_word_hashes)
         for part in _cells(batches):
-            part = part[~part.duplicated(["key", "low", "high", "rep", "h1", "text"])].reset_index(drop=True)
-            sets: list[np.ndarray] = []
-            fits = np.zeros(len(part), dtype=bool)
-            for begin, end, grams, counts in gram_sets([t.encode() for t in part["text"]], table, params.n):
-                sums, _ = signatures(grams, counts, JoinParams(params.n, 1.0, 0.5, 1))
-                fits[begin:end] = sums[:, 0].view(np.int64) == part["h1"].to_numpy()[begin:end]
-                sets += np.split(grams, np.cumsum(counts)[:-1])
-            part = part[fits].reset_index(drop=True)  # a row with this id and another text is none of the class
-            sets = [s for s, ok in zip(sets, fits, strict=True) if ok]
-            if not len(part):
-                continue
-            pairs, copies, rep = _Pairs(part, params.threshold), part["copies"].to_numpy(), part["rep"].to_numpy()
+            sets = [np.frombuffer(g, dtype=np.uint64) for g in part["grams"]]
+            pairs, copies, key = _Pairs(part, params.threshold), part["copies"].to_numpy(), part["set_key"].to_numpy()
             found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for i, j in pairs.by_offset():
                 for c in np.unique(pairs.cell[i]):
                     ok = pairs.cell[i] == c
                     found.setdefault(int(c), []).append((i[ok], j[ok]))
-            links, parent = np.zeros(len(part), dtype=np.int64), np.arange(len(part))
-
-            def top(x: int, parent: np.ndarray = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
+            links, linked_i, linked_j = np.zeros(len(part), dtype=np.int64), [], []
             for chunks in found.values():
                 i, j = np.concatenate([a for a, _ in chunks]), np.concatenate([b for _, b in chunks])
                 common = _common(sets, i, j)
@@ -238,22 +269,23 @@ def _verified(rows: DataFrame, params: JoinParams) -> DataFrame:
                 i, j = i[linked], j[linked]
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    a, b = top(a), top(b)
-                    if a != b:
-                        low, high = (a, b) if rep[a] < rep[b] else (b, a)
-                        parent[high] = low
+                linked_i.append(i)
+                linked_j.append(j)
+            if not linked_i:
+                continue
+            root = _trees(len(part), np.concatenate(linked_i), np.concatenate(linked_j))
             keep = np.flatnonzero(links)
-            yield pd.DataFrame({"rep": rep[keep], "root": rep[[top(x) for x in keep.tolist()]] if len(keep) else rep[:0], "links": links[keep]})
+            yield pd.DataFrame({"set_key": key[keep], "root": key[root[keep]], "links": links[keep]})
 
-    return rows.mapInPandas(verify, "rep long, root long, links long")
+    return rows.mapInPandas(verify, "set_key binary, root binary, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component of undirected ``edges`` (a, b).
 
-    Least labels spread along edges and jump along labels until nothing changes; each round is
-    written to the shared folder.
+    Nodes are of any type with an order; edges of a node to itself and repeated ones say nothing,
+    and edges with a null end are left out; no edges give no rows.  Least labels spread along
+    edges and jump along labels until nothing changes; each round is written to the shared folder.
     """
     both = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
@@ -267,6 +299,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _judged(rows: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and one line per class of equal gram sets: set_key, least (doc_id,
+    text_hash, row_hash of its first row), copies, group (of linked classes), links."""
+    signed = written(_signed(rows, params), "signatures")
+    classes = written(
+        signed.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "text_hash", "row_hash")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
+        "classes",
+    )
+    spread = classes.select("set_key", "n", F.posexplode("bands").alias("pos", "key"))
+    shared = written(
+        spread.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.lit(1 / params.block) + F.col("n") / params.block_grams).alias("load")).where("members > 1").select("key", F.ceil("load").cast("int").alias("parts")),
+        "buckets",
+    )
+    members = spread.select("set_key", "pos", "key").join(shared, "key").join(classes.select("set_key", "n", "copies", "bands"), "set_key")
+    cells = (
+        members.withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "pos", "part", "set_key", "n", "copies", "bands")
+    )
+    order = ["key", "low", "high"]
+    need = written(_needed(cells.repartition(*order).sortWithinPartitions(*order, "set_key"), params.threshold), "to-verify")
+    # one text for each class that has a pair: that of its least row
+    wanted = written(need.select("set_key").distinct().join(classes, "set_key").select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).distinct(), "texts-wanted")
+    texts = rows.select("doc_id", "text_hash", "text").where("text is not null").join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    sets = written(_sets(texts, params), "gram-sets")
+    found = written(_verified(need.join(sets, "set_key").repartition(*order).sortWithinPartitions(*order, "set_key"), params), "verified")
+    links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set_key"), "label")
+    lines = classes.select("set_key", "least", "copies").join(links, "set_key", "left").join(labels, "set_key", "left")
+    return signed, written(lines.select("set_key", "least", "copies", F.coalesce("label", "set_key").alias("group"), F.coalesce("links", F.lit(0)).alias("links")), "classes-judged")
+
+
 def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links.
 
@@ -275,42 +339,38 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), doc_id:
     ``n_links`` counts the other rows that a document is linked to, copies included, and
     ``class_id`` is the least doc_id of those it is connected with by links.  A document without
     words (null or white space) or with a null id is linked to none: class_id is its doc_id and
-    n_links 0.  Repeated rows are copies; rows that share an id but not a text count as one
-    document's texts.  An empty table gives no rows; other columns are neither read nor returned.
+    n_links 0.  Repeated rows are copies of each other.  Each row is judged by its own text, so
+    rows that share an id but not a text are documents of their own.  An empty table gives no
+    rows; other columns are neither compared nor returned.
     """
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(_signed(body, params), "signatures")
-    classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    spread = classes.select("rep", "h1", F.posexplode("bands").alias("pos", "key"))
-    shared = written(spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = spread.join(shared, "key").join(classes.select("rep", "h1", "n", "copies", "bands"), ["rep", "h1"])
-    parts = F.ceil(F.col("members") / params.block).cast("int")
-    cells = (
-        members.withColumn("_parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("key", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "pos", "part", "rep", "h1", "n", "copies", "bands")
-    )
-    order = ["key", "low", "high"]
-    need = written(_needed(cells.repartition(*order).sortWithinPartitions(*order, "rep"), params.threshold), "to-verify")
-    with_text = need.join(body.withColumnRenamed("doc_id", "rep").where("text is not null"), "rep")
-    found = written(_verified(with_text.repartition(*order).sortWithinPartitions(*order, "rep"), params), "verified")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    named = written(
-        classes.select("h1", "h2", "n", "rep", "copies").join(links, "rep", "left").join(labels, "rep", "left")
-        .select("h1", "h2", "n", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")),
-        "classes-named",
-    )
+    signed, classes = _judged(_rows(docs, doc_id, text), params)
+    groups = classes.groupBy("group").agg(F.min("least.doc_id").alias("class_id"))
+    named = written(classes.join(groups, "group").select("set_key", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes-named")
     return (
-        signed.select("doc_id", "n", "h1", "h2")
-        .join(named, ["h1", "h2", "n"], "left")
+        signed.select("doc_id", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key"))
+        .join(named, "set_key", "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the least id."""
-    gone = near_duplicates(docs, params, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of near duplicates: that with the least id.
+
+    Rows are told apart by id, text and the hash of all columns, in this order: where an id comes
+    with two texts, each is kept or dropped by its own text, and of exactly repeated rows one
+    stays.  Rows without words (null or white space) or with a null id are in no group and all
+    stay.  An empty table gives no rows.  Any further columns, whatever their names, are kept;
+    rows that differ only in columns that can't be hashed (maps) count as repeated.
+    """
+    signed, classes = _judged(_rows(docs, doc_id, text), params)
+    triple = F.struct("doc_id", "text_hash", "row_hash")
+    stays = written(classes.groupBy("group").agg(F.min("least").alias("least")).select("least.*"), "rows-kept")
+    in_class = signed.where("n > 0").groupBy("doc_id", "text_hash", "row_hash").agg(F.count("*").alias("times"))
+    keys = ["doc_id", "text_hash", "row_hash"]
+    gone = written(in_class.join(stays, keys, "left_anti").select(keys), "rows-dropped")
+    again = written(in_class.where("times > 1").join(stays, keys, "left_semi").select(keys), "rows-repeated")
+    (key,) = free_names(docs, "_row")
+    rows = docs.withColumn(key, F.struct(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), row_hash(docs).alias("row_hash")))
+    listed = lambda table: table.select(triple.alias(key))
+    left = rows.join(listed(gone.unionAll(again)), key, "left_anti")
+    return left.unionAll(rows.join(listed(again), key, "left_semi").dropDuplicates([key])).drop(key)
