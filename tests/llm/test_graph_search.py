@@ -75,7 +75,8 @@ def test_near_doubles_and_mixed_sizes(spark):
     rows += [(1000 + i, (rng.normal(size=5) * 10.0 ** rng.integers(-30, 30)).tolist()) for i in range(300)]
     want, got = brute(rows), run(spark, rows, "double")
     assert set(got) == set(want)
-    assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) >= 0.9 * 10 * len(want)
+    # seen from a large vector all small ones are equally far but for the last digits: distances count, not ids
+    assert sum(d <= want[q][-1][1] * (1 + 1e-6) for q in want for _, d in got[q]) >= 0.9 * 10 * len(want)
     assert all(d > 0 for q in (0, 100, 200, 300) for _, d in got[q])
 
 
