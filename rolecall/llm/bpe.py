@@ -3,7 +3,8 @@
 ``Vocabulary.merge`` applies, in each round, every sequence's lowest-rank pair at once.
 ``Vocabulary.join_tree`` encodes long unsplit byte strings: leaves are encoded together, then
 neighbours are joined level by level by encoding growing windows around each join again until
-the window's outer tokens equal those of both sides.
+the window's outer tokens equal those of both sides.  ``Vocabulary.join_pieces`` does the same for
+the pre-tokens of two halves of a text that was cut anywhere.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ class Vocabulary:
             self.token_bytes[token["id"]] = token["content"].encode()
         self.special = {t["content"]: t["id"] for t in added}
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if added else None
+        #: Characters beyond a pre-token's end that its end may hang on: a contraction's or a special string's.
+        self.margin = max(3, *map(len, self.special), 0)
         self.byte_ids = np.array([ids[c] for c in chars], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([ids[a] * self.base + ids[b] for a, b in pairs], dtype=np.int64)
@@ -136,22 +139,51 @@ class Vocabulary:
         """
         level = self._arrays([data[i : i + leaf] for i in range(0, len(data), leaf)])
         while len(level) > 1:
-            sides = list(zip(level[::2], level[1::2], strict=False))
-            joined: list[np.ndarray | None] = [None] * len(sides)
-            width, open_ = 4, list(range(len(sides)))
-            while open_:
-                windows = self._arrays([self.bytes_of(sides[i][0][-width:].tolist()) + self.bytes_of(sides[i][1][:width].tolist()) for i in open_])
-                still = []
-                for i, window in zip(open_, windows, strict=True):
-                    left, right = sides[i]
-                    if (width >= len(left) or window[0] == left[-width]) and (width >= len(right) or window[-1] == right[width - 1]):
-                        joined[i] = np.concatenate([left[:-width] if width < len(left) else left[:0], window, right[width:]])
-                    else:
-                        still.append(i)
-                open_, width = still, width * 2
-            level = [x for x in joined if x is not None] + level[len(sides) * 2 :]
+            level = self.join_ids(list(zip(level[::2], level[1::2], strict=False))) + level[len(level) // 2 * 2 :]
         return level[0] if level else np.zeros(0, dtype=np.int32)
 
+    def join_ids(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Ids of the joined bytes of each two sides of one unsplit string, all windows together."""
+        joined: list[np.ndarray] = [None] * len(sides)  # type: ignore[list-item]
+        width, open_ = 4, list(range(len(sides)))
+        while open_:
+            windows = self._arrays([self.bytes_of(sides[i][0][-width:].tolist()) + self.bytes_of(sides[i][1][:width].tolist()) for i in open_])
+            still = []
+            for i, window in zip(open_, windows, strict=True):
+                left, right = sides[i]
+                if (width >= len(left) or window[0] == left[-width]) and (width >= len(right) or window[-1] == right[width - 1]):
+                    joined[i] = np.concatenate([left[:-width] if width < len(left) else left[:0], window, right[width:]])
+                else:
+                    still.append(i)
+            open_, width = still, width * 2
+        return joined
+
+    def join_pieces(self, left: list[str], right: list[str]) -> tuple[list[str], list[str]]:
+        """Pre-tokens of the joined text of two halves, exactly as splitting the whole would give,
+        and those of the window that was split again.
+
+        Splitting goes from left to right and looks ``margin`` characters ahead at most.  So where
+        a pre-token of the left ends that far before its end, the whole's ends too; and where one
+        of the window and one of the right begin at one place, that far before the window's end,
+        all that follows is the same.
+        """
+        width = 4
+        while True:
+            before, after = left[-width:], right[:width]
+            text = "".join(before)
+            window = self.pieces(text + "".join(after))
+            if width >= len(left) or (len(text) >= self.margin and window[0] == before[0]):
+                if width >= len(right):
+                    return left[:-width] + window, window
+                same = length = 0
+                while same < min(len(after), len(window)) and length < self.margin and window[-1 - same] == after[-1 - same]:
+                    same += 1
+                    length += len(after[-same])
+                if length >= self.margin:
+                    window = window[: len(window) - same]
+                    return left[:-width] + window + right[width - same :], window
+            width *= 2
+
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of each piece: special strings, short pieces in one merge, long ones by the tree."""
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]

@@ -1,8 +1,10 @@
 """BPE encoding and decoding by tree concatenation.
 
-Long unsplit text is encoded as halves of halves, all leaves together, and joined upwards: a
-growing window around each join is encoded again until its outer tokens are those of both
-sides.  Ids are packed as little-endian unsigned 32-bit integers, the usual form of token files.
+A long text is cut into halves of halves before it is split, wherever the cuts fall.  The leaves
+of all texts are split and encoded together, and joined upwards: a growing window around each
+join is split and encoded again until it agrees with both sides.  A pre-token that spans a cut is
+joined alike, from the tokens of its two parts.  Ids are packed as little-endian unsigned 32-bit
+integers, the usual form of token files.
 """
 
 from __future__ import annotations
@@ -14,28 +16,59 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, vocabulary
+from .bpe import LEAF, Vocabulary, vocabulary
 from .common import spans
 
-#: Pre-tokens that a worker remembers, and characters worked on and given out at a time.
-REMEMBERED, CHARS = 100_000, 2_000_000
+#: Pre-tokens that a worker remembers, characters worked on and given out at a time, and
+#: characters of a leaf.
+REMEMBERED, CHARS, LEAF_CHARS = 100_000, 2_000_000, 1024
+
+
+def halves(text: str, leaf: int) -> list[str]:
+    """The text's leaves: halves of halves until none is longer than ``leaf``; none for no text."""
+    parts = 1 << max(0, -(-len(text) // leaf) - 1).bit_length()
+    return [x for i in range(parts) if (x := text[len(text) * i // parts : len(text) * (i + 1) // parts])]
 
 
 class Encoder:
-    """Encodes texts, remembering pre-tokens up to a bound."""
+    """Encodes texts by the tree, remembering the tokens of pre-tokens up to a bound; counts joins."""
+
+    def __init__(self, vocab: Vocabulary, leaf: int = LEAF_CHARS) -> None:
+        self.vocab, self.leaf, self.joins = vocab, leaf, 0
+        self.known: dict[str, bytes] = {}
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab, self.known = vocab, {}
+    def _learn(self, pieces: set[str], parts: dict[str, tuple[str, str]]) -> None:
+        """Tokens of new pre-tokens: of long ones that join two known parts, from those."""
+        new = list(pieces.difference(self.known))
+        long = [p for p in new if p in parts and len(p) > 2 * LEAF]
+        sides = [tuple(np.frombuffer(self.known[x], dtype="<u4").astype(np.int32) for x in parts[p]) for p in long]
+        rest = [p for p in new if p not in parts or len(p) <= 2 * LEAF]
+        ids = [*self.vocab.join_ids(sides), *self.vocab.encode_pieces(rest)]
+        self.known.update(zip([*long, *rest], (i.astype("<u4").tobytes() for i in ids), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, out = self.known, []
+        out: list[bytes] = []
         for begin, end in spans([len(t or "") for t in texts], CHARS):
-            pieces = [self.vocab.pieces(t) if t else [] for t in texts[begin:end]]
-            new = list(set().union(*pieces).difference(known))
-            known.update(zip(new, (i.astype("<u4").tobytes() for i in self.vocab.encode_pieces(new)), strict=True))
-            out += [b"".join(map(known.__getitem__, p)) for p in pieces]
-            if len(known) > REMEMBERED:
-                known.clear()
+            level = [[self.vocab.pieces(x) for x in halves(t or "", self.leaf)] for t in texts[begin:end]]
+            self._learn(set().union(*(p for doc in level for p in doc)), {})
+            high = [i for i, doc in enumerate(level) if len(doc) > 1]
+            while high:
+                fresh: set[str] = set()
+                parts: dict[str, tuple[str, str]] = {}
+                for i in high:
+                    up, doc = [], level[i]
+                    for left, right in zip(doc[::2], doc[1::2], strict=False):
+                        both, window = self.vocab.join_pieces(left, right)
+                        fresh.update(window)
+                        parts[left[-1] + right[0]] = left[-1], right[0]
+                        up.append(both)
+                        self.joins += 1
+                    level[i] = up + doc[len(up) * 2 :]
+                self._learn(fresh, parts)
+                high = [i for i in high if len(level[i]) > 1]
+            out += [b"".join(map(self.known.__getitem__, doc[0])) if doc else b"" for doc in level]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
         return out
 
 

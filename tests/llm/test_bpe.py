@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from rolecall.llm.bpe import vocabulary
-from rolecall.llm.bpe_codec import decoded, digests, encoded, round_trip
+from rolecall.llm.bpe_codec import Encoder, decoded, digests, encoded, halves, round_trip
 from rolecall.llm.token_counts import count_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,42 @@ def test_long_unsplit(alphabet):
         assert v.join_tree(data, 7).tolist() == whole.tolist()
 
 
+def by_tree(texts, leaf):
+    encoder = Encoder(vocabulary(PATH), leaf)
+    return [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode(texts)], encoder.joins
+
+
+ANY = st.text(alphabet=st.one_of(st.sampled_from("ab eét\n\t'sl1½²|#日<|endoftext|>\x1c\x85\xa0"), st.characters(codec="utf-8")), max_size=120)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(ANY, st.lists(st.sampled_from(["<|endoftext|>", "don't", "we'll", "  ", " \n ", "12", "!'", " é", "日本", "aaaa"]), max_size=30).map("".join)), max_size=4), st.integers(1, 9))
+def test_tree_over_any_texts_wherever_the_cuts_fall(texts, leaf):
+    got, joins = by_tree(texts, leaf)
+    assert got == [ids(t) for t in texts]
+    assert joins == sum(max(0, len(halves(t, leaf)) - 1) for t in texts)
+
+
+def test_tree_over_long_documents():
+    rnd = random.Random(4)
+    parts = ["<|endoftext|>", "don't", "we'll ", "   ", " \n\n ", "123456", "!'\"", " été", "日本語", "a" * 700, "word ", "\t", "ﬁ́", "👩‍👩‍👧"]
+    long = "".join(rnd.choice(parts) for _ in range(120_000))
+    assert len(long.encode()) > 1_000_000
+    texts = [long, "ab" * 500_000, "x" * 1_000_003, " " * 300_000, "日" * 100_000 + "本", "<|endoftext|>" * 20_000]
+    got, joins = by_tree(texts, 1024)
+    assert joins > 3000
+    for a, b in zip(got, texts, strict=True):
+        assert a == ids(b)
+
+
+def test_tree_joins_documents():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    got, joins = by_tree(texts, 1024)
+    assert joins > 100 and got == [ids(t or "") for t in texts]
+
+
 TEXTS = [None, "", " ", "A b c.\n\nD", "x<|endoftext|>y", "<|endoftext|><|endoftext|>", "ab" * 4000, "word " * 600, "A b c.\n\nD"]
 
 
