@@ -3,9 +3,10 @@
 P(grade <= k) = sigmoid(threshold_k - score), with one weight for each hashed text feature
 shared by all thresholds.  Features of a text are its distinct words' cores and their first four
 and five characters, each word scaled by 1 / sqrt(distinct words), the shapes of its words by
-frequency, and the share of words equal to the word before.  Training runs in numpy on the
-driver over a bounded sample of rated texts, whose features Spark computes; scoring runs over
-whole texts where they lie, without a shuffle.
+frequency, the share of words equal to the word before, and, unscaled by the text's length, the
+presence of cores that tell grades apart, so that an insult counts as much in a long text.
+Training runs in numpy on the driver over a bounded sample of rated texts, whose features Spark
+computes; scoring runs over whole texts where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import text_hash, unit_hash
 from .words import WordTable, sums
 
 BITS = 18
 MASK = (1 << BITS) - 1
 REPEAT = 1 << BITS
+#: The first bucket of presences, and all buckets.
+PRESENT, WIDTH = REPEAT + 1, REPEAT + 1 + (1 << BITS)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
+_ENDS = {b"", b".", b",", b";", b":", b"!", b"?"}
 _SAME = re.compile(r"(.)\1+", re.DOTALL)
 
 
@@ -36,6 +40,11 @@ def word_buckets(words: list[bytes]) -> np.ndarray:
     """Four feature buckets for each word: core, its first four and five characters, shape."""
     out = np.zeros((len(words), 4), dtype=np.int32)
     for i, word in enumerate(words):
+        end = b"" if word[-1:].isalpha() else word[-1:]
+        if end in _ENDS and (letters := word[: len(word) - len(end)]).isalpha():  # ASCII letters, as most words are
+            core, shape = letters.lower(), (b"A" if len(letters) > 1 and letters.isupper() else b"a") + end
+            out[i] = zlib.crc32(core) & MASK, zlib.crc32(b"\1" + core[:4]) & MASK, zlib.crc32(b"\2" + core[:5]) & MASK, zlib.crc32(b"\0" + shape) & MASK
+            continue
         text = word.decode("utf-8", "replace")
         core = _EDGES.sub("", text).lower()
         shape = _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", text)
@@ -73,10 +82,11 @@ def sparse_features(texts: list[bytes | None], table: WordTable) -> Iterator[tup
             if not lens[i]:
                 yield np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
                 continue
-            lexical = table.values[once[at_kind[i] : at_kind[i + 1]], :3].ravel()
+            words = table.values[once[at_kind[i] : at_kind[i + 1]]]
+            lexical = words[:, :3].ravel()
             shapes = table.values[ids[at_word[i] : at_word[i + 1]], 3]
-            bucket = np.concatenate([lexical, shapes, [REPEAT]])
-            value = np.concatenate([np.full(len(lexical), kinds[i] ** -0.5), np.full(len(shapes), 1 / lens[i]), [repeats[i] / lens[i]]])
+            bucket = np.concatenate([lexical, shapes, [REPEAT], PRESENT + words[:, 0]])
+            value = np.concatenate([np.full(len(lexical), kinds[i] ** -0.5), np.full(len(shapes), 1 / lens[i]), [repeats[i] / lens[i]], np.ones(len(words))])
             found, where = np.unique(bucket, return_inverse=True)
             yield found.astype(np.int32), np.bincount(where, value).astype(np.float32)
 
@@ -98,21 +108,28 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, epochs: int = 6, rate: float = 0.3, l2: float = 1e-3, seen: int = 8, seed: int = 0) -> OrdinalModel:
-    """Fits by AdaGrad over shuffled examples, and shortens ``rows`` in place; buckets seen in fewer than ``seen`` texts get no weight."""
-    weights = np.zeros(REPEAT + 1)
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, epochs: int = 6, rate: float = 0.3, l2: float = 1e-3, seen: int = 8, telling: float = 5.0, seed: int = 0) -> OrdinalModel:
+    """Fits by AdaGrad over shuffled examples, and shortens ``rows`` in place.
+
+    Buckets seen in fewer than ``seen`` texts get no weight, nor do presences in texts whose mean
+    grade is within ``telling`` standard errors of that of all.
+    """
+    weights = np.zeros(WIDTH)
     present = np.unique(grades)
     if len(present) < 2:
         return OrdinalModel(weights.astype(np.float32), None)
-    times = np.zeros(REPEAT + 1, dtype=np.int32)
-    for bucket, _ in rows:
+    times, total = np.zeros(WIDTH, dtype=np.int32), np.zeros(WIDTH)
+    for (bucket, _), grade in zip(rows, grades, strict=True):
         times[bucket] += 1
+        total[bucket] += grade
     usual = times >= min(seen, max(1, len(rows) // 20))
+    gap = np.abs(total - times * grades.mean()) / (grades.std() * np.sqrt(np.maximum(times, 1)))
+    usual[PRESENT:] &= gap[PRESENT:] >= telling
     for j, (bucket, value) in enumerate(rows):
         rows[j] = bucket[usual[bucket]], value[usual[bucket]]
     share = np.array([(grades <= k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     theta = np.log(share / (1 - share))
-    squares, squares_t = np.full(REPEAT + 1, 1e-6), np.ones(n_grades - 1)
+    squares, squares_t = np.full(WIDTH, 1e-6), np.ones(n_grades - 1)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for j in rng.permutation(len(rows)):
@@ -136,11 +153,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, most: int = 6000, doc_id: str = "doc_id", text: str = "text", seed: int = 7) -> OrdinalModel:
     """Learns from at most ``most`` rated texts (those with the least seeded hash of their id).
 
-    ``ratings`` has doc_id and grade (0 to n_grades - 1), one row for each id.  The sample is
-    bounded by ``most`` rows, so it may be broadcast; features of its texts come to the driver.
+    ``ratings`` has doc_id and grade (0 to n_grades - 1); of an id rated more than once the least
+    grade counts, and null ids and grades don't.  The sample is bounded by ``most`` rows, so it
+    may be broadcast.  One text for each id (that of the least hash, where an id comes with
+    several) gives features, so at most ``most`` lines come to the driver.  Ids without a text,
+    and texts that are null or without a word, teach nothing.
     """
-    sample = ratings.where("doc_id is not null and grade is not null").orderBy(unit_hash(F.col("doc_id"), seed), "doc_id").limit(most)
-    rated = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    worst = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    sample = worst.orderBy(unit_hash(F.col("doc_id"), seed), "doc_id").limit(most)
+    rated = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min_by("text", text_hash(F.col("text"))).alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordTable(word_buckets)
@@ -166,7 +188,7 @@ def grades(text: Column, model: OrdinalModel, tail_from: int) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def rows(words: list[bytes]) -> np.ndarray:
             b = word_buckets(words)
-            return np.stack([model.weights[b[:, :3]].sum(axis=1), model.weights[b[:, 3]]], axis=1)
+            return np.stack([model.weights[b[:, :3]].sum(axis=1), model.weights[b[:, 3]], model.weights[PRESENT + b[:, 0]]], axis=1)
 
         table = WordTable(rows)
         for batch in batches:
@@ -177,7 +199,7 @@ def grades(text: Column, model: OrdinalModel, tail_from: int) -> Column:
                 doc = np.repeat(np.arange(n), lens)
                 once, kinds = _distinct(ids, doc, n)
                 full = lens > 0
-                score = sums(table.values[once, 0], kinds) / np.sqrt(np.maximum(kinds, 1))
+                score = sums(table.values[once, 0], kinds) / np.sqrt(np.maximum(kinds, 1)) + sums(table.values[once, 2], kinds)
                 score += (sums(table.values[ids, 1], lens) + _repeats(ids, doc, n) * model.weights[REPEAT]) / np.maximum(lens, 1)
                 found[begin:end][full] = np.stack(model.grade(score[full], tail_from), axis=1)
             out = pd.DataFrame(found, columns=["expected", "tail"]).astype("Float64")
@@ -200,7 +222,11 @@ def classify(docs: DataFrame, model: OrdinalModel, tail_from: int, least: float
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, tail_from: int, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with their columns."""
+    """The rows of ``docs`` that ``classify`` keeps, with their columns, whatever their names.
+
+    Each row is judged by its text alone, so repeated rows, ties and null ids change nothing; null
+    texts and those without a word go; an empty table gives no rows.
+    """
     if model.thresholds is None:
         return docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     return docs.where(grades(F.col(text), model, tail_from)["tail"] >= least)
