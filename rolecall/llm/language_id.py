@@ -3,7 +3,7 @@
 A text's subwords are the byte n-grams (1 to 4) of its lower-cased words, a space at each end of
 a word; each has a small embedding by hash, a text is the mean of its subwords' embeddings, and
 a linear softmax gives the language.  Embeddings and softmax are trained together by stochastic
-gradient descent in numpy.  Part of the sample is set aside to fit the softmax's temperature and
+gradient descent in numpy.  As many texts again are set aside to fit the softmax's temperature and
 the confidence below which a prediction is rejected.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import free_names, text_hash, unit_hash
 from .words import WordTable, sums
 
 BITS, GRAMS = 16, (1, 2, 3, 4)
@@ -73,10 +73,13 @@ class LanguageModel:
         return best, p[np.arange(len(p)), best]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], aside: np.ndarray, dims: int = 12, epochs: int = 6, rate: float = 0.5, keep: float = 0.999, seed: int = 0) -> LanguageModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], aside: np.ndarray, dims: int = 12, epochs: int = 6, rate: float = 0.5, keep: float = 0.998, seed: int = 0) -> LanguageModel:
     """Trains on rows (buckets, counts) not set ``aside``; calibrates on the others.
 
-    ``keep``: share of rightly predicted texts set aside that rejection must leave.
+    ``keep``: share of texts of the learned languages that rejection must leave.  The threshold is
+    the confidence that the (1 - keep) * (n + 1)-th least sure of n rightly predicted texts has, so a
+    text like them is rejected with a probability of 1 - keep at most.  Where n is too small for
+    that, only what is less likely than not, and less sure than all of them, is rejected.
     """
     names = sorted(set(langs))
     if len(names) < 2:
@@ -116,22 +119,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], aside: np.n
     best, p = model.predict(mean)
     right = np.sort(p[best == y[held]])
     if len(right):
-        model.reject_below = float(min(0.5, right[int((1 - keep) * len(right))]))
+        nth = int((1 - keep) * (len(right) + 1))
+        model.reject_below = float(right[nth - 1] if nth else min(0.5, right[0]))
     return model
 
 
-def train(docs: DataFrame, per_language: int = 500, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", seed: int = 5) -> LanguageModel:
-    """Learns from a sample of about ``per_language`` texts of each language (by a hash of the id).
+def train(docs: DataFrame, per_language: int = 500, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", seed: int = 5, most_languages: int = 1000) -> LanguageModel:
+    """Learns from about ``per_language`` texts of each language and calibrates on as many others.
 
-    Rows with null id, lang or text take no part.  The counts of languages and the sample's
-    hashed features (at most 2^16 buckets a text) come to the driver, nothing else.
+    The sample goes by a hash of the id, and the half of it by another.  Rows with null id, lang
+    or text take no part, nor do texts without a word.  One text for each id and language (that
+    of the least hash, if there are several) gives features, so repeated rows count once.  The
+    counts of languages (more than ``most_languages`` are an error) and the sample's hashed
+    features (at most 2^16 buckets a text) come to the driver, nothing else.
     """
-    have = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("doc_id is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in have.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("doc_id is not null and lang is not null")
+    lines = have.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    counts = {r["lang"]: r["n"] for r in lines}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return LanguageModel([])
-    shares = have.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
+    shares = have.sparkSession.createDataFrame([(k, min(1.0, 2 * per_language / n)) for k, n in counts.items()], "lang string, share double")
     sample = have.join(F.broadcast(shares), "lang").where(unit_hash(F.col("doc_id"), seed) < F.col("share")).where("text is not null")
+    sample = sample.groupBy("doc_id", "lang").agg(F.min_by("text", text_hash(F.col("text"))).alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,15 +150,15 @@ def train(docs: DataFrame, per_language: int = 500, lang: str = "lang", doc_id:
             for t in batch["text"]:
                 b, _ = subwords(t.lower().encode().split())
                 found, n = np.unique(b, return_counts=True)
-                buckets.append(found.astype(np.int32))
-                counts.append(n.astype(np.int32))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "bucket": buckets, "n": counts})
+                buckets.append(found.astype(np.int32).tobytes())
+                counts.append(n.astype(np.int32).tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "aside": batch["aside"], "bucket": buckets, "n": counts})
 
-    got = sample.select("doc_id", "lang", "text").mapInPandas(features, "doc_id long, lang string, bucket array<int>, n array<int>").toPandas()
+    aside = unit_hash(F.col("doc_id"), seed + 1) < 0.5
+    got = sample.select("doc_id", "lang", "text", aside.alias("aside")).mapInPandas(features, "doc_id long, lang string, aside boolean, bucket binary, n binary").toPandas()
     got = got[got["bucket"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable")
-    rows = [(np.asarray(b, dtype=np.int64), np.asarray(n, dtype=np.float64)) for b, n in zip(got["bucket"], got["n"], strict=True)]
-    aside = np.arange(len(rows)) % 5 == 4
-    return fit(rows, got["lang"].tolist(), aside)
+    rows = [(np.frombuffer(b, dtype=np.int32).astype(np.int64), np.frombuffer(n, dtype=np.int32).astype(np.float64)) for b, n in zip(got["bucket"], got["n"], strict=True)]
+    return fit(rows, got["lang"].tolist(), got["aside"].to_numpy(dtype=bool))
 
 
 def language(text: Column, model: LanguageModel) -> Column:
@@ -189,9 +200,14 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``identify`` doesn't reject, with their columns."""
-    found = language(F.col(text), model)
-    return docs.withColumn("_found", found).where((F.col("_found.lang") != NO_LANGUAGE) & (F.col("_found.score") >= model.reject_below)).drop("_found")
+    """The rows of ``docs`` that ``identify`` doesn't reject, with their columns, whatever their names.
+
+    Each row is judged by its text alone, so repeated rows, ties and null ids change nothing; null
+    texts and those without a letter go; an empty table gives no rows.
+    """
+    (found,) = free_names(docs, "_found")
+    judged = docs.withColumn(found, language(F.col(text), model))
+    return judged.where((F.col(found)["lang"] != NO_LANGUAGE) & (F.col(found)["score"] >= model.reject_below)).drop(found)
 
 
 def remainder(doc_id: Column) -> Column:

@@ -40,6 +40,84 @@ def test_language_needs_letters(spark, tables):
     assert language_id.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.train(docs)
+    other = ["Tämä on suomenkielinen lause joka kertoo metsästä ja järvestä", "これは日本語の文章です", "xqz wvk jjq zzkx vvbq qqxz", "Это предложение о погоде", "Bu cümle hava hakkında bilgi verir"]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"), model)
+    assert all(r.rejected for r in got.collect())
+    # texts of the learned languages that were not in the sample stay, but for the share that the threshold gives up
+    seen = language_id.identify(docs, model).join(docs.where("lang is not null").select("doc_id"), "doc_id", "left_semi").toPandas()
+    assert seen.rejected.mean() < 0.006
+
+
+def test_predictions_equal_a_plain_version(spark, tables):
+    docs, _ = tables
+    model = language_id.train(docs, per_language=30)
+    some = docs.where("text is not null").orderBy("doc_id").limit(25).toPandas()
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(some[["doc_id", "text"]]), model).collect()}
+    for doc_id, text in zip(some.doc_id, some.text, strict=True):
+        total, n = np.zeros(len(model.languages)), 0
+        for word in text.lower().encode().split():
+            padded = b" " + word + b" "
+            for size in (1, 2, 3, 4):
+                for at in range(len(padded) - size + 1):
+                    gram = padded[at : at + size]
+                    if gram == b" ":
+                        continue
+                    code = 0
+                    for byte in gram:
+                        code = (code * 257 + byte + 1) % 2**64
+                    total += model.table[((code + size) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language_id.BITS)]
+                    n += 1
+        z = np.exp((total / n + model.bias) / model.temperature)
+        assert got[doc_id].lang_pred == model.languages[int(z.argmax())]
+        assert got[doc_id].score == pytest.approx(z.max() / z.sum(), abs=1e-4)
+
+
+def test_language_fit_equals_plain_steps():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 6)), None) for _ in range(24)]
+    rows = [(b, rng.integers(1, 4, len(b)).astype(float)) for b, _ in rows]
+    langs = ["a" if b.min() < 5 else "b" for b, _ in rows]
+    model = language_id.fit(rows, langs, np.zeros(24, dtype=bool), dims=3, epochs=2, seed=6)
+    r = np.random.default_rng(6)
+    emb, out, bias = r.normal(0, 0.1, (1 << language_id.BITS, 3)), np.zeros((3, 2)), np.zeros(2)
+    out += r.normal(0, 0.1, out.shape)
+    sq_e, sq_o, sq_b = {}, np.full((3, 2), 1e-8), np.full(2, 1e-8)
+    for _ in range(2):
+        for j in r.permutation(24):
+            bucket, n = rows[j]
+            share = n / n.sum()
+            x = sum(w * emb[b] for b, w in zip(bucket, share, strict=True))
+            p = np.exp(x @ out + bias)
+            p = p / p.sum() - np.eye(2)[sorted(set(langs)).index(langs[j])]
+            g_x, g_o = out @ p, np.outer(x, p)
+            sq_o, sq_b = sq_o + g_o**2, sq_b + p**2
+            out, bias = out - 0.5 * g_o / np.sqrt(sq_o), bias - 0.05 * p / np.sqrt(sq_b)
+            for b, w in zip(bucket.tolist(), share, strict=True):
+                sq_e[b] = sq_e.get(b, 1e-8) + w * w * (g_x @ g_x)
+                emb[b] = emb[b] - 0.5 * w * g_x / np.sqrt(sq_e[b])
+    assert model.table == pytest.approx(emb @ out, abs=1e-4) and model.bias == pytest.approx(bias, abs=1e-5)
+
+
+def test_repeated_rows_of_a_language_count_once(spark):
+    rows = [(i, "xx" if i % 2 else "yy", f"{'aa bb' if i % 2 else 'cc dd'} {i}") for i in range(60)]
+    docs, again = (spark.createDataFrame(r, "doc_id long, lang string, text string") for r in (rows, rows + rows[:5] * 40))
+    a, b = language_id.train(docs), language_id.train(again)
+    assert np.array_equal(a.table, b.table) and a.reject_below == b.reject_below
+    with pytest.raises(ValueError):
+        language_id.train(docs, most_languages=1)
+
+
+def test_stages_keep_columns_of_any_name(spark, tables):
+    docs, labels = tables
+    clash = docs.selectExpr("*", "doc_id as _found", "doc_id as _row", "doc_id as _grade", "doc_id as _text").unionAll(docs.limit(3).selectExpr("*", "1", "1", "1", "1"))
+    for out in (language_id.keep_known(clash, language_id.train(docs)), quality_classifier.keep_good(clash, quality_classifier.train(docs, quality_classifier.quality_grades(labels), 3), 2)):
+        assert out.columns == clash.columns and 0 < out.count() <= clash.count()
+        assert out.limit(0).count() == 0
+
+
 def test_language_learns_from_nothing_or_one(spark):
     empty = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert language_id.train(empty).languages == []
@@ -78,6 +156,7 @@ def test_scores_equal_brute_force(spark, tables):
         kinds = set(words)
         b = quality_classifier.word_buckets(words)
         score = sum(model.weights[quality_classifier.word_buckets([w])[0, :3]].sum() for w in kinds) / len(kinds) ** 0.5
+        score += sum(model.weights[quality_classifier.PRESENT + quality_classifier.word_buckets([w])[0, 0]] for w in kinds)
         score += model.weights[b[:, 3]].mean() + model.weights[quality_classifier.REPEAT] * sum(x == y for x, y in zip(words, words[1:], strict=False)) / len(words)
         tail = 1 / (1 + np.exp(model.thresholds[1] - score))
         assert got[doc_id].tail_probability == pytest.approx(tail, abs=1e-4)
@@ -97,6 +176,51 @@ def test_quality_edges(spark, tables):
     assert kept == {(1, False), (2, False), (None, True), (3, True)}
 
 
+def test_common_words_take_the_short_way_to_the_same_buckets():
+    words = ["Hello", "ABC", "A", "idiot!", "end.", "x,", "été", "don't", "(a)", "12", "a1", "--", "über;", "Q?", "?", "NATO:"]
+    got = quality_classifier.word_buckets([w.encode() for w in words])
+    slow = quality_classifier.word_buckets([("\u200b" + w).encode() for w in words])  # an edge that is stripped
+    assert (got[:, :3] == slow[:, :3]).all()
+    shapes = {w: b for w, b in zip(words, got[:, 3].tolist(), strict=True)}
+    assert shapes["ABC"] != shapes["Hello"] == shapes["A"] == shapes["été"] and shapes["end."] != shapes["x,"]
+    assert shapes["über;"] == quality_classifier.word_buckets([b"uber;"])[0, 3]
+
+
+def test_repeated_rows_teach_once(spark, tables):
+    rows = [(1, "good words here")] * 500 + [(1, "other words")] + [(2, "bad words here")] * 500 + [(i, f"good text {i}") for i in range(10, 30)] + [(i, f"bad text {i}") for i in range(30, 50)]
+    ratings = [(1, 2), (1, 2), (2, 0), *((i, 2) for i in range(10, 30)), *((i, 0) for i in range(30, 50)), (None, 1), (99, None)]
+    docs, graded = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ratings, "doc_id long, grade int")
+    once = spark.createDataFrame(list(dict.fromkeys(rows)), "doc_id long, text string")
+    a, b = quality_classifier.train(docs, graded, 3), quality_classifier.train(once.repartition(3), graded, 3)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+
+
+def test_fit_equals_plain_steps():
+    # the same likelihood, its gradient by differences, in plain loops over dense vectors
+    rng = np.random.default_rng(1)
+    rows = [(np.array([0, 1, 2], dtype=np.int32), rng.normal(size=3).astype(np.float32)) for _ in range(30)]
+    grades = np.array([int(v[0] + v[1] > -0.5) + int(v[0] > 0.5) for _, v in rows])
+    model = quality_classifier.fit(list(rows), grades, 3, epochs=2, seed=4)
+    w, theta = np.zeros(3), np.log((share := np.array([(grades <= k).mean() for k in range(2)])) / (1 - share))
+    squares, squares_t, order = np.full(3, 1e-6), np.ones(2), np.random.default_rng(4)
+
+    def loss(w, theta, x, y):
+        low = 0.0 if y == 0 else 1 / (1 + np.exp(w @ x - theta[y - 1]))
+        up = 1.0 if y == 2 else 1 / (1 + np.exp(w @ x - theta[y]))
+        return -np.log(up - low)
+
+    for _ in range(2):
+        for j in order.permutation(30):
+            x, y, h = rows[j][1].astype(float), grades[j], 1e-6
+            g = np.array([(loss(w + h * e, theta, x, y) - loss(w - h * e, theta, x, y)) / (2 * h) for e in np.eye(3)]) + 1e-3 * w
+            t = np.array([(loss(w, theta + h * e, x, y) - loss(w, theta - h * e, x, y)) / (2 * h) for e in np.eye(2)])
+            squares += g * g
+            w = w - 0.3 * g / np.sqrt(squares)
+            squares_t += t * t
+            theta = np.sort(theta - 0.3 * t / np.sqrt(squares_t))
+    assert model.weights[:3] == pytest.approx(w, abs=1e-3) and model.thresholds == pytest.approx(theta, abs=1e-3)
+
+
 def test_worst_of_repeated_labels(spark):
     rows = [(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, None, None), (4, None, 1), (None, 1, 0)]
     got = {r.doc_id: r.grade for r in quality_classifier.quality_grades(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
