@@ -1,11 +1,13 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of the text, id), so equal texts lie together.  A sample of keys,
-drawn with weights by size, gives quantile boundaries that part the keys into ranges; ranges that
-turn out overfull are sampled again and subdivided.  Sums over the ranges and running sums inside
-each give every record its exact place in bytes and in rows, from which shards of near-equal
-bytes and gapless slots follow.  All of it is DataFrame work; the driver sees only the sample and
-one line for each range, both bounded by parameters.
+Records are ordered by (hash of the text, hash of the id, row number), so equal texts lie together
+and even repeated rows can be parted.  A sample of keys, drawn with weights by size, gives quantile
+boundaries that part the keys into ranges; ranges that turn out overfull are sampled again and
+subdivided.  Sums over the ranges and running sums inside each give every record its exact place
+in bytes and in rows, from which shards of near-equal bytes and gapless slots follow; a shard ends
+at the edge of a group of equal texts, unless the group is too large for that.  All of it is
+DataFrame work; the driver sees only the sample, one line for each range, both bounded by
+parameters, and one line for each of the groups where a shard ends.
 """
 
 from __future__ import annotations
@@ -19,19 +21,28 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash, written
 
-#: Hash of a text and hash of an id.
-Key = tuple[int, int]
+#: Hash of a text, hash of an id, and row number.
+Key = tuple[int, int, int]
+KEY = ("text_hash", "id_hash", "row")
 
 
 @dataclass(frozen=True)
 class RangePlan:
-    """``ranges`` is aimed at, ``sample`` keys are drawn in each round, a range is overfull beyond
-    ``over`` times the mean in rows or bytes, and at most ``rounds`` subdivisions follow."""
-
-    ranges: int = 1024
-    sample: int = 8192
+    """A range is to hold ``rows`` rows, and there are ``least`` to ``most`` ranges; ``draws`` keys
+    for each range are drawn in each round; a range is overfull beyond ``over`` times the mean in
+    rows or bytes, and at most ``rounds`` subdivisions follow.  A group of equal texts is parted
+    by a shard's end if it is larger than ``tolerance`` of a shard and than the largest record."""
+
+    rows: int = 200_000
+    least: int = 1024
+    most: int = 16_384
+    draws: int = 8
     over: float = 3.0
     rounds: int = 4
+    tolerance: float = 0.01
+
+    def ranges(self, rows: int) -> int:
+        return min(rows, max(self.least, min(self.most, rows // self.rows)))
 
 
 def _weighted_sample(keys: DataFrame, weight: Column, total: float, most: int, seed: int) -> list[Key]:
@@ -40,9 +51,9 @@ def _weighted_sample(keys: DataFrame, weight: Column, total: float, most: int, s
     ``total`` is the sum of the weights: about four times ``most`` ranks lie below the bound, so
     what all tasks together send stays near that, however many they are.
     """
-    rank = -F.log(unit_hash(F.struct("text_hash", "id_hash"), seed)) / weight
-    rows = keys.select("text_hash", "id_hash", rank.alias("_rank")).where(F.col("_rank") <= 4 * most / total).orderBy("_rank", "text_hash", "id_hash").limit(most).collect()
-    return [(r["text_hash"], r["id_hash"]) for r in rows]
+    rank = -F.log(unit_hash(F.struct(*KEY), seed)) / weight
+    rows = keys.select(*KEY, rank.alias("_rank")).where(F.col("_rank") <= 4 * most / total).orderBy("_rank", *KEY).limit(most).collect()
+    return [tuple(r[c] for c in KEY) for r in rows]
 
 
 def _quantiles(keys: list[Key], parts: int) -> list[Key]:
@@ -54,11 +65,11 @@ def _range_number(cuts: list[Key]) -> Column:
     """How many cuts are at or before the row's key: found among every 32nd cut, then between."""
     if not cuts:
         return F.lit(0)
-    key = F.struct(F.col("text_hash").alias("h"), F.col("id_hash").alias("i"))
-    blocks = [[{"h": h, "i": i} for h, i in cuts[at : at + 32]] for at in range(0, len(cuts), 32)]
+    key = F.struct(*[F.col(c).alias(n) for c, n in zip(KEY, "hir", strict=True)])
+    blocks = [[dict(zip("hir", cut, strict=True)) for cut in cuts[at : at + 32]] for at in range(0, len(cuts), 32)]
     # as text, parsed once: the optimizer folds it into one constant
-    inner = F.from_json(F.lit(json.dumps(blocks)), "array<array<struct<h:long,i:long>>>")
-    heads = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<struct<h:long,i:long>>")
+    inner = F.from_json(F.lit(json.dumps(blocks)), "array<array<struct<h:long,i:long,r:long>>>")
+    heads = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<struct<h:long,i:long,r:long>>")
     before = F.size(F.filter(heads, lambda c: c <= key))
     within = F.size(F.filter(F.element_at(inner, F.greatest(before, F.lit(1))), lambda c: c <= key))
     return F.when(before == 0, 0).otherwise((before - 1) * 32 + within)
@@ -72,7 +83,9 @@ def _cut(keys: DataFrame, plan: RangePlan) -> tuple[list[Key], list[tuple[int, i
         return [], []
     # half the weight by bytes and half by rows, so that neither many tiny nor a few huge texts fill a range
     weight = F.col("size") / F.lit(float(size)) + F.lit(1.0 / n)
-    cuts = _quantiles(_weighted_sample(keys, weight, 2.0, plan.sample, 1), min(plan.ranges, n))
+    ranges = plan.ranges(n)
+    sample = plan.draws * ranges
+    cuts = _quantiles(_weighted_sample(keys, weight, 2.0, sample, 1), ranges)
     for round_ in range(plan.rounds + 1):
         stats = keys.groupBy(_range_number(cuts).alias("range")).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
         parts = max(1, len(cuts))
@@ -82,7 +95,7 @@ def _cut(keys: DataFrame, plan: RangePlan) -> tuple[list[Key], list[tuple[int, i
             break
         inside = keys.withColumn("_range", _range_number(cuts)).where(F.col("_range").isin(overfull))
         held = sum(r["n"] / n + r["b"] / size for r in stats if r["range"] in set(overfull))
-        extra = _weighted_sample(inside, weight, held, plan.sample, 2 + round_)
+        extra = _weighted_sample(inside, weight, held, sample, 2 + round_)
         by_range: dict[int, list[Key]] = {}
         for key in extra:
             by_range.setdefault(bisect.bisect_right(cuts, key), []).append(key)
@@ -96,13 +109,14 @@ def _cut(keys: DataFrame, plan: RangePlan) -> tuple[list[Key], list[tuple[int, i
 def shard_by_bytes(docs: DataFrame, shards: int = 8, plan: RangePlan = RangePlan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: in order of (text hash, id), shard k takes the records whose middle byte
-    lies in the k-th of ``shards`` equal parts of all bytes, so shards differ by no more than
-    about one record.  Equal texts stay side by side and part only where a shard ends among them.
-    Size is the text's UTF-8 bytes plus 1; a null text has size 1 and, as one of its own, the
-    crc32 of no bytes (0), like an empty one.  Slots count from 0 inside a shard without gaps.
-    Null ids and repeated rows are records like others; an empty table gives no rows; other
-    columns are neither read nor returned.
+    The law is ``bytes``: in order of (text hash, id hash), shard k takes the records whose middle
+    byte lies in the k-th of ``shards`` equal parts of all bytes.  Equal texts stay side by side; a
+    group of them that a shard's end would part goes whole to the shard of its middle byte, unless
+    it is larger than the plan's tolerance.  So shards differ from the mean by no more than the
+    tolerance or one record, whichever is larger.  Size is the text's UTF-8 bytes plus 1; a null
+    text has size 1 and, as an empty one, the crc32 of no bytes (0), and is of their group.
+    Slots count from 0 inside a shard without gaps.  Null ids and repeated rows are records like
+    others; an empty table gives no rows; other columns are neither read nor returned.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keys = written(
@@ -112,6 +126,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, plan: RangePlan = RangePlan
             F.crc32(body).alias("text_crc32"),
             F.xxhash64(body).alias("text_hash"),
             F.xxhash64(F.col(doc_id), F.lit(17)).alias("id_hash"),
+            F.monotonically_increasing_id().alias("row"),  # fixed by writing it
         ),
         "sharding-keys",
     )
@@ -125,22 +140,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, plan: RangePlan = RangePlan
     spark = docs.sparkSession
     # one line for each range, so its size is bounded by the plan
     table = F.broadcast(spark.createDataFrame(offsets, "range int, rows_before long, bytes_before long"))
-    order = Window.partitionBy("range").orderBy("text_hash", "id_hash", "doc_id", "size")
-    placed = (
+    order = Window.partitionBy("range").orderBy(*KEY)
+    placed = written(
         keys.withColumn("range", _range_number(cuts).cast("int"))
         .withColumn("_nth", F.row_number().over(order) - 1)
         .withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .join(table, "range")
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            (F.col("rows_before") + F.col("_nth")).alias("_at"),
-            # twice the middle byte's place over twice all bytes, in whole numbers
-            F.least(F.lit(shards - 1), F.expr(f"((2 * (bytes_before + _upto) - size) * {shards}L) div {max(1, 2 * total)}L").cast("int")).alias("shard"),
-        )
+        .select("doc_id", "size", "text_crc32", "text_hash", (F.col("rows_before") + F.col("_nth")).alias("_at"), (F.col("bytes_before") + F.col("_upto") - F.col("size")).alias("_from")),
+        "sharding-places",
     )
-    placed = written(placed, "sharding-places")
+    # twice the middle byte's place over twice all bytes, in whole numbers
+    own = F.least(F.lit(shards - 1), F.expr(f"((2 * _from + size) * {shards}L) div {max(1, 2 * total)}L").cast("int"))
+    for text_key, shard in _whole_groups(placed, shards, total, plan):
+        own = F.when(F.col("text_hash") == text_key, F.lit(shard)).otherwise(own)
+    placed = placed.withColumn("shard", own)
     first = F.broadcast(placed.groupBy("shard").agg(F.min("_at").alias("_first")))  # a line for each shard
     return placed.join(first, "shard").select(
         "doc_id",
@@ -151,3 +164,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, plan: RangePlan = RangePlan
         (F.col("_at") - F.col("_first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _whole_groups(placed: DataFrame, shards: int, total: int, plan: RangePlan) -> list[tuple[int, int]]:
+    """(text hash, shard) of the groups of equal texts that shards' ends would part and needn't."""
+    ends = F.transform(F.sequence(F.lit(1), F.lit(max(1, shards - 1))), lambda k: k.cast("long") * total)
+    parted = placed.where(F.exists(ends, lambda e: (F.col("_from") * shards <= e) & (e < (F.col("_from") + F.col("size")) * shards)))
+    at = [r["text_hash"] for r in parted.select("text_hash").distinct().collect()]  # one for each end of a shard
+    largest = placed.agg(F.max("size")).first()[0] or 0
+    most = max(plan.tolerance * total / shards, largest)
+    groups = placed.where(F.col("text_hash").isin(at)).groupBy("text_hash").agg(F.min("_from").alias("a"), F.max(F.col("_from") + F.col("size")).alias("b")).collect()
+    return [(r["text_hash"], min(shards - 1, (r["a"] + r["b"]) * shards // (2 * total))) for r in groups if r["b"] - r["a"] <= most]
