@@ -1,5 +1,7 @@
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rolecall.llm import url_filters as uf
 
@@ -7,6 +9,7 @@ URLS = [
     (1, "http://A.Example.ORG/es/1?q#f"), (2, "https://example.org/en/12"), (3, "https://example.org/en/2"), (4, "https://x.com/fr/1"), (5, "https://x.com/de/1"),
     (6, "https://bad.net/1"), (7, "https://bad.net/2"), (8, "https://good.net"), (9, None), (10, "no scheme.org/"), (11, ""), (12, "ftp://org"), (13, "://com/fr/"),
     (14, "http://notexample.org/es/9"), (15, "http://ÄB.co.uk/#x"), (15, "http://ÄB.co.uk/#x"), (None, "https://bad.net/3"), (16, "http://a.b.co.uk?x"), (17, "a://b://c"), (18, "http://com/de/" + "x" * 50000),
+    (6, "http://u:p@shop.bad.net:8080/1"), (20, "http://shop.bad.net./2"), (21, "http://10.1.2.3:80/"), (22, "http://10.9.2.3"), (23, "http://[::1]:80/x"), (24, "http://u@x.gov.au"), (25, "http://co.uk"), (26, "http://..:7"), (27, "http://a.b.com.example"),
 ]
 
 
@@ -45,6 +48,31 @@ def test_equals_sql(spark, tables, empty):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_levels_of_hosts(spark):
+    cases = {
+        "shop.example.co.uk:8080": ("example.co.uk", "co.uk"), "u@x.org": ("x.org", "org"), "u:p@a.x.org.": ("x.org", "org"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"),
+        "[::1]:80": ("[::1]", "[::1]"), "co.uk": ("co.uk", "co.uk"), "a.b.gov.au": ("b.gov.au", "gov.au"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.co.example": ("co.example", "example"), "a.blog.pages.dev": ("pages.dev", "dev"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string").withColumn("name", uf.name_of(F.col("host")))
+    for listed in ((), ("pages.dev", "kawasaki.jp")):
+        known = uf.Suffixes(listed=listed)
+        got = {r.host: (r.d, r.s) for r in hosts.select("host", uf.domain_of(F.col("name"), known).alias("d"), uf.suffix_of(F.col("name"), known).alias("s")).collect()}
+        assert got == cases | ({"a.blog.pages.dev": ("blog.pages.dev", "pages.dev")} if listed else {})
+
+
+def test_bound_is_near_the_beta_quantile():
+    x = (np.arange(200_000) + 0.5) / 200_000
+    worst = 0.0
+    for a in (5, 8, 20, 100, 900):
+        for b in (5, 8, 20, 100, 900):
+            density = (a - 1) * np.log(x) + (b - 1) * np.log(1 - x)
+            density = np.exp(density - density.max())
+            exact = x[np.searchsorted(np.cumsum(density) / density.sum(), 0.1)]
+            mean = a / (a + b)
+            worst = max(worst, abs(mean - uf.Reputation.z * np.sqrt(mean * (1 - mean) / (a + b + 1)) - exact))
+    assert worst < 0.01
+
+
 def test_host_is_shrunk_to_its_domain(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 40}.{'bad' if i % 2 else 'fine'}.net/{i}") for i in range(800)] + [(1000, "http://new.bad.net"), (1001, "http://new.fine.net")], "page_id long, url string")
     outcomes = spark.createDataFrame([(i, i % 2 == 0 or i % 20 == 1) for i in range(800)], "page_id long, good boolean")
