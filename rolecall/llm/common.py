@@ -84,6 +84,29 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+#: Bitmaps of a filter by ``marked``, each of 4 KB: 2^25 bits, whatever the data's size.
+BITMAPS = 1024
+
+
+def marked(df: DataFrame, flag: str, code: Column, wanted: DataFrame, wanted_code: Column) -> DataFrame:
+    """``df`` with a boolean ``flag``: false only for rows whose ``code`` (a long) none of ``wanted`` has.
+
+    The codes of ``wanted`` set bits of a Bloom filter of one hash and of fixed size (4 MB), so it
+    may be broadcast.  It spares rows that can't match the shuffle of the join that follows; where
+    ``wanted`` has more codes than bits, all are marked and the join does what it would have done.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768))
+    bits = wanted.select(place(wanted_code).alias("_p")).groupBy(F.pmod("_p", F.lit(BITMAPS)).alias("_bucket")).agg(F.bitmap_construct_agg(F.floor(F.col("_p") / BITMAPS)).alias("_bits"))
+    bucket, at = free_names(df, "_bucket", "_at")
+    (mask,) = free_names(df, "_bits")
+    bits = written(bits, "filter-bits").select(F.col("_bucket").alias(bucket), F.col("_bits").alias(mask))
+    rows = df.withColumn(at, place(code)).withColumn(bucket, F.pmod(at, F.lit(BITMAPS)))
+    bit = F.floor(F.col(at) / BITMAPS)
+    byte = F.conv(F.hex(F.substring(mask, (F.floor(bit / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    is_set = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bits), bucket, "left").withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(bucket, at, mask)
+
+
 def unit_hash(column: Column, seed: int) -> Column:
     """A seeded pseudo-random double in (0, 1) for each value of ``column``."""
     bits = F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, row_hash, text_hash, written
+from .common import free_names, marked, row_hash, text_hash, written
 from .words import WordTable
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -312,7 +312,7 @@ def _judged(rows: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
         spread.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.lit(1 / params.block) + F.col("n") / params.block_grams).alias("load")).where("members > 1").select("key", F.ceil("load").cast("int").alias("parts")),
         "buckets",
     )
-    members = spread.select("set_key", "pos", "key").join(shared, "key").join(classes.select("set_key", "n", "copies", "bands"), "set_key")
+    members = marked(spread.select("set_key", "pos", "key"), "maybe", F.col("key"), shared, F.col("key")).where("maybe").join(shared, "key").join(classes.select("set_key", "n", "copies", "bands"), "set_key")
     cells = (
         members.withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -322,7 +322,8 @@ def _judged(rows: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
     need = written(_needed(cells.repartition(*order).sortWithinPartitions(*order, "set_key"), params.threshold), "to-verify")
     # one text for each class that has a pair: that of its least row
     wanted = written(need.select("set_key").distinct().join(classes, "set_key").select(F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")).distinct(), "texts-wanted")
-    texts = rows.select("doc_id", "text_hash", "text").where("text is not null").join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    maybe = marked(rows.select("doc_id", "text_hash", "text").where("text is not null"), "maybe", F.col("text_hash"), wanted, F.col("text_hash")).where("maybe").drop("maybe")
+    texts = maybe.join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     sets = written(_sets(texts, params), "gram-sets")
     found = written(_verified(need.join(sets, "set_key").repartition(*order).sortWithinPartitions(*order, "set_key"), params), "verified")
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
@@ -369,8 +370,10 @@ def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "
     keys = ["doc_id", "text_hash", "row_hash"]
     gone = written(in_class.join(stays, keys, "left_anti").select(keys), "rows-dropped")
     again = written(in_class.where("times > 1").join(stays, keys, "left_semi").select(keys), "rows-repeated")
-    (key,) = free_names(docs, "_row")
+    key, maybe = free_names(docs, "_row", "_maybe")
     rows = docs.withColumn(key, F.struct(F.col(doc_id).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), row_hash(docs).alias("row_hash")))
     listed = lambda table: table.select(triple.alias(key))
-    left = rows.join(listed(gone.unionAll(again)), key, "left_anti")
-    return left.unionAll(rows.join(listed(again), key, "left_semi").dropDuplicates([key])).drop(key)
+    rows = marked(rows, maybe, F.col(key)["text_hash"], gone.unionAll(again), F.col("text_hash"))
+    sure, asked = rows.where(~F.col(maybe)), rows.where(maybe)
+    left = asked.join(listed(gone.unionAll(again)), key, "left_anti")
+    return sure.unionByName(left).unionByName(asked.join(listed(again), key, "left_semi").dropDuplicates([key])).drop(key, maybe)

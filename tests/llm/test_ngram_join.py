@@ -71,6 +71,57 @@ def test_groups_copies_and_edges(spark, block):
     assert nj.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_decide_where_ids_repeat(spark):
+    a, b = "one text of some six words here", "another text of quite some other words"
+    rows = [(1, a, "x"), (1, a, "x"), (5, a, "y"), (5, b, "y"), (7, b, "z"), (7, b, "w"), (None, a, "n"), (None, a, "n"), (8, None, "e"), (8, None, "e"), (9, " ", "e")]
+    docs = spark.createDataFrame([(*r, 1, 2, {"k": 1}) for r in rows], "doc_id long, text string, lang string, _gone int, _row int, extra map<string,int>")
+    out = nj.keep_one(docs)
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "", r.lang) for r in out.collect())
+    # one row of text A, the row of text B with the least id, and all rows without words or id
+    assert kept == sorted([(1, a, "x"), (5, b, "y"), (0, a, "n"), (0, a, "n"), (8, "", "e"), (8, "", "e"), (9, " ", "e")])
+    assert kept == sorted((r.doc_id or 0, r.text or "", r.lang) for r in nj.keep_one(docs.orderBy("lang", ascending=False).repartition(3)).collect())
+    judged = sorted(map(tuple, nj.near_duplicates(docs).collect()), key=str)
+    assert judged == brute([r[:2] for r in rows])
+    two = [(1, a), (2, a), (3, b), (3, a + " x"), (4, b), (1, b)]  # ids that come with several texts
+    assert sorted(map(tuple, nj.near_duplicates(spark.createDataFrame(two, "doc_id long, text string")).collect()), key=str) == brute(two)
+
+
+def test_many_repeats_of_one_row(spark):
+    base = [f"w{k}" for k in range(300)]
+    near = [*base[:-1], "edit"]
+    docs = spark.range(200_000).selectExpr("7L as doc_id", f"'{' '.join(base)}' as text").unionAll(spark.createDataFrame([(9, " ".join(near))], "doc_id long, text string"))
+    got = {tuple(r): r["count"] for r in nj.near_duplicates(docs).groupBy("doc_id", "class_id", "n_links").count().collect()}
+    assert got == {(7, 7, 200_000, 200_000): 200_000, (9, 7, 200_000, 1): 1}
+    assert [r.doc_id for r in nj.keep_one(docs).collect()] == [7]
+
+
+def test_blocks_are_bounded_by_grams(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(2000)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        w[rnd.randrange(2000)] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), nj.JoinParams(block_grams=5000))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_filter_marks_all_that_match(spark):
+    from pyspark.sql import functions as F
+
+    from rolecall.llm.common import marked
+
+    wanted = spark.range(0, 3000, 3)
+    df = spark.range(20_000).selectExpr("id as _bucket", "id as _at", "id as _bits")
+    got = marked(df, "flag", F.col("_at"), wanted, F.col("id"))
+    assert got.columns == [*df.columns, "flag"]
+    hit = {r._at for r in got.where("flag").collect()}
+    assert set(range(0, 3000, 3)) <= hit and len(hit) < 1100
+    assert marked(df, "flag", F.col("_at"), wanted.limit(0), F.col("id")).where("flag").count() == 0
+
+
 def test_banding_reaches_recall():
     for t, recall in ((0.8, 0.999), (0.9, 0.99), (1.0, 0.9)):
         bands, rows = nj.JoinParams(threshold=t, recall=recall).bands_rows
