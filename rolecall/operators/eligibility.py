@@ -3,7 +3,7 @@
 Input columns: the requirement fields (as ``extract`` names them), the posting's title,
 description and location, and the profile's degree, branch, graduation_year,
 years_of_experience, skills (canonical), preferred_locations, work_authorization,
-``own_certifications`` and willing_to_relocate.  Verdicts come from mandatory checks only.
+``own_certifications``, willing_to_relocate, own_field and own_level (as ``pair`` finds them).  Verdicts come from mandatory checks only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import text as tx
+from ..storage import written
 
 
 def _texts(*items: Column | str) -> Column:
@@ -45,7 +46,7 @@ def readable() -> Column:
 
 def degree_check() -> Column:
     check = lambda *a, **k: _check("DEGREE_LEVEL", "Degree level", *a, **k)
-    mine, asked = tx.degree_level(F.concat_ws(" ", "degree", "branch")), F.col("degree_level")
+    mine, asked = F.col("own_level"), F.col("degree_level")
     label, own = tx.degree_label(asked), tx.degree_label(mine)
     return (
         F.when(asked.isin("UNKNOWN", "ANY"), check("UNKNOWN", False, "The posting does not state a required degree level.", unknown=_texts("Required degree level is not specified in the posting.")))
@@ -67,7 +68,7 @@ def _relation(mine: Column, asked: Column) -> Column:
 
 def field_check() -> Column:
     check = lambda *a, **k: _check("EDUCATION", "Field of study", *a, **k)
-    mine, own = F.col("_field"), tx.field_label(F.col("_field"))
+    mine, own = F.col("own_field"), tx.field_label(F.col("own_field"))
     asked = F.array_join(F.transform("fields", tx.field_label), " or ")
     related = F.transform("fields", lambda f, i: F.struct(_relation(mine, f)["score"].alias("score"), (-i).alias("order"), f.alias("field"), _relation(mine, f).alias("rel")))
     best = F.array_max(F.transform(related, lambda r: F.struct(r["score"].alias("score"), r["order"].alias("order"), r["field"].alias("field"), r["rel"]["strength"].alias("strength"), r["rel"]["why"].alias("why"))))
@@ -193,8 +194,7 @@ CHECKS = {"readable": readable, "degree": degree_check, "field": field_check, "e
 
 def with_checks(pairs: DataFrame) -> DataFrame:
     """Adds ``checks``: eight or nine of them, in a fixed order."""
-    keyed = pairs.withColumn("_field", tx.field_of(F.col("branch")))
-    return keyed.withColumn("checks", F.array_compact(F.array(*[make() for make in CHECKS.values()]))).drop("_field")
+    return pairs.withColumn("checks", F.array_compact(F.array(*[make() for make in CHECKS.values()])))
 
 
 def decide(checks: Column) -> Column:
@@ -250,8 +250,10 @@ def analyse(pairs: DataFrame) -> DataFrame:
 def pair(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each ACTIVE posting with its user's profile; the profile's skills are brought to ids.
 
-    ``jobs`` has the requirement fields as columns.  The join is by user; the planner broadcasts
-    the profiles where they are small.
+    ``jobs`` has the requirement fields as columns.  What hangs on the profile alone (skills' ids,
+    field of study, degree level) is found once for each profile and written, before the join by
+    user; the planner broadcasts the profiles where they are small.
     """
-    mine = profiles.select("user_id", "degree", "branch", "graduation_year", "years_of_experience", tx.canonical_skills(F.col("skills")).alias("skills"), "preferred_locations", F.col("work_authorization").alias("own_authorization"), F.col("certifications").alias("own_certifications"), "willing_to_relocate")
+    mine = profiles.select("user_id", "degree", "branch", "graduation_year", "years_of_experience", tx.canonical_skills(F.col("skills")).alias("skills"), "preferred_locations", F.col("work_authorization").alias("own_authorization"), F.col("certifications").alias("own_certifications"), "willing_to_relocate", tx.field_of(F.col("branch")).alias("own_field"), tx.degree_level(F.concat_ws(" ", "degree", "branch")).alias("own_level"))
+    mine = written(mine, "profiles-read")
     return jobs.where("status = 'ACTIVE'").join(mine, "user_id")

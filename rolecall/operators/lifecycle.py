@@ -68,17 +68,25 @@ def merge_groups(jobs: DataFrame, keys: Sequence[str] = ("company_id", "fingerpr
     return out.withColumn("also_seen_at", F.array_remove("_urls", F.col("source_url"))).drop("_urls")
 
 
+def _keyed(jobs: DataFrame) -> DataFrame:
+    """Postings with the keys that duplicates share, written once for all the joins on them."""
+    keyed = jobs.select(
+        "id", "company_id", "posted_at", F.coalesce("is_official", F.lit(False)).alias("is_official"), F.nullif(tx.comparable(F.col("external_job_id")), F.lit("")).alias("ext"),
+        tx.comparable(F.col("title")).alias("name"), tx.location_key(F.col("location")).alias("place"), F.array_distinct(tx.tokens(F.col("title"))).alias("words"),
+    )
+    return written(keyed, "keyed-titles")
+
+
 def duplicate_links(jobs: DataFrame, threshold: float = 0.82, days: int = 21) -> DataFrame:
     """a, b, tier, confidence of postings of one company that are the same vacancy, a < b.
 
-    Tier 1 (same external id) and tier 2 (same title and place) link each posting to the least id
-    of its group, not all pairs.  Tier 3 (similar titles at one place, dates near, one official)
-    joins on the rare tokens that two titles this similar must share.
+    No tier makes all pairs of a group.  Tier 1 (same external id) and tier 2 (same title and place)
+    link each posting to the least id of its group.  Tier 3 (similar titles at one place, dates
+    near, one official) is between groups: postings of one company, title, place, date and
+    officialness are alike in all that decides, so the least ids of two such groups stand for all
+    their pairs, and membership is tier 2 with equal date and officialness.
     """
-    keyed = jobs.select(
-        "id", "company_id", "posted_at", "is_official", F.nullif(tx.comparable(F.col("external_job_id")), F.lit("")).alias("ext"),
-        tx.comparable(F.col("title")).alias("name"), tx.location_key(F.col("location")).alias("place"), F.array_distinct(tx.tokens(F.col("title"))).alias("words"),
-    )
+    keyed = _keyed(jobs)
 
     def star(rows: DataFrame, *keys: str) -> DataFrame:
         heads = rows.groupBy("company_id", *keys).agg(F.min("id").alias("a"), F.count("*").alias("_n")).where("_n > 1")
@@ -87,7 +95,11 @@ def duplicate_links(jobs: DataFrame, threshold: float = 0.82, days: int = 21) ->
     one = star(keyed.where("ext is not null"), "ext").select("a", "b", F.lit(1).alias("tier"), F.lit(1.0).alias("confidence"))
     placed = keyed.where("place <> ''")
     two = star(placed, "name", "place").select("a", "b", F.lit(2).alias("tier"), F.lit(0.97).alias("confidence"))
-    return one.unionAll(two).unionAll(_similar(placed, placed, threshold, days, F.col("x.id") < F.col("y.id")).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.lit(3).alias("tier"), "confidence"))
+    titles = _titles(placed)
+    groups = _groups(placed, titles)
+    near = _near(groups, _similar_titles(titles, threshold), groups, days)
+    three = near.where("x.low < y.low").select(F.col("x.low").alias("a"), F.col("y.low").alias("b"), F.lit(3).alias("tier"), "confidence")
+    return one.unionAll(two).unionAll(three)
 
 
 def _prefix(rows: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
@@ -98,36 +110,82 @@ def _prefix(rows: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     return rows.join(ranked, "id").withColumn("token", F.explode(F.slice("rare", F.lit(1), keep))).drop("rare")
 
 
-def _similar(left: DataFrame, right: DataFrame, threshold: float, days: int, test: Column) -> DataFrame:
-    """Pairs of tier 3: x of ``left``, y of ``right``, other than identical titles."""
-    counts = left.select("words").unionAll(right.select("words")).select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    x, y = _prefix(left, counts, threshold).alias("x"), _prefix(right, counts, threshold).alias("y")
+_TITLE = ("company_id", "place", "name")
+
+
+def _titles(placed: DataFrame) -> DataFrame:
+    """Distinct titles of a company and place, each known by the least of its postings' ids."""
+    return written(placed.groupBy(*_TITLE).agg(F.min("id").alias("id"), F.first("words").alias("words")), "titles")
+
+
+def _similar_titles(titles: DataFrame, threshold: float) -> DataFrame:
+    """x, y, confidence of different titles at one company and place, in both orders."""
+    counts = titles.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rare = _prefix(titles, counts, threshold)
+    x, y = rare.alias("x"), rare.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("company_id", "place", "token")]
-    gap = F.abs(F.datediff("x.posted_at", "y.posted_at"))
     alike = tx.token_similarity(F.col("x.words"), F.col("y.words"))
-    near = (F.col("x.name") != F.col("y.name")) & (gap.isNull() | (gap <= days)) & (F.col("x.is_official") | F.col("y.is_official"))
-    found = x.join(y, same[0] & same[1] & same[2] & test & near).select(F.col("x.id").alias("x_id"), F.col("y.id").alias("y_id"), alike.alias("confidence"))
-    return found.where(F.col("confidence") >= threshold).distinct()
+    found = x.join(y, same[0] & same[1] & same[2] & (F.col("x.id") != F.col("y.id"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), alike.alias("confidence"))
+    return written(found.where(F.col("confidence") >= threshold).distinct(), "similar-titles")
 
 
-def already_tracked(upserts: DataFrame, existing: DataFrame, threshold: float = 0.82, days: int = 21) -> DataFrame:
-    """Upserts that no other stored posting, of any status, duplicates."""
+def _groups(placed: DataFrame, titles: DataFrame) -> DataFrame:
+    """title, posted_at, is_official, and the least and greatest id of the postings alike in them."""
+    named = placed.join(titles.select(*_TITLE, F.col("id").alias("title")), list(_TITLE))
+    return written(named.groupBy("title", "posted_at", "is_official").agg(F.min("id").alias("low"), F.max("id").alias("high")), "title-days")
+
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select("id", "company_id", "posted_at", "is_official", F.nullif(tx.comparable(F.col("external_job_id")), F.lit("")).alias("ext"), tx.comparable(F.col("title")).alias("name"), tx.location_key(F.col("location")).alias("place"), F.array_distinct(tx.tokens(F.col("title"))).alias("words"))
+def _near(left: DataFrame, similar: DataFrame, right: DataFrame, days: int) -> DataFrame:
+    """x (of ``left``) joined with y (of ``right``) of similar titles, dates near or unknown, one
+    official.  Days are met by periods of their length, so that the join is on equal keys only."""
+    period = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / (days + 1))
+    x = left.join(similar, F.col("title") == F.col("x")).drop("x").withColumn("_at", F.explode(F.when(F.col("posted_at").isNotNull(), F.array(*[period(F.col("posted_at")) + k for k in (-1, 0, 1)])).otherwise(F.array(F.lit(None).cast("long")))))
+    y = right.withColumn("_at", period(F.col("posted_at")))
+    official = F.col("x.is_official") | F.col("y.is_official")
+    title = F.col("x.y") == F.col("y.title")
+    dated = x.where("posted_at is not null").alias("x").join(y.where("posted_at is not null").alias("y"), title & (F.col("x._at") == F.col("y._at")) & official & (F.abs(F.datediff("x.posted_at", "y.posted_at")) <= days))
+    whole = x.where(F.col("posted_at").isNull()).alias("x").join(y.alias("y"), title & official)
+    once = x.where(F.col("posted_at").isNotNull() & (F.col("_at") == period(F.col("posted_at"))))
+    undated = once.alias("x").join(y.where("posted_at is null").alias("y"), title & official)
+    return dated.unionAll(whole).unionAll(undated)
+
+
+def already_tracked(upserts: DataFrame, existing: DataFrame, threshold: float = 0.82, days: int = 21) -> DataFrame:
+    """Upserts that no other stored posting, of any status, duplicates.
 
-    u, e = keyed(upserts), keyed(existing)
+    Each upsert meets stored groups of postings that are alike in all that decides, not each of
+    them; of a group's ids the least and the greatest tell whether one is other than its own.
+    """
+    u, e = _keyed(upserts), _keyed(existing)
 
     def clash(*keys: str) -> DataFrame:
-        # of a key's stored ids, the least and the greatest tell whether one is other than mine
         stored = e.groupBy("company_id", *keys).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
         return u.join(stored, ["company_id", *keys]).where("id <> _low or id <> _high").select("id")
 
-    near = _similar(u.where("place <> ''"), e.where("place <> ''"), threshold, days, F.col("x.id") != F.col("y.id")).select(F.col("x_id").alias("id"))
-    hit = clash("ext").unionAll(clash("name", "place").join(u.where("place <> ''").select("id"), "id", "left_semi")).unionAll(near).distinct()
+    placed, stored = u.where("place <> ''"), e.where("place <> ''")
+    titles = _titles(placed.unionAll(stored))
+    mine = placed.join(titles.select(*_TITLE, F.col("id").alias("title")), list(_TITLE)).select("id", "title", "posted_at", "is_official")
+    near = _near(mine, _similar_titles(titles, threshold), _groups(stored, titles), days).where("x.id <> y.low or x.id <> y.high").select("x.id")
+    hit = clash("ext").unionAll(clash("name", "place").join(placed.select("id"), "id", "left_semi")).unionAll(near).distinct()
     return upserts.join(hit, "id", "left_anti")
 
 
+def title_pairs(jobs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """company_id, a, b, similarity of a company's different titles (as token sets) that are similar.
+
+    Equal sets are one, known by the least of its postings' ids; pairs are proposed by the rare
+    tokens that two titles this similar must share, never all of a company's.
+    """
+    words = F.array_sort(F.array_distinct(tx.tokens(F.col("title"))))
+    sets = written(jobs.select("id", "company_id", words.alias("words")).where(F.size("words") > 0).groupBy("company_id", "words").agg(F.min("id").alias("id")), "title-sets")
+    counts = sets.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rare = _prefix(sets, counts, threshold)
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.company_id") == F.col("y.company_id")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")))
+    pairs = met.select("x.company_id", F.col("x.id").alias("a"), F.col("y.id").alias("b"), tx.token_similarity(F.col("x.words"), F.col("y.words")).alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold).distinct()
+
+
 def changed(old: str = "e", new: str = "c", fields: Sequence[str] = lx.WATCHED_FIELDS) -> Column:
     """Whether a watched field differs in its comparable form."""
     form = lambda c: tx.comparable(F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\.0$", ""), F.lit("")))

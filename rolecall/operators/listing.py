@@ -98,10 +98,17 @@ def closing_between(rows: DataFrame, as_of: Column, days: int, most: int = 100)
     return near.withColumn("days_left", F.datediff("closing_at", as_of)).orderBy("closing_at", "id").limit(most)
 
 
+#: Columns that a place is looked for in.
+PLACES = ("location", "city", "country")
+
+
 def company_page(rows: DataFrame, as_of: Column, location: str | None = None, employment_type: str | None = None, tab: str | None = None, experience: str | None = None, posted: str | None = None) -> DataFrame:
+    """Postings of a company's page: place (a part of location, city or country, those that are
+    columns), employment type, verdict tab, experience and posting date."""
     out = rows
     if location:
-        out = out.where(F.contains(F.lower(F.concat_ws(" ", "location")), F.lit(location.lower())))
+        places = F.concat_ws(" ", *[F.col(c) for c in PLACES if c in rows.columns])
+        out = out.where(F.contains(F.lower(places), F.lit(location.lower())))
     if employment_type:
         out = out.where(F.col("employment_type") == employment_type)
     if tab:

@@ -39,14 +39,18 @@ def repr_sql(v: object) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-COMPANIES = f"""SELECT CAST(c_custkey AS STRING) AS company_id, CAST(c_nationkey AS STRING) AS user_id,
+#: Twenty customers are one user's companies, so users grow with customers.
+_USER_KEY = "CAST(FLOOR(c_custkey / 20) AS BIGINT)"
+_USER = f"CAST({_USER_KEY} AS STRING)"
+
+COMPANIES = f"""SELECT CAST(c_custkey AS STRING) AS company_id, {_USER} AS user_id,
   {_case('c_custkey', ('Tata Chemicals Limited', 'Acme & Sons Pvt. Ltd.', "O''Neil Group Holdings".replace("''", "'"), 'The Company', 'Delta Corp', 'delta corporation', 'Blue-Sky Process'))} || CASE WHEN c_custkey % 11 = 0 THEN '' ELSE ' ' || CAST(c_custkey % 40 AS STRING) || ' ltd.' END AS name,
   {_case('c_custkey', ('DAILY', 'EVERY_12H', 'EVERY_6H', 'MANUAL'))} AS refresh_mode,
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(DATE '1998-05-28' + MAKE_D(c_custkey % 6) AS DATE) END AS last_researched_on,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'https://careers.c' || CAST(c_custkey % 50 AS STRING) || '.example.com/jobs/' END AS careers_url
 FROM {{customer}}"""
 
-POSTINGS = f"""SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS company_id, CAST(c_nationkey AS STRING) AS user_id,
+POSTINGS = f"""SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS company_id, {_USER} AS user_id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'REQ-' || CAST(o_orderkey % 40 AS STRING) ELSE NULL END AS external_job_id,
   {_case('o_orderkey', _TITLES)} AS title,
   {_case('(o_orderkey + o_custkey)', _DESCRIPTIONS)} AS description,
@@ -67,18 +71,18 @@ POSTINGS = f"""SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING
   CAST(CAST(o_orderdate AS DATE) + MAKE_D(1) AS DATE) AS first_seen_on
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey"""
 
-PROFILES = f"""SELECT CAST(n_nationkey AS STRING) AS user_id, 'User' || CAST(n_nationkey AS STRING) || '@Example.com' AS email,
-  {_case('n_nationkey', ('B.Tech', 'M.Sc', 'Diploma', 'BE', ' '))} AS degree,
-  {_case('n_nationkey', ('Chemical Engineering', 'Chemistry', 'Mechanical Engineering', 'Petroleum', 'Chemical Engineering', 'Process Engineering', ''))} AS branch,
-  CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE 2020 + n_nationkey % 8 END AS graduation_year,
-  CAST(n_nationkey % 7 AS DOUBLE) AS years_of_experience,
-  {_case('n_nationkey', ('Python;SQL;Power BI', 'Excel', '', 'MS Excel;Python;aspen plus;GATE'))} AS skill_list,
-  {_case('n_nationkey', ('Pune', 'Mumbai;Delhi', ''))} AS preferred_list,
-  {_case('n_nationkey', ('Indian citizenship;work authorization', '', 'US citizen'))} AS auth_list,
-  n_nationkey % 2 = 0 AS willing_to_relocate
-FROM {{nation}}"""
-
-VERDICTS = f"""SELECT CAST(o_orderkey AS STRING) AS job_id, CAST(c_nationkey AS STRING) AS user_id,
+PROFILES = f"""SELECT CAST(u AS STRING) AS user_id, 'User' || CAST(u AS STRING) || '@Example.com' AS email,
+  {_case('u', ('B.Tech', 'M.Sc', 'Diploma', 'BE', ' '))} AS degree,
+  {_case('u', ('Chemical Engineering', 'Chemistry', 'Mechanical Engineering', 'Petroleum', 'Chemical Engineering', 'Process Engineering', ''))} AS branch,
+  CAST(CASE WHEN u % 8 = 7 THEN NULL ELSE 2020 + u % 8 END AS INT) AS graduation_year,
+  CAST(u % 7 AS DOUBLE) AS years_of_experience,
+  {_case('u', ('Python;SQL;Power BI', 'Excel', '', 'MS Excel;Python;aspen plus;GATE'))} AS skill_list,
+  {_case('u', ('Pune', 'Mumbai;Delhi', ''))} AS preferred_list,
+  {_case('u', ('Indian citizenship;work authorization', '', 'US citizen'))} AS auth_list,
+  u % 2 = 0 AS willing_to_relocate
+FROM (SELECT DISTINCT {_USER_KEY} AS u FROM {{customer}})"""
+
+VERDICTS = f"""SELECT CAST(o_orderkey AS STRING) AS job_id, {_USER} AS user_id,
   {_case('o_orderkey', ('ELIGIBLE', 'INELIGIBLE', 'UNCERTAIN', 'ELIGIBLE', 'UNCERTAIN'))} AS verdict,
   CASE WHEN o_orderkey % 10 = 7 THEN NULL ELSE CAST(o_orderkey % 101 AS INT) END AS match_score
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0"""
@@ -116,7 +120,7 @@ NOTIFICATIONS = f"""SELECT CAST(event_id AS STRING) AS id, CAST(user_id % 25 AS
   CASE WHEN event_id % 3 = 0 THEN ts ELSE NULL END AS read_at, ts AS created_at FROM {{events}}"""
 
 _ALL = {
-    "companies": (COMPANIES, ("customer",)), "postings": (POSTINGS, ("orders", "customer")), "profiles": (PROFILES, ("nation",)),
+    "companies": (COMPANIES, ("customer",)), "postings": (POSTINGS, ("orders", "customer")), "profiles": (PROFILES, ("customer",)),
     "verdicts": (VERDICTS, ("orders", "customer")), "requirements": (REQUIREMENTS, ("orders",)), "sightings": (SIGHTINGS, ("events",)),
     "steps": (STEPS, ("events",)), "runs": (RUNS, ("events",)), "notifications": (NOTIFICATIONS, ("events",)),
 }

@@ -134,23 +134,22 @@ def _(t):
 
 _KEYED = f"keyed AS (SELECT id, company_id, posted_at, is_official, nullif({_plain('external_job_id')}, '') AS ext, {_plain('title')} AS nm, {_LOC} AS place, list_distinct({_tokens('title')}) AS w FROM postings)"
 _SIM = "len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))"
+_ALIKE = "alike AS (SELECT min(id) AS id, company_id, nm, place, posted_at, is_official, any_value(w) AS w FROM keyed WHERE place <> '' GROUP BY company_id, nm, place, posted_at, is_official)"
 _T3 = f"x.company_id = y.company_id AND x.place = y.place AND x.place <> '' AND x.nm <> y.nm AND (x.posted_at IS NULL OR y.posted_at IS NULL OR abs(datediff('day', x.posted_at, y.posted_at)) <= 21) AND (x.is_official OR y.is_official) AND {_SIM} >= 0.82"
 
 
 @query("c8_duplicate_links", f"""SELECT a, id AS b, 1 AS tier, 1.0::DOUBLE AS confidence FROM (SELECT *, min(id) OVER (PARTITION BY company_id, ext) AS a FROM keyed WHERE ext IS NOT NULL) WHERE id <> a
  UNION ALL SELECT a, id, 2, 0.97 FROM (SELECT *, min(id) OVER (PARTITION BY company_id, nm, place) AS a FROM keyed WHERE place <> '') WHERE id <> a
- UNION ALL SELECT x.id, y.id, 3, {_SIM} FROM keyed x JOIN keyed y ON x.id < y.id AND {_T3}""", _KEYED)
+ UNION ALL SELECT x.id, y.id, 3, {_SIM} FROM alike x JOIN alike y ON x.id < y.id AND {_T3}""", _KEYED, _ALIKE)
 def _(t):
     return lc.duplicate_links(t.postings)
 
 
-@query("c9_already_tracked", f"SELECT x.id FROM keyed x WHERE CAST(x.id AS BIGINT) % 9 = 2 AND NOT EXISTS (SELECT 1 FROM keyed y WHERE y.id <> x.id AND x.company_id = y.company_id AND (x.ext = y.ext OR (x.nm = y.nm AND x.place = y.place AND x.place <> '') OR ({_T3})))", _KEYED)
-def _(t):
-    return lc.already_tracked(t.postings.where(F.col("id").cast("long") % 9 == 2), t.postings).select("id")
+_TRACKED = f"SELECT x.id FROM keyed x WHERE NOT EXISTS (SELECT 1 FROM keyed y WHERE y.id <> x.id AND x.company_id = y.company_id AND (x.ext = y.ext OR (x.nm = y.nm AND x.place = y.place AND x.place <> '') OR ({_T3})))"
 
 
-# The SQL of c9 asks for one posting in nine; the form on all postings has its own.
-@query("c9_already_tracked_all", f"SELECT x.id FROM keyed x WHERE NOT EXISTS (SELECT 1 FROM keyed y WHERE y.id <> x.id AND x.company_id = y.company_id AND (x.ext = y.ext OR (x.nm = y.nm AND x.place = y.place AND x.place <> '') OR ({_T3})))", _KEYED)
+@query("c9_already_tracked_all", _TRACKED, _KEYED)
+@query("c9_already_tracked", _TRACKED, _KEYED)
 def _(t):
     return lc.already_tracked(t.postings, t.postings).select("id")
 
@@ -193,14 +192,14 @@ def _(t):
     return lc.failure_streaks(t.runs)
 
 
-_PATCH = "patches AS (SELECT user_id, CAST(user_id AS INT) % 2 = 0 AS has_degree, CASE WHEN CAST(user_id AS INT) % 4 = 0 THEN NULL ELSE 'M.Tech' END AS degree, CAST(user_id AS INT) % 3 = 0 AS has_branch, 'Physics' AS branch FROM profiles WHERE CAST(user_id AS INT) < 12)"
+_PATCH = "patches AS (SELECT user_id, CAST(user_id AS INT) % 2 = 0 AS has_degree, CASE WHEN CAST(user_id AS INT) % 4 = 0 THEN NULL ELSE 'M.Tech' END AS degree, CAST(user_id AS INT) % 3 = 0 AS has_branch, 'Physics' AS branch FROM profiles)"
 
 
 @query("i12_profile_patch", "SELECT p.user_id, CASE WHEN has_degree THEN x.degree ELSE p.degree END AS degree, CASE WHEN has_branch THEN x.branch ELSE p.branch END AS branch, p.graduation_year FROM profiles p LEFT JOIN patches x ON x.user_id = p.user_id", _PATCH)
 def _(t):
     n = F.col("user_id").cast("int")
     present = F.array_compact(F.array(F.when(n % 2 == 0, "degree"), F.when(n % 3 == 0, "branch")))
-    patches = t.profiles.where(n < 12).select("user_id", present.alias("present"), F.when(n % 4 != 0, "M.Tech").alias("degree"), F.lit("Physics").alias("branch"))
+    patches = t.profiles.select("user_id", present.alias("present"), F.when(n % 4 != 0, "M.Tech").alias("degree"), F.lit("Physics").alias("branch"))
     return lc.patch(t.profiles.select("user_id", "degree", "branch", "graduation_year"), patches, "user_id", ["degree", "branch"])
 
 

@@ -82,9 +82,9 @@ def _(t):
     return stored.select("job_id", F.array_sort(skills).alias("skills"), F.col("experience_min").cast("decimal(4,2)").alias("experience_min"), (F.col("experience_stated") == 1).alias("experience_stated"))
 
 
-@query("b11_company_page_filter", f"SELECT id FROM rows WHERE contains(lower(location), 'pune') AND employment_type = 'Contract' AND verdict = 'ELIGIBLE' AND (experience_min IS NULL OR experience_min <= 1) AND (posted_at IS NULL OR posted_at <= DATE '{AS_OF}' - 30)", ROWS)
+@query("b11_company_page_filter", f"SELECT id FROM rows WHERE contains(lower(location), 'pune') AND employment_type = 'Contract' AND verdict = 'INELIGIBLE' AND (experience_min IS NULL OR experience_min <= 1) AND (posted_at IS NULL OR posted_at <= DATE '{AS_OF}' - 30)", ROWS)
 def _(t):
-    return op.company_page(rows(t), today(), "Pune", "Contract", "ELIGIBLE", "ENTRY", "OLDER").select("id")
+    return op.company_page(rows(t), today(), "Pune", "Contract", "INELIGIBLE", "ENTRY", "OLDER").select("id")
 
 
 @query("b12_company_name_filter", "SELECT company_id, name FROM companies WHERE contains(lower(name), 'delta')")

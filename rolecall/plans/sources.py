@@ -108,10 +108,10 @@ def _(t):
     return pages.listings(pages.anchors(listing_pages(t))).select("page_id", "url", "title")
 
 
-@query("a8_listing_fields", f"SELECT id, nullif(regexp_extract(x, {_re2(lx.EMPLOYMENT_TYPE)}), '') AS employment_type, nullif(regexp_extract(x, {_re2(lx.SALARY)}), '') AS salary, list_filter({_SPLIT.format(c='x')}, lambda s: regexp_matches(s, {_re2(lx.DEGREE_LINE)}) AND length(s) < 300)[1] AS education_requirement, trim(regexp_extract(x, {_re2(lx.LISTING_LOCATION[0])}, 1)) AS location FROM (SELECT id, coalesce(employment_type, '') || '. Location: ' || trim(location) || ' | ' || description || ' INR 5-6 lakh.' AS x FROM postings WHERE NOT contains(location, '('))")
+@query("a8_listing_fields", f"SELECT id, nullif(regexp_extract(x, {_re2(lx.EMPLOYMENT_TYPE)}), '') AS employment_type, nullif(regexp_extract(x, {_re2(lx.SALARY)}), '') AS salary, list_filter({_SPLIT.format(c='x')}, lambda s: regexp_matches(s, {_re2(lx.DEGREE_LINE)}) AND length(s) < 300)[1] AS education_requirement, trim(regexp_extract(x, {_re2(lx.LISTING_LOCATION[0])}, 1)) AS location FROM (SELECT id, coalesce(employment_type, '') || '. Location: ' || trim(location) || ' | ' || description || ' INR 5-6 lakh.' AS x FROM postings)")
 def _(t):
     x = F.concat(F.coalesce("employment_type", F.lit("")), F.lit(". Location: "), F.trim("location"), F.lit(" | "), "description", F.lit(" INR 5-6 lakh."))
-    kept = t.postings.where(~F.contains("location", F.lit("("))).select("id", x.alias("x"))
+    kept = t.postings.select("id", x.alias("x"))
     f = pages.listing_fields(F.col("x"))
     return kept.select("id", *[f[c].alias(c) for c in ("employment_type", "salary", "education_requirement", "location")])
 
@@ -241,15 +241,21 @@ def _(t):
     return pages.enrich(rows, source, found, per_company=3).select("id", "description", "title")
 
 
-@query("a20_job_links")
+def linked_listings(t: Tables) -> DataFrame:
+    """The listing pages with links that speak of jobs."""
+    return listing_pages(t).withColumn("html", F.replace("html", F.lit('href="/p/'), F.lit('href="/job/')))
+
+
+@query("a20_job_links", """SELECT CAST(company_id AS BIGINT) AS page_id, 'https://c' || company_id || '.example.com/careers/jobs' AS link, 1 AS nth FROM (SELECT DISTINCT company_id FROM postings)
+ UNION ALL SELECT CAST(company_id AS BIGINT), 'https://c' || company_id || '.example.com/job/' || id, k + 1 FROM (SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY id) AS k FROM postings) WHERE k <= 5""")
 def _(t):
-    return pages.job_links(listing_pages(t))
+    return pages.job_links(linked_listings(t))
 
 
 @query("a20_follow_links", "SELECT company_id, id FROM (SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY id) AS k FROM postings) WHERE k <= 5")
 def _(t):
     # the career link of the navigation is one of the six that a page may spend
-    listing = listing_pages(t).withColumn("html", F.replace("html", F.lit('href="/p/'), F.lit('href="/job/')))
+    listing = linked_listings(t)
     detail = posting_pages(t).join(t.postings.select(F.col("id").cast("long").alias("page_id"), "company_id"), "page_id")
     detail = detail.select((-F.col("page_id") - 1).alias("page_id"), F.concat(F.lit("https://c"), "company_id", F.lit(".example.com/job/"), F.col("page_id").cast("string")).alias("url"), "html")
     raw = pages.job_posting(pages.json_ld_nodes(detail))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import text as tx
+from ..operators import lifecycle as lc
 from .fixtures import AS_OF, Tables, repr_sql
 from .listing import today
 from .registry import query
@@ -53,13 +54,11 @@ def _(t):
     return t.postings.select(F.explode(tx.tokens(F.col("title"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("f5_title_similarity", f"""SELECT a.id AS a, b.id AS b, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END AS similarity
- FROM (SELECT id, company_id, list_distinct({_tokens('title')}) AS t FROM postings) a JOIN (SELECT id, company_id, list_distinct({_tokens('title')}) AS t FROM postings) b ON a.company_id = b.company_id AND a.id < b.id""")
+@query("f5_title_similarity", f"""SELECT a.company_id, a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS similarity
+ FROM sets a JOIN sets b ON a.company_id = b.company_id AND a.id < b.id WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.5""",
+    f"sets AS (SELECT company_id, t, min(id) AS id FROM (SELECT id, company_id, list_sort(list_distinct({_tokens('title')})) AS t FROM postings) WHERE len(t) > 0 GROUP BY company_id, t)")
 def _(t):
-    keyed = t.postings.select("id", "company_id", tx.tokens(F.col("title")).alias("t"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), tx.token_similarity(F.col("a.t"), F.col("b.t")).alias("similarity"))
+    return lc.title_pairs(t.postings)
 
 
 @query("f6_location_key", f"SELECT {_LOC} AS location_key, count(*) AS n FROM postings GROUP BY 1")
@@ -203,16 +202,14 @@ def relation_table(t: Tables) -> DataFrame:
 
 
 _REL = "rel AS (SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{j}', '{s}', {lx.RELATION_SCORES[s]})" for u, j, s, _ in lx.RELATIONS) + ") v(user_field, job_field, strength, score))"
-_USERS = "users AS (SELECT user_id, CASE WHEN CAST(user_id AS INT) % 2 = 0 THEN 'CHEMICAL_ENGINEERING' ELSE 'CHEMISTRY' END AS user_field FROM profiles WHERE CAST(user_id AS INT) < 4)"
-_ALL_USERS = "users AS (SELECT user_id, CASE WHEN CAST(user_id AS INT) % 2 = 0 THEN 'CHEMICAL_ENGINEERING' ELSE 'CHEMISTRY' END AS user_field FROM profiles)"
+_USERS = f"users AS (SELECT user_id, coalesce((SELECT min_by(f.id, f.rank) FROM fields f WHERE contains({_plain('p.branch')}, f.alias)), '{lx.UNKNOWN_FIELD}') AS user_field FROM profiles p)"
 _PAIRS = f"""pairs AS (SELECT r.job_id, u.user_id, r.f AS job_field, r.pos, CASE WHEN u.user_field = r.f THEN 'EQUIVALENT' ELSE coalesce(rel.strength, 'NONE') END AS strength,
  CASE WHEN u.user_field = r.f THEN 100 ELSE coalesce(rel.score, 0) END AS score FROM (SELECT job_id, unnest(string_split(field_list, ';')) AS f, generate_subscripts(string_split(field_list, ';'), 1) AS pos FROM requirements WHERE field_list <> '') r
  JOIN (SELECT p.id, u.* FROM postings p JOIN users u ON u.user_id = p.user_id) u ON u.id = r.job_id LEFT JOIN rel ON rel.user_field = u.user_field AND rel.job_field = r.f)"""
 
 
-def _pairs(t: Tables, profiles: DataFrame) -> DataFrame:
-    n = F.col("user_id").cast("int")
-    users = profiles.select("user_id", F.when(n % 2 == 0, "CHEMICAL_ENGINEERING").otherwise("CHEMISTRY").alias("user_field"))
+def _pairs(t: Tables) -> DataFrame:
+    users = t.profiles.select("user_id", tx.field_of(F.col("branch")).alias("user_field"))
     asked = t.postings.select(F.col("id").alias("job_id"), "user_id").join(users, "user_id")
     fields = t.requirements.where("field_list <> ''").select("job_id", F.posexplode(F.split("field_list", ";")).alias("pos", "job_field"))
     pairs = fields.join(asked, "job_id").join(relation_table(t), ["user_field", "job_field"], "left")
@@ -220,10 +217,6 @@ def _pairs(t: Tables, profiles: DataFrame) -> DataFrame:
     return pairs.select("job_id", "user_id", "job_field", (F.col("pos") + 1).alias("pos"), F.when(same, "EQUIVALENT").otherwise(F.coalesce("strength", F.lit("NONE"))).alias("strength"), F.when(same, 100).otherwise(F.coalesce("score", F.lit(0))).alias("score"))
 
 
-def _first_users(t: Tables) -> DataFrame:
-    return t.profiles.where(F.col("user_id").cast("int") < 4)
-
-
 def _best(pairs: DataFrame) -> DataFrame:
     best = pairs.groupBy("job_id", "user_id").agg(F.max_by(F.struct("job_field", "score"), F.struct("score", -F.col("pos"))).alias("best"))
     return best.select("job_id", "user_id", "best.job_field", "best.score")
@@ -233,22 +226,16 @@ _RELATIONS = "SELECT job_id, user_id, job_field, strength, score FROM pairs"
 _BEST = "SELECT job_id, user_id, job_field, score FROM (SELECT *, row_number() OVER (PARTITION BY job_id, user_id ORDER BY score DESC, pos) AS k FROM pairs) WHERE k = 1"
 
 
-# The SQL of c11 and c12 holds the users below 4 only; the forms on all users have their own.
-@query("c11_field_relation", _RELATIONS, _REL, _USERS, _PAIRS)
-def _(t):
-    return _pairs(t, _first_users(t)).select("job_id", "user_id", "job_field", "strength", "score")
-
-
-@query("c11_field_relation_all", _RELATIONS, _REL, _ALL_USERS, _PAIRS)
-def _(t):
-    return _pairs(t, t.profiles).select("job_id", "user_id", "job_field", "strength", "score")
+_REL_CTES = (_aliases_sql(lx.field_aliases(), "fields"), _REL, _USERS, _PAIRS)
 
 
-@query("c12_best_relation", _BEST, _REL, _USERS, _PAIRS)
+@query("c11_field_relation_all", _RELATIONS, *_REL_CTES)
+@query("c11_field_relation", _RELATIONS, *_REL_CTES)
 def _(t):
-    return _best(_pairs(t, _first_users(t)))
+    return _pairs(t).select("job_id", "user_id", "job_field", "strength", "score")
 
 
-@query("c12_best_relation_all", _BEST, _REL, _ALL_USERS, _PAIRS)
+@query("c12_best_relation_all", _BEST, *_REL_CTES)
+@query("c12_best_relation", _BEST, *_REL_CTES)
 def _(t):
-    return _best(_pairs(t, t.profiles))
+    return _best(_pairs(t))

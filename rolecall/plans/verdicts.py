@@ -177,7 +177,7 @@ _SCORES = f"scored AS (SELECT *, CAST(floor(({_POINTS('degree')} + {_POINTS('fie
 def _one(name: str, make) -> None:
     @query(name, f"SELECT id, {name.split('_')[1]} AS outcome, {name.split('_')[1]}_m AS mandatory FROM checks", *_CTES)
     def _(t):
-        checked = pairs(t).withColumn("_field", tx.field_of(F.col("branch"))).withColumn("c", make())
+        checked = pairs(t).withColumn("c", make())
         return checked.select("id", "c.outcome", "c.mandatory")
 
 
