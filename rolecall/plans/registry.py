@@ -10,6 +10,8 @@ from .fixtures import Tables, duckdb_with
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The statements of ``ORACLES`` without their WITH clause, for queries built on others.
+SELECTS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, *ctes: str) -> Callable:
@@ -18,7 +20,7 @@ def query(name: str, sql: str | None = None, *ctes: str) -> Callable:
     def register(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = duckdb_with(*ctes) + sql
+            ORACLES[name], SELECTS[name] = duckdb_with(*ctes) + sql, sql
         return plan
 
     return register

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import text as tx
 from ..operators import eligibility as el
 from ..operators import requirements as rq
+from .check_texts import TEXTS
 from .fixtures import Tables
 from .listing import profiles
-from .registry import query
+from .registry import SELECTS, query
 from .texts import _SPLIT, _aliases_sql, _plain, _re2, _sql_level
 
 #: Requirements speak of years around 2025.
@@ -117,17 +118,57 @@ def _(t):
     return extracted(t).select("id", F.array_join("requirements.work_authorization", ",").alias("needed"))
 
 
-@query("g1_extract_requirements")
+def _first_of(tiers: list[tuple[str, str]], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in tiers) + f" ELSE {other} END"
+
+
+_GIVEN = "experience_min IS NOT NULL OR experience_max IS NOT NULL"
+_AS_INT = lambda c: f"CAST(CAST({c} AS INT) AS VARCHAR)"
+_TIERS = [(_hit("corpus", p), _ex(p)) for p in (lx.FRESHER, *_E.values())]
+_STATED = f"({_GIVEN} OR {' OR '.join(t for t, _ in _TIERS)})"
+_SENIOR = f"(NOT {_STATED} AND {_hit('coalesce(ttl, chr(32))', lx.SENIORITY)})"
+_BASED = f"nullif(trim({_ex(lx.BASED_IN, 1)}), '')"
+_GRAD_RAW = _first_of([(f"{_BATCH} BETWEEN 2000 AND 2036", _ex(_G["batch"])), (f"{_A} >= 2000 AND {_B} <= 2036", _ex(_G["range"])), (f"{_BEF} BETWEEN 2000 AND 2036", _ex(_G["before"])), (f"{_INT(_G['earlier'])} IS NOT NULL", _ex(_G["earlier"]))], "NULL")
+_LONE = f"""lone AS (SELECT id, {_first_of([(_GIVEN, f"{_AS_INT('coalesce(experience_min, 0)')} || coalesce('-' || {_AS_INT('experience_max')}, '+') || ' years'"), *_TIERS], 'NULL')} AS experience_raw,
+  {_first_of([(_GIVEN, "'EXPLICIT'"), (f"{_STATED} OR {_SENIOR}", "'INFERRED'")], "'MISSING'")} AS experience_origin,
+  {_first_of([(_GIVEN, "true"), (_hit("corpus", lx.FRESHER), "false"), (_hit("corpus", _E["range"]), _near("range")), (f"{_hit('corpus', _E['plus'])} OR {_hit('corpus', _E['at_least'])}", "true"), (_hit("corpus", _E["up_to"]), "false"), (_hit("corpus", _E["bare"]), _near("bare"))], "false")} AS experience_mandatory,
+  {_SENIOR} AS senior, {_GRAD_RAW} AS grad_year_raw, CASE WHEN {_BASED} IS NOT NULL THEN 'INFERRED' WHEN loc IS NOT NULL THEN 'EXPLICIT' ELSE 'MISSING' END AS location_origin,
+  {' OR '.join(f"coalesce({_hit(c, lx.EQUIVALENT)}, false)" for c in ('edu', 'descr', 'ttl'))} AS accepts_equivalent FROM base)"""
+_FIELD_ORIGIN = "heard_in AS (SELECT id, CASE min(h) WHEN 1 THEN 'EXPLICIT' ELSE 'INFERRED' END AS field_origin FROM hits GROUP BY 1)"
+_EXTRACTED = f"""extracted AS (SELECT b.id, g2.level AS degree_level, g2.origin AS degree_origin, g3.fields, coalesce(ho.field_origin, 'MISSING') AS field_origin, lone.accepts_equivalent, g4.low AS experience_min, g4.high AS experience_max, g4.stated AS experience_stated, lone.experience_mandatory, lone.experience_raw, lone.experience_origin,
+  g6.low AS grad_year_min, g6.high AS grad_year_max, g6.low IS NOT NULL OR g6.high IS NOT NULL AS grad_year_stated, lone.grad_year_raw, g7.required AS skills_required, g7.preferred AS skills_preferred, g8.certifications, g9.locations, g9.restricted AS location_restricted, g9.relocation AS requires_relocation, lone.location_origin, g10.needed AS work_authorization, lone.senior,
+  list_filter([CASE WHEN g2.level = 'UNKNOWN' THEN '{lx.GAPS["degree"]}' END, CASE WHEN g3.fields = '' THEN '{lx.GAPS["field"]}' END, CASE WHEN lone.senior THEN '{lx.GAPS["senior"]}' END, CASE WHEN g9.locations = '' THEN '{lx.GAPS["location"]}' END], lambda g: g IS NOT NULL) AS gaps
+  FROM base b JOIN lone USING (id) LEFT JOIN heard_in ho USING (id) {' '.join(f"JOIN ({SELECTS[name]}) {name.split('_')[0]} USING (id)" for name in ('g2_degree_level', 'g3_fields', 'g4_experience', 'g6_graduation_year', 'g7_skills', 'g8_certifications', 'g9_location', 'g10_work_authorization'))})"""
+_EX_CTES = (_BASE, _aliases_sql(lx.field_aliases(), "fields"), _aliases_sql(lx.skill_aliases(), "skills"), _PARTS, _SKILL, _LONE, _FIELD_ORIGIN, _EXTRACTED)
+#: Columns of the extraction that are compared as they are, and lists compared as sorted text.
+_SINGLE = ("degree_level", "accepts_equivalent", "experience_min", "experience_max", "experience_stated", "experience_mandatory", "experience_raw", "grad_year_min", "grad_year_max", "grad_year_stated", "grad_year_raw", "location_restricted", "requires_relocation")
+_ORIGINS = {"degree_origin": "DEGREE_LEVEL", "field_origin": "FIELD", "experience_origin": "EXPERIENCE", "location_origin": "LOCATION"}
+
+
+@query("g1_extract_requirements", f"SELECT id, {', '.join(_SINGLE)}, {', '.join(_ORIGINS)}, fields, skills_required, skills_preferred, certifications, locations, work_authorization, array_to_string(gaps, '|') AS gaps FROM extracted", *_EX_CTES)
 def _(t):
-    return extracted(t).select("id", "requirements")
+    r = F.col("requirements")
+    lists = [F.array_join(F.array_sort(r[c]), ",").alias(c) for c in ("fields", "skills_required", "skills_preferred")] + [F.array_join(r[c], ",").alias(c) for c in ("certifications", "work_authorization")]
+    origins = [F.try_element_at(r["origin"], F.lit(key)).alias(c) for c, key in _ORIGINS.items()]
+    return extracted(t).select("id", *[r[c].alias(c) for c in _SINGLE], *origins, *lists, *[F.array_join(r[c], "|").alias(c) for c in ("locations", "gaps")])
 
 
-@query("g11_gaps")
+@query("g11_gaps", "SELECT id, unnest(gaps) AS gap, CAST(generate_subscripts(gaps, 1) - 1 AS INT) AS position FROM extracted WHERE len(gaps) > 0", *_EX_CTES)
 def _(t):
     return extracted(t).select("id", F.posexplode("requirements.gaps").alias("position", "gap"))
 
 
-@query("d16_requirement_audit")
+_AUDIT = "audit AS (" + " UNION ALL ".join(
+    f"SELECT job_id, '{kind}' AS type, vs[i] AS value, origin, {at} + i AS spot FROM (SELECT id AS job_id, {values} AS vs, {origin} AS origin, unnest(generate_series(1, len({values}))) AS i FROM extracted)"
+    for at, kind, values, origin in (
+        (0, "DEGREE", "list_filter([degree_level], lambda x: x <> 'UNKNOWN')", "degree_origin"), (100, "FIELD", "list_filter(string_split(fields, ','), lambda x: x <> '')", "field_origin"), (200, "EXPERIENCE", "list_filter([experience_raw], lambda x: x IS NOT NULL)", "experience_origin"),
+        (300, "SKILL", "list_filter(string_split(skills_required, ',') || string_split(skills_preferred, ','), lambda x: x <> '')", "'INFERRED'"), (400, "CERTIFICATION", "list_filter(string_split(certifications, ','), lambda x: x <> '')", "'INFERRED'"),
+        (500, "LOCATION", "list_filter(string_split(locations, '|'), lambda x: x <> '')", "location_origin"), (600, "WORK_AUTH", "list_filter(string_split(coalesce(work_authorization, ''), ','), lambda x: x <> '')", "'INFERRED'"), (700, "GAP", "gaps", "'INFERRED'"),
+    )
+) + ")"
+
+
+@query("d16_requirement_audit", f"SELECT job_id, type, {_plain('value')} AS normalized_value, arg_max(value, spot) AS value, arg_max(origin, spot) AS origin FROM audit GROUP BY ALL", *_EX_CTES, _AUDIT)
 def _(t):
     return rq.audit_rows(extracted(t))
 
@@ -220,23 +261,45 @@ def _(t):
     return counts.toDF("id", "met", "not_met", "unknown", "partial")
 
 
-@query("h1_analyse")
+_LISTED = ("matched", "missing", "concerns")
+_TOLD = (*_CTES, _SCORES, *TEXTS)
+
+
+def _sorted_text(c: str) -> Column:
+    return F.array_join(F.array_sort(c), "|")
+
+
+@query("h1_analyse", """SELECT t.id, t.user_id, t.verdict, CAST(floor(s_edu * 0.35 + s_exp * 0.25 + s_skill * 0.2 + s_loc * 0.1 + s_other * 0.1 + 0.5) AS INT) AS match_score, s_edu AS education, s_exp AS experience, s_skill AS skills, s_loc AS location, s_other AS other,
+ explanation, matched, missing, concerns, unknown AS missing_information FROM texts t JOIN scored s ON s.id = t.id AND s.user_id = t.user_id""", *_TOLD)
 def _(t):
-    return el.analyse(pairs(t)).select("id", "user_id", "verdict", "match_score", "scores", "checks", "matched", "missing", "concerns", "missing_information")
+    lists = [_sorted_text(c).alias(c) for c in (*_LISTED, "missing_information")]
+    return el.analyse(pairs(t)).select("id", "user_id", "verdict", "match_score", "scores.*", "explanation", *lists)
 
 
-@query("h12_explanation")
+@query("h12_explanation", "SELECT id, verdict, explanation FROM texts", *_TOLD)
 def _(t):
     return el.analyse(pairs(t)).select("id", "verdict", "explanation")
 
 
-@query("h13_lists")
+@query("h13_lists", "SELECT id, matched, missing, concerns, unknown FROM texts", *_TOLD)
 def _(t):
     a = el.with_checks(pairs(t))
-    return a.select("id", *[el.collected(F.col("checks"), n).alias(n) for n in ("matched", "missing", "concerns", "unknown")])
+    lists = a.select("id", *[el.collected(F.col("checks"), n).alias(n) for n in (*_LISTED, "unknown")])
+    return lists.select("id", *[_sorted_text(n).alias(n) for n in (*_LISTED, "unknown")])
+
+
+# The extraction in the form of the flat requirement table, for the same ladders.
+_AGAIN = """flat AS (SELECT id AS job_id, degree_level, replace(fields, ',', ';') AS field_list, experience_min, experience_max, experience_stated, grad_year_min, grad_year_max, grad_year_stated, coalesce(grad_year_raw, '') AS grad_year_raw, replace(skills_required, ',', ';') AS skills_required_list, replace(skills_preferred, ',', ';') AS skills_preferred_list,
+ replace(certifications, ',', ';') AS certification_list, location_restricted, replace(work_authorization, ',', ';') AS work_auth_list, senior, degree_origin = 'EXPLICIT' OR field_origin = 'EXPLICIT' AS explicit FROM extracted)"""
+_H_AGAIN = (
+    _H.replace("JOIN requirements r ON", "JOIN flat r ON")
+    .replace("length(description) > 120 OR experience_stated AS readable", "length(description) > 120 OR explicit OR experience_stated AS readable")
+    .replace("ELSE 'MISMATCH' END ELSE 'MATCH' END AS experience,", "ELSE 'MISMATCH' END WHEN senior AND experience_min IS NULL THEN 'UNKNOWN' ELSE 'MATCH' END AS experience,")
+    .replace("years >= experience_min, false) AS experience_m", "years >= experience_min, false) OR (senior AND experience_min IS NULL) AS experience_m")
+)
 
 
-@query("i17_reanalyse")
+@query("i17_reanalyse", "SELECT user_id, verdict, count(*) AS postings, round(avg(CAST(floor(s_edu * 0.35 + s_exp * 0.25 + s_skill * 0.2 + s_loc * 0.1 + s_other * 0.1 + 0.5) AS INT)), 4) AS mean_score FROM scored GROUP BY ALL", *_EX_CTES, _AGAIN, _H_AGAIN, _SCORES)
 def _(t):
     """Requirements and verdicts of all ACTIVE postings afresh, from their texts."""
     jobs = extracted(t).drop("experience_min", "experience_max").select("*", "requirements.*").drop("requirements")
