@@ -141,7 +141,8 @@ def duckdb_with(*extra: str) -> str:
         for t in tables:
             text = text.replace(f"{{{t}}}", t)
         parts.append(f"{name} AS ({text})")
-    return "WITH " + ",\n".join([*parts, *extra]) + "\n"
+    # some tables follow links until none is new
+    return "WITH RECURSIVE " + ",\n".join([*parts, *extra]) + "\n"
 
 
 class Tables:

@@ -276,7 +276,17 @@ def _(t):
     return extracted_rows(t).groupBy("method", "page_id").agg(F.count("*").alias("n"))
 
 
-@query("d9_merge_extracted")
+_FORMS = """forms AS (SELECT company_id AS page_id, source_url AS url, title, location, description, external_job_id, CAST(posted_at AS VARCHAR) AS posted_at, CAST(closing_at AS VARCHAR) AS closing_at, 'JSON_LD' AS method FROM postings
+ UNION ALL SELECT company_id, source_url, upper(title), location, description || ' More.', coalesce(external_job_id, 'm'), CAST(posted_at AS VARCHAR), CAST(closing_at AS VARCHAR), 'MICRODATA' FROM postings
+ UNION ALL SELECT company_id, source_url || '#x', title, location, description, external_job_id, NULL, CAST(closing_at AS VARCHAR), 'HEURISTIC' FROM postings)"""
+_CLASHES = f"""titled AS (SELECT DISTINCT page_id, url, coalesce(location, '') AS place, list_sort(list_distinct({_tokens("coalesce(title, '')")})) AS w FROM forms),
+clashes AS (SELECT DISTINCT x.page_id, x.url AS a, y.url AS b FROM titled x JOIN titled y ON x.page_id = y.page_id AND x.place = y.place AND x.url <> y.url AND len(x.w) > 0 AND len(y.w) > 0 AND {_SIM} > 0.9),
+reached AS (SELECT DISTINCT page_id, url, url AS root FROM forms UNION SELECT r.page_id, c.b, r.root FROM reached r JOIN clashes c ON c.page_id = r.page_id AND c.a = r.url),
+roots AS (SELECT page_id, url, min(root) AS root FROM reached GROUP BY ALL),
+ordered AS (SELECT f.*, root, row_number() OVER (PARTITION BY f.page_id, root ORDER BY method <> 'JSON_LD', -length(coalesce(description, '')), f.url, title) AS k FROM forms f JOIN roots r ON r.page_id = f.page_id AND r.url = f.url)"""
+
+
+@query("d9_merge_extracted", f"SELECT page_id, root, {', '.join(f'arg_min({c}, k) AS {c}' for c in ('url', 'title', 'location', 'description', 'method'))}, {', '.join(f'arg_min({c}, k) FILTER ({c} IS NOT NULL) AS {c}' for c in ('external_job_id', 'posted_at', 'closing_at'))}, count(*) AS merged FROM ordered GROUP BY page_id, root", _FORMS, _CLASHES)
 def _(t):
     return lc.merge_extracted(extracted_rows(t))
 
