@@ -3,7 +3,8 @@
 The source is a folder of Parquet files; each stream runs over what is there and stops
 (``availableNow``).  Aggregates run in update mode, keyed state in a state store; every batch is
 written under its number, so a batch that is run again after a failure replaces itself, and the
-latest row of each key is the result.  State grows with the number of keys, not of rows.
+latest row of each key is the result.  State is one line for each key; that of the streaks also
+holds each company's failures of the last days, and no more.
 """
 
 from __future__ import annotations
@@ -66,28 +67,35 @@ def steps_fold(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id", "step_key").agg(last("state"), last("detail"))
 
 
-def streaks_fold(stream: DataFrame) -> DataFrame:
+def streaks_fold(stream: DataFrame, late_days: int = 90) -> DataFrame:
     """Failed runs since the last success of each company, as keyed state.
 
-    The state is the last success and the failures after it, so rows may come in any order.
+    The state is the last success and the failures after it, so rows may come in any order within
+    ``late_days`` of a company's newest row.  Failures older than that are kept as their number
+    only, so a company that never succeeds needs no more state than one that does; a success that
+    comes later than that is not taken back into account.
     """
+    span = late_days * 86_400_000_000
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        good_at, good_id, fails = state.get if state.exists else ("", "", [])
-        fails = [tuple(f.split("|", 1)) for f in fails]
-        good = (good_at, good_id)
-        for frame in frames:
-            for at, run, status in zip(frame["at"], frame["run_id"], frame["status"], strict=True):
-                if status == "COMPLETED":
-                    good = max(good, (at, run))
-                elif status == "FAILED":
-                    fails.append((at, run))
-        fails = sorted({f for f in fails if f > good})
-        state.update((good[0], good[1], ["|".join(f) for f in fails]))
-        yield pd.DataFrame({"company_id": [key[0]], "failures": [len(fails)]})
-
-    keyed = stream.select("company_id", F.date_format(F.col("started_at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "run_id", "status")
-    return keyed.groupBy("company_id").applyInPandasWithState(fold, "company_id string, failures long", "good_at string, good_id string, fails array<string>", "update", GroupStateTimeout.NoTimeout)
+        good_at, good_id, old, old_until, at, ids = state.get if state.exists else (-1, "", 0, -1, [], [])
+        rows = pd.concat([pd.DataFrame({"at": at, "run_id": ids, "status": "FAILED"}), *frames], ignore_index=True).drop_duplicates(["at", "run_id", "status"])
+        done = rows[(rows["status"] == "COMPLETED") & (rows["at"] > old_until)].sort_values(["at", "run_id"])
+        if len(done):
+            good_at, good_id = max((good_at, good_id), (int(done["at"].iloc[-1]), str(done["run_id"].iloc[-1])))
+        if good_at > old_until:
+            old = 0
+        fails = rows[(rows["status"] == "FAILED") & ((rows["at"] > good_at) | ((rows["at"] == good_at) & (rows["run_id"] > good_id)))]
+        edge = int(rows["at"].max()) - span if len(rows) else -1
+        past = fails["at"] <= edge
+        if past.any():
+            old, old_until = old + int(past.sum()), max(old_until, int(fails["at"][past].max()))
+        kept = fails[~past]
+        state.update((good_at, good_id, old, old_until, kept["at"].astype(int).tolist(), kept["run_id"].tolist()))
+        yield pd.DataFrame({"company_id": [key[0]], "failures": [old + len(kept)]})
+
+    keyed = stream.select("company_id", F.unix_micros(F.col("started_at").cast("timestamp")).alias("at"), "run_id", "status")
+    return keyed.groupBy("company_id").applyInPandasWithState(fold, "company_id string, failures long", "good_at long, good_id string, old long, old_until long, at array<long>, ids array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
 def _of(t, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:

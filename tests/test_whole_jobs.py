@@ -9,6 +9,7 @@ from rolecall import lexicons as lx
 from rolecall.operators import lifecycle as lc
 from rolecall.plans.all import QUERIES
 from rolecall.plans.fixtures import Tables
+from rolecall.streaming import folds
 
 DATA = "/root/testdata/sf0.001"
 
@@ -97,3 +98,53 @@ def test_merge_clusters_equal_brute_force(spark):
     r = random.Random(7)
     rows = [extracted(f"p{r.randrange(40)}", f"u{r.randrange(30):02d}", r.choice(TITLES), r.choice(["Pune", "Mumbai", "Delhi"])) for _ in range(400)]
     assert merged(spark, rows) == clusters_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("late_days", [1, 90])
+def test_streaks_over_several_batches(spark, tmp_path, late_days):
+    # four files, each of which comes as a batch, with rows a little out of order
+    rnd = random.Random(8)
+    rows = [(f"c{i % 3}", f"r{i}", i * 3600 + rnd.randrange(20_000), "FAILED" if rnd.random() < 0.93 or i % 3 == 2 else "COMPLETED") for i in range(400)]
+    for k in range(4):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], "company_id string, run_id string, n long, status string").selectExpr("company_id", "run_id", "timestamp_seconds(n) as started_at", "status").coalesce(1).write.parquet(f"{tmp_path}/in/k={k}")
+    schema = "company_id string, run_id string, started_at timestamp, status string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = {r.company_id: r.failures for r in folds.to_latest(folds.streaks_fold(stream, late_days), ["company_id"]).collect()}
+    want = {}
+    for c in ("c0", "c1", "c2"):
+        good = max(((n, r) for x, r, n, s in rows if x == c and s == "COMPLETED"), default=(-1, ""))
+        want[c] = sum(1 for x, r, n, s in rows if x == c and s == "FAILED" and (n, r) > good)
+    assert got == want and want["c2"] > 100
+
+
+def test_links_stay_linear_in_a_busy_place(spark):
+    # two variants of a title, 20,000 postings each, at one company and place on forty days
+    days = 40
+    jobs = spark.range(40_000).selectExpr(
+        "lpad(cast(id as string), 6, '0') as id", "'c' as company_id", "cast(null as string) as external_job_id",
+        "if(id % 2 = 0, 'Senior Process Safety Design Engineer Plant', 'Senior Process Safety Design Engineer Plant Lead') as title", "'Pune' as location", "id % 3 = 0 as is_official", f"date_add(date'1998-01-01', cast(id % {days} as int)) as posted_at",
+    )
+    links = lc.duplicate_links(jobs).groupBy("tier").count().collect()
+    count = {r.tier: r["count"] for r in links}
+    assert count[2] == 40_000 - 2 and 0 < count[3] <= 4 * days * days
+    assert lc.already_tracked(jobs, jobs).count() == 0
+
+
+def test_tier_three_links_every_pair_through_its_groups(spark):
+    rnd = random.Random(9)
+    titles = ["senior process safety design engineer", "senior process safety design engineer ii", "process safety design engineer senior (lead)", "data analyst"]
+    rows = [(f"{i:03d}", f"c{i % 2}", None, rnd.choice(titles), "Pune", rnd.random() < 0.5, rnd.choice([None, *range(0, 60, 5)])) for i in range(120)]
+    jobs = spark.createDataFrame(rows, "id string, company_id string, external_job_id string, title string, location string, is_official boolean, n int").selectExpr("* except (n)", "date_add(date'1998-01-01', n) as posted_at")
+    group = {r[0]: (r[1], r[3], r[5], r[6]) for r in rows}
+    head = {}
+    for r in rows:
+        head.setdefault(group[r[0]], r[0])
+    linked = {(r.a, r.b) for r in lc.duplicate_links(jobs).where("tier = 3").collect()}
+    words = lambda t: set(t.replace("(", " ").replace(")", " ").split())
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and x[1] == y[1] and x[3] != y[3]:
+                alike = len(words(x[3]) & words(y[3])) / len(words(x[3]) | words(y[3])) >= 0.82
+                near = x[6] is None or y[6] is None or abs(x[6] - y[6]) <= 21
+                pair = tuple(sorted((head[group[x[0]]], head[group[y[0]]])))
+                assert (pair in linked) == (alike and near and (x[5] or y[5]))
