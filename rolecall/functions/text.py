@@ -78,11 +78,11 @@ def statements(c: Column, longer_than: int = 2) -> Column:
 
 def page_text(html: Column) -> Column:
     """Text of a page: no scripts or styles, line ends for breaks and blocks, other tags as spaces."""
-    s = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
-    s = F.regexp_replace(s, r"(?is)<style.*?</style>", " ")
-    s = F.regexp_replace(s, r"(?i)<br\s*/?>", "\n")
-    s = F.regexp_replace(s, r"(?i)</(p|div|li|tr|h[1-6])>", "\n")
-    return F.regexp_replace(s, "<[^>]+>", " ")
+    s = F.regexp_replace(html, lx.PAGE_SCRIPT, " ")
+    s = F.regexp_replace(s, lx.PAGE_STYLE, " ")
+    s = F.regexp_replace(s, lx.PAGE_BREAK, "\n")
+    s = F.regexp_replace(s, lx.PAGE_BLOCK_END, "\n")
+    return F.regexp_replace(s, lx.PAGE_TAG, " ")
 
 
 def group(c: Column, pattern: str, n: int) -> Column:
@@ -100,18 +100,18 @@ def job_date(c: Column, as_of: Column) -> Column:
         return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
     number = lambda p, n: group(s, p, n).cast("int")
-    ago = r"(?i)^(\d{1,5})\s*(minute|hour|day|week|month)s?\s+ago$"
+    ago = lx.DATE_FORMS["ago"]
     unit = F.lower(F.regexp_extract(s, ago, 2))
     days = number(ago, 1) * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(0)
-    iso, numeric = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})$"
+    iso, numeric = lx.DATE_FORMS["iso"], lx.DATE_FORMS["numeric"]
     a, b = number(numeric, 1), number(numeric, 2)
     us = (b > 12) & (a <= 12)
-    day_first, month_first, month_year = r"(?i)^(\d{1,2})\s+([a-z]+),?\s+(\d{4})", r"(?i)^([a-z]+)\s+(\d{1,2}),?\s+(\d{4})", r"(?i)^([a-z]+)\s+(\d{4})$"
+    day_first, month_first, month_year = (lx.DATE_FORMS[k] for k in ("day_first", "month_first", "month_year"))
     month = lambda p, n: F.try_element_at(months, F.lower(F.regexp_extract(s, p, n)))
-    epoch = group(s, r"^(\d{10})(?:\d{3})?$", 1).cast("long")
+    epoch = group(s, lx.DATE_FORMS["epoch"], 1).cast("long")
     return F.coalesce(
         F.when(s.rlike(ago), F.date_sub(as_of, days)),
-        F.when(s.rlike(r"(?i)^(just now|today|posted today)$"), as_of),
+        F.when(s.rlike(lx.DATE_FORMS["now"]), as_of),
         made(group(s, iso, 1), number(iso, 2), number(iso, 3)),
         made(group(s, numeric, 3), F.when(us, a).otherwise(b), F.when(us, b).otherwise(a)),
         made(group(s, day_first, 3), month(day_first, 2), number(day_first, 1)),

@@ -9,7 +9,6 @@ holds each company's failures of the last days, and no more.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,17 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_local: dict[str, str] = {}
+from ..storage import shared_dir
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; in local mode only, a temporary one if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-streams-"))
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for one stream in the shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def to_latest(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
