@@ -377,3 +377,19 @@ def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "
     sure, asked = rows.where(~F.col(maybe)), rows.where(maybe)
     left = asked.join(listed(gone.unionAll(again)), key, "left_anti")
     return sure.unionByName(left).unionByName(asked.join(listed(again), key, "left_semi").dropDuplicates([key])).drop(key, maybe)
+
+
+def oracle_sql() -> str:
+    """``near_duplicates`` of documents as DuckDB SQL, by all pairs that share a gram."""
+    return r"""
+    WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    grams AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM docs WHERE len(w) > 0 AND doc_id IS NOT NULL)),
+    sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+    pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+    links AS (SELECT x, y FROM pairs JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+    ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached AS (SELECT x AS r, x AS root FROM (SELECT DISTINCT x FROM ends) UNION SELECT b.y, root FROM reached JOIN ends b ON b.x = reached.r),
+    classes AS (SELECT reached.r, min(d.doc_id) AS class_id FROM reached JOIN docs d ON d.r = root GROUP BY ALL),
+    counts AS (SELECT x AS r, count(*) AS n_links FROM ends GROUP BY x)
+    SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM docs LEFT JOIN classes USING (r) LEFT JOIN counts USING (r)
+    """

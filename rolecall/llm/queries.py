@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op9_ngram_join": ngram_join.oracle_sql()}

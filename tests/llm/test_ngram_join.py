@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -47,6 +48,9 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = sorted(map(tuple, nj.near_duplicates(docs).collect()), key=str)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    assert got == sorted(con.execute(nj.oracle_sql()).fetchall(), key=str)
 
 
 @pytest.mark.parametrize("block", [16, 1024])
