@@ -151,3 +151,34 @@ def test_broken_json_ld_is_left_out(spark):
     df = spark.createDataFrame([(1, "https://x.com/a/b", html), (2, "https://x.com", None), (3, "https://x.com", "")], "page_id long, url string, html string")
     got = pages.job_posting(pages.json_ld_nodes(df)).collect()
     assert [(r.page_id, r.title, r.url, r.description) for r in got] == [(1, "A", "https://x.com/a/b", None)]
+
+
+@pytest.mark.parametrize(("name", "items", "title", "nested"), [
+    ("greenhouse", "jobs", "title", "location"), ("lever", None, "text", "categories"), ("workday", "jobPostings", "title", "locationsText"), ("smartrecruiters", "content", "name", "location"),
+    ("ashby", "jobs", "title", "location"), ("workable", "jobs", "title", "city"), ("bamboohr", "jobs", "title", "location"),
+])
+def test_feeds_with_absent_null_and_mistyped_fields(spark, name, items, title, nested):
+    import json
+
+    from rolecall.sources import feeds
+
+    whole, bare, null = {title: "Process Engineer", "id": "1", "extra": {"a": [1]}}, {}, {title: None, nested: None}
+    odd = [{title: "Odd", nested: [1, 2]}, {title: "Odder", nested: 7, "id": 12}]
+    listed = lambda xs: json.dumps({items: xs} if items else xs)
+    bodies = [("good", listed([whole, bare, null])), ("odd", listed([whole, *odd])), ("none", listed([])), ("null", json.dumps({items: None}) if items else "null"), ("other", json.dumps({"x": 1})), ("broken", listed([whole])[:-3]), ("html", "<html>"), ("empty", ""), ("missing", None)]
+    rows = feeds.READERS[name](spark.createDataFrame([(c, "https://careers.example.com/jobs", b) for c, b in bodies], "company_id string, careers_url string, body string")).collect()
+    assert all(r.asDict().keys() == {"company_id", *feeds.COLUMNS} for r in rows)
+    titles = {}
+    for r in rows:
+        titles.setdefault(r.company_id, []).append(r.title)
+    assert titles["good"] == ["Process Engineer", "Untitled role", "Untitled role"]
+    assert titles["odd"] == ["Process Engineer", "Odd", "Odder"]
+    assert not {"none", "null", "html", "empty", "missing"} & set(titles)
+
+
+def test_personio_with_absent_and_odd_fields(spark):
+    from rolecall.sources import feeds
+
+    body = "<workzag-jobs><job id='1'><title>Engineer</title></job><job><office>Pune</office></job><job id='x'><title> </title></job><job><title>Chemist</title><type>odd</type><new>1</new></job></workzag-jobs>"
+    rows = feeds.personio(spark.createDataFrame([("a", "https://a.jobs.personio.de", body), ("b", "u", "<html>"), ("c", "u", None), ("d", "u", "<job")], "company_id string, careers_url string, body string")).collect()
+    assert sorted(r.title for r in rows) == ["Chemist", "Engineer"]
