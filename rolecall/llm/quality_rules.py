@@ -143,7 +143,11 @@ def measures(text: Column, limits: RepetitionLimits, spans: bool = False) -> Col
 
 
 def repeated_spans(docs: DataFrame, limits: RepetitionLimits = RepetitionLimits(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each united span of repeats: doc_id, begin, end (in words, end excluded)."""
+    """One row for each united span of repeats: doc_id, begin, end (in words, end excluded).
+
+    A text without repeats, null or empty ones among them, has no row; repeated rows have their
+    spans each, a null id stays null, an empty table gives no rows; other columns are not read.
+    """
     found = docs.select(F.col(doc_id).alias("doc_id"), measures(F.col(text), limits, spans=True).alias("_m"))
     return found.select("doc_id", F.explode("_m.spans").alias("_s")).select("doc_id", "_s.begin", "_s.end")
 
