@@ -72,16 +72,22 @@ def _at(v: Column, path: str, kind: str = "variant") -> Column:
 
 
 def _open(v: Column) -> Column:
-    """The first of an array; the @value, @id or value of an object."""
-    first = tx.let(v, lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), _at(x, "$[0]")).otherwise(x))
-    inner = lambda x: F.coalesce(_at(x, "$['@value']"), _at(x, "$['@id']"), _at(x, "$.value"))
-    return tx.let(first, lambda x: F.when(F.startswith(_kind(x), F.lit("OBJECT")), inner(x)).otherwise(x))
+    """The first of an array; the @value, @id or value of an object; else the value as it is."""
+    first = lambda x: F.coalesce(_at(x, "$[0]"), x)
+    return tx.let(tx.let(v, first), lambda x: F.coalesce(_at(x, "$['@value']"), _at(x, "$['@id']"), _at(x, "$.value"), x))
 
 
 def _scalar(v: Column) -> Column:
-    """Text of a value, unwrapped twice; null for none, blank or a nested object."""
-    nested = lambda x: F.startswith(_kind(x), F.lit("OBJECT")) | F.startswith(_kind(x), F.lit("ARRAY"))
-    return tx.let(_open(_open(v)), lambda x: F.nullif(tx.collapse(F.when(~nested(x), _at(x, "$", "string"))), F.lit("")))
+    """Text of a value, unwrapped twice; null for none, blank or a nested object.
+
+    The kind of a value is dear to find, so it is asked only of what reads like an array or object.
+    """
+
+    def text(x: Column) -> Column:
+        nested = lambda s: s.rlike(r"^[\[{]") & _kind(x).rlike("^(ARRAY|OBJECT)")
+        return tx.let(_at(x, "$", "string"), lambda s: F.when(~F.coalesce(nested(s), F.lit(False)), s))
+
+    return F.nullif(tx.collapse(tx.let(_open(_open(v)), text)), F.lit(""))
 
 
 def json_ld_nodes(pages: DataFrame, depth: int = 8) -> DataFrame:
@@ -92,46 +98,55 @@ def json_ld_nodes(pages: DataFrame, depth: int = 8) -> DataFrame:
     bodies = likely.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(script), 1)).alias("_body"))
     parsed = F.coalesce(F.try_parse_json("_body"), F.try_parse_json(F.regexp_replace("_body", r",\s*([}\]])", "$1")))
     rows = bodies.withColumn("_level", F.filter(F.array(parsed), lambda v: v.isNotNull())).withColumn("_all", F.col("_level"))
+    none = F.array().cast("array<variant>")
     for _ in range(depth):
         graph = lambda v: _at(v, "$['@graph']")
         children = lambda v: F.concat(
-            F.coalesce(_at(v, "$", "array<variant>"), F.array().cast("array<variant>")),
-            F.when(graph(v).isNotNull(), F.array(graph(v))).otherwise(F.array().cast("array<variant>")),
+            F.coalesce(_at(v, "$", "array<variant>"), none),
+            F.when(graph(v).isNotNull(), F.array(graph(v))).otherwise(none),
         )
-        rows = rows.withColumn("_level", F.flatten(F.transform("_level", children)))
+        rows = rows.withColumn("_level", F.when(F.size("_level") > 0, F.flatten(F.transform("_level", children))).otherwise(none))
         rows = rows.withColumn("_all", F.concat("_all", "_level"))
     nodes = rows.select("page_id", "url", F.explode("_all").alias("node"))
     kinds = F.coalesce(_at(F.col("node"), "$['@type']", "array<string>"), F.array(_at(F.col("node"), "$['@type']", "string")))
-    return nodes.where(F.startswith(_kind(F.col("node")), F.lit("OBJECT")) & F.array_contains(kinds, "JobPosting"))
+    return nodes.where(F.array_contains(kinds, "JobPosting"))  # only objects have a @type
 
 
-def _address(place: Column) -> Column:
-    one = F.when(F.startswith(_kind(place), F.lit("ARRAY")), _at(place, "$[0]")).otherwise(place)
-    inner = _at(one, "$.address")
-    addr = F.when(F.startswith(_kind(inner), F.lit("ARRAY")), _at(inner, "$[0]")).otherwise(inner)
-    full = F.nullif(F.concat_ws(", ", *[_scalar(_at(addr, f"$.{k}")) for k in ("addressLocality", "addressRegion", "addressCountry")]), F.lit(""))
-    return F.coalesce(full, F.when(addr.isNull(), F.coalesce(_scalar(_at(one, "$.addressLocality")), _scalar(_at(one, "$.name")))))
+#: Where a posting's values stand: in the node, its salary, its education, its place and the place's address.
+_VALUES = {
+    "node": ("identifier", "jobId", "title", "description", "employmentType", "datePosted", "validThrough", "department", "occupationalCategory", "url", "educationRequirements", "jobLocation"),
+    "pay": ("value", "minValue", "maxValue", "currency"),
+    "study": ("credentialCategory", "educationalCredentialAwarded", "aboutLocation", "alternativeOf"),
+    "place": ("addressLocality", "name"),
+    "address": ("addressLocality", "addressRegion", "addressCountry"),
+}
 
 
 def job_posting(nodes: DataFrame) -> DataFrame:
     """Nodes as raw postings: unwrapped values, months as years, joined address and salary, absolute
     url; one row per page, url and title."""
     n = F.col("node")
-    get = lambda k: _scalar(_at(n, f"$.{k}"))
-    pay = _at(n, "$.baseSalary")
-    low, high = F.coalesce(_scalar(_at(pay, "$.value")), _scalar(_at(pay, "$.minValue"))), _scalar(_at(pay, "$.maxValue"))
-    unit = F.upper(_at(pay, "$.unitText", "string"))
+    first = lambda v: F.when(F.startswith(_kind(v), F.lit("ARRAY")), _at(v, "$[0]")).otherwise(v)
+    held = nodes.withColumns({"_pay": _at(n, "$.baseSalary"), "_study": _at(n, "$.educationRequirements"), "_place": first(_at(n, "$.jobLocation"))})
+    held = held.withColumn("_address", first(_at(F.col("_place"), "$.address")))
+    # all values go through one lambda: written out for each, the code would outgrow the compiler's limits
+    keys = [(part, k) for part, names in _VALUES.items() for k in names]
+    held = held.withColumn("_values", F.transform(F.array(*[_at(F.col("node" if part == "node" else f"_{part}"), f"$.{k}") for part, k in keys]), _scalar))
+    of = lambda part, k: F.col("_values")[keys.index((part, k))]
+    get = lambda k: of("node", k)
+    low, high = F.coalesce(of("pay", "value"), of("pay", "minValue")), of("pay", "maxValue")
+    unit = F.upper(_at(F.col("_pay"), "$.unitText", "string"))
     per = F.when(unit.isin("HOUR", "DAY", "WEEK", "MONTH", "YEAR"), F.concat(F.lit("per "), F.lower(unit)))
     months = _at(n, "$.experienceRequirements.monthsOfExperience", "double")
-    study = _at(n, "$.educationRequirements")
-    cred = F.coalesce(_scalar(_at(study, "$.credentialCategory")), _scalar(_at(study, "$.educationalCredentialAwarded")))
-    about = F.coalesce(_scalar(_at(study, "$.aboutLocation")), _scalar(_at(study, "$.alternativeOf")))
-    education = F.when(F.startswith(_kind(study), F.lit("OBJECT")), F.nullif(F.concat_ws(" ", cred, about), F.lit(""))).otherwise(get("educationRequirements"))
-    place = _at(n, "$.jobLocation")
-    raw = nodes.select(
+    cred = F.coalesce(of("study", "credentialCategory"), of("study", "educationalCredentialAwarded"))
+    about = F.coalesce(of("study", "aboutLocation"), of("study", "alternativeOf"))
+    education = F.when(F.startswith(_kind(F.col("_study")), F.lit("OBJECT")), F.nullif(F.concat_ws(" ", cred, about), F.lit(""))).otherwise(get("educationRequirements"))
+    full = F.nullif(F.concat_ws(", ", *[of("address", k) for k in _VALUES["address"]]), F.lit(""))
+    location = F.coalesce(full, F.when(F.col("_address").isNull(), F.coalesce(of("place", "addressLocality"), of("place", "name"))), get("jobLocation"))
+    raw = held.select(
         "page_id", F.coalesce(get("identifier"), get("jobId")).alias("external_job_id"), F.coalesce(get("title"), F.lit("Untitled role")).alias("title"),
-        F.nullif(F.regexp_replace(tx.page_text(get("description")), r"^\s+|\s+$", ""), F.lit("")).alias("description"), F.coalesce(_address(place), _scalar(place)).alias("location"), get("employmentType").alias("employment_type"),
-        get("datePosted").alias("posted_at"), get("validThrough").alias("closing_at"), F.nullif(F.concat_ws(" ", F.coalesce(F.concat(low, F.lit("-"), high), low, high), _scalar(_at(pay, "$.currency")), per), F.lit("")).alias("salary"),
+        F.nullif(F.regexp_replace(tx.page_text(get("description")), r"^\s+|\s+$", ""), F.lit("")).alias("description"), location.alias("location"), get("employmentType").alias("employment_type"),
+        get("datePosted").alias("posted_at"), get("validThrough").alias("closing_at"), F.nullif(F.concat_ws(" ", F.coalesce(F.concat(low, F.lit("-"), high), low, high), of("pay", "currency"), per), F.lit("")).alias("salary"),
         get("department").alias("department"), get("occupationalCategory").alias("category"), F.coalesce(tx.absolute_url(get("url"), F.col("url")), F.col("url")).alias("url"),
         education.alias("education_requirement"), F.when(months > 0, F.round(months / 12, 1)).alias("experience_min"), F.lit("JSON_LD").alias("method"),
     )
