@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, graph_search, language_id, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filters
+from . import bpe_codec, collocations, graph_search, language_id, lexical_search, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filters
 
 
 def _vocabulary_path() -> str:
@@ -62,6 +62,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op9_ngram_join": ngram_join.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op9_ngram_join": ngram_join.oracle_sql(), "op12_lexical_search": lexical_search.oracle_sql(), "op13_collocations": collocations.oracle_sql()}
