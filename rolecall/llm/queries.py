@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, collocations, graph_search, language_id, lexical_search, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filters
+from . import bpe_codec, collocations, graph_search, language_id, lexical_search, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filters
 
 
 def _vocabulary_path() -> str:
@@ -62,6 +62,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary_path())
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_lexical_search": op12_lexical_search,
     "op13_collocations": op13_collocations,
 }
