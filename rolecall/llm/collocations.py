@@ -33,8 +33,8 @@ NO_LANGUAGE = "und"
 class PhraseParams:
     """Phrases of 2 to ``most_words`` words with a count of ``least`` or more; the ``top`` best of each
     language.  A phrase is dropped for a longer one that has ``inside`` percent of its count.  A
-    prefix that begins more than 1 / ``hot`` of all suffixes is hot, and at most 2 * ``hot`` of a
-    length are; chunks of about ``chunk`` bytes are added up before the shuffle; a bucket holds about
+    prefix that begins more than 1 / ``hot`` of all suffixes (and ``fewest`` in each chunk) is hot, and
+    at most 2 * ``hot`` of a length are; chunks of about ``chunk`` bytes are added up before the shuffle; a bucket holds about
     ``bucket`` suffixes, or those of one prefix that isn't hot.  Phrases are ranked in ``salts`` parts first."""
 
     most_words: int = 3
@@ -42,6 +42,7 @@ class PhraseParams:
     inside: int = 50
     top: int = 2000
     hot: int = 8192
+    fewest: int = 16
     chunk: int = 8_000_000
     bucket: int = 250_000
     salts: int = 16
@@ -55,15 +56,11 @@ class Chunk:
         tokens = b".".join(t.translate(_WORD_BYTES) for t in texts).replace(b".", b" . ").split()
         self.words = [b".", *set(tokens).difference((b".",))]
         number = dict(zip(self.words, range(len(self.words)), strict=True))
-        ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int32, count=len(tokens))
         del tokens, number
-        columns = [ids]
-        for k in range(1, depth):
-            after = np.r_[ids[k:], np.zeros(min(k, len(ids)), dtype=np.int64)]
-            columns.append(np.where(columns[-1] > 0, after, 0))
-        starts = ids > 0
-        self.total = int(starts.sum())
-        self.suffixes, self.times = added_up([c[starts] for c in columns], len(self.words))
+        starts = np.flatnonzero(ids)
+        self.total = len(starts)
+        self.suffixes, self.times = added_up(np.r_[ids, np.zeros(depth, dtype=np.int32)], starts, depth, len(self.words))
 
     def prefixes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct prefixes of exactly ``depth`` words and their counts; suffixes are sorted."""
@@ -78,21 +75,33 @@ class Chunk:
         return b" ".join([self.words[i] for i in numbers.tolist()])
 
 
-def added_up(columns: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of equally long columns, sorted, and how often each occurs.
+def added_up(ids: np.ndarray, starts: np.ndarray, depth: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes of ``depth`` numbers from each of ``starts`` (0 from where a piece ends), sorted, and how often each occurs.
 
-    Columns that fit are packed into one integer a row, which sorts faster.
+    Suffixes whose numbers fit are packed into one integer each, which sorts faster.
     """
     bits = max(1, int(n_words).bit_length())
-    if bits * len(columns) > 63:
-        rows, times = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
-        return rows.astype(np.int32), times
-    code = columns[0]
-    for c in columns[1:]:
-        code = (code << bits) | c
-    code, times = np.unique(code, return_counts=True)
-    rows = [(code >> (bits * k)) & ((1 << bits) - 1) for k in range(len(columns) - 1, -1, -1)]
-    return np.stack(rows, axis=1).astype(np.int32), times
+    packed = bits * depth <= 63
+    column = ids[starts]
+    code = column.astype(np.int64) if packed else [column]
+    for k in range(1, depth):
+        column = np.where(column > 0, ids[starts + k], 0)
+        if packed:
+            code <<= bits
+            code |= column
+        else:
+            code.append(column)
+    if not packed:
+        rows, times = np.unique(np.stack(code, axis=1), axis=0, return_counts=True)
+        return rows, times
+    code.sort()
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.r_[first, len(code)])
+    code = code[first]
+    out = np.empty((len(code), depth), dtype=np.int32)
+    for k in range(depth):
+        out[:, k] = (code >> (bits * (depth - 1 - k))) & ((1 << bits) - 1)
+    return out, times
 
 
 def sorted_counts(suffixes: np.ndarray, times: np.ndarray, least: int, whole_from: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,9 +158,9 @@ def _chunks(batch: pd.DataFrame, depth: int, most: int) -> Iterator[tuple[str, C
 def _often(rows: DataFrame, params: PhraseParams) -> tuple[int, DataFrame, dict[str, set[bytes]]]:
     """The number of all suffixes, that of each language (lang, n), and the hot prefixes of each.
 
-    A prefix with 1 / hot of all suffixes has 1 / (2 * hot) of a chunk's in chunks that hold more
-    than half of it, so what chunks report of it is 1 / (2 * hot) of all at least; no more than
-    2 * hot prefixes of a length can have that.
+    A chunk reports a prefix with 1 / (2 * hot) of its suffixes, and ``fewest`` of them at least.  Of a
+    prefix with 1 / hot of all and ``fewest`` a chunk, at least 1 / (2 * hot) of all is reported, so it is
+    found; no more than 2 * hot prefixes of a length can have that.
     """
     depth = max(1, params.most_words - 1)
 
@@ -161,9 +170,9 @@ def _often(rows: DataFrame, params: PhraseParams) -> tuple[int, DataFrame, dict[
                 found = [(name, 0, b"", chunk.total)]
                 for k in range(1, depth + 1):
                     prefixes, times = chunk.prefixes(k)
-                    often = times * 2 * params.hot >= chunk.total
+                    often = times >= max(params.fewest, chunk.total / (2 * params.hot))
                     found += [(name, k, chunk.phrase(p), n) for p, n in zip(prefixes[often], times[often].tolist(), strict=True)]
-                yield pd.DataFrame(found, columns=["lang", "depth", "phrase", "n"])
+                yield pd.DataFrame(found, columns=["lang", "depth", "phrase", "n"]).astype({"lang": object})
 
     reported = written(rows.mapInPandas(report, "lang string, depth int, phrase binary, n long").groupBy("lang", "depth", "phrase").agg(F.sum("n").alias("n")), "phrases-often")
     lines = reported.where("depth = 0").select("lang", "n")
@@ -216,12 +225,16 @@ def _routed(rows: DataFrame, hot: dict[str, set[bytes]], buckets: int, params: P
                     if used[0] > 0:  # number 0 is the end of a piece, whether it occurs or not
                         used, numbers = np.r_[0, used], numbers + 1
                     kind = np.uint16 if len(used) < 65536 else np.int32
-                    out.append((name, int(bucket[at[0]]), int(whole_from[at[0]]), b" ".join([chunk.words[i] for i in used.tolist()]), numbers.astype(kind).tobytes(), chunk.times[at].astype(np.int64).tobytes(), 0))
-                yield pd.DataFrame(out, columns=["lang", "bucket", "whole_from", "words", "suffixes", "times", "n"])
+                    out.append((name, int(bucket[at[0]]), int(whole_from[at[0]]), b" ".join([chunk.words[i] for i in used.tolist()]), numbers.astype(kind).tobytes(), _packed(chunk.times[at]), 0))
+                yield pd.DataFrame(out, columns=["lang", "bucket", "whole_from", "words", "suffixes", "times", "n"]).astype({"lang": object})
 
     return rows.mapInPandas(route, "lang string, bucket long, whole_from int, words binary, suffixes binary, times binary, n long")
 
 
+def _packed(times: np.ndarray) -> bytes:
+    return times.astype(np.uint8 if times.max() < 256 else np.int64).tobytes()
+
+
 def _span(rows: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last+1 of the sorted rows that begin with each of ``prefixes``."""
     low, high = np.zeros(len(prefixes), dtype=np.int64), np.full(len(prefixes), len(rows), dtype=np.int64)
@@ -247,7 +260,7 @@ def _counted(routed: DataFrame, params: PhraseParams) -> DataFrame:
                 listed = words.split(b" ")
                 ids = np.fromiter((number.setdefault(w, len(number)) for w in listed), dtype=np.int32, count=len(listed))
                 suffixes.append(ids[np.frombuffer(packed, dtype=np.uint16 if len(listed) < 65536 else np.int32)].reshape(-1, params.most_words))
-                times.append(np.frombuffer(n, dtype=np.int64))
+                times.append(np.frombuffer(n, dtype=np.uint8 if len(n) == len(suffixes[-1]) else np.int64).astype(np.int64))
             words = np.array([w.decode() for w in number], dtype=object)
             for phrases, counts in sorted_counts(np.concatenate(suffixes), np.concatenate(times), params.least, int(whole_from)):
                 size = phrases.shape[1]
@@ -255,8 +268,8 @@ def _counted(routed: DataFrame, params: PhraseParams) -> DataFrame:
                 for k in range(1, size):
                     text = text + " " + words[phrases[:, k]]
                 lefts = [[None if k < whole_from - 1 else int(c) for k, c in enumerate(row)] for row in counts[:, :-1].tolist()]
-                out.append(pd.DataFrame({"lang": name, "phrase": text, "size": size, "a": counts[:, -1], "lefts": lefts}))
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "phrase": [], "size": [], "a": [], "lefts": []})
+                out.append(pd.DataFrame({"lang": name, "phrase": text, "size": size, "a": counts[:, -1], "lefts": pd.Series(lefts, dtype=object)}))
+        return pd.concat(out).astype({"lang": object}) if out else pd.DataFrame(columns=["lang", "phrase", "size", "a", "lefts"], dtype=object)
 
     return routed.where("bucket >= 0").groupBy("bucket").applyInPandas(count, _COUNTED)
 
