@@ -43,7 +43,7 @@ class PhraseParams:
     top: int = 2000
     hot: int = 8192
     fewest: int = 16
-    chunk: int = 8_000_000
+    chunk: int = 4_000_000
     bucket: int = 250_000
     salts: int = 16
 
@@ -150,9 +150,9 @@ def _rows(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 def _chunks(batch: pd.DataFrame, depth: int, most: int) -> Iterator[tuple[str, Chunk]]:
     for name, part in batch.groupby("lang", sort=True):
-        texts = [t.encode() for t in part["text"]]
+        texts = part["text"].tolist()
         for begin, end in spans(list(map(len, texts)), most):
-            yield name, Chunk(texts[begin:end], depth)
+            yield name, Chunk([t.encode() for t in texts[begin:end]], depth)
 
 
 def _often(rows: DataFrame, params: PhraseParams) -> tuple[int, DataFrame, dict[str, set[bytes]]]:
