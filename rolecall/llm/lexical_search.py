@@ -58,7 +58,8 @@ def _item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [sorted(set(terms(t))) for t in batch["text"]]
-            yield pd.DataFrame({"item_id": np.repeat(batch["item_id"].to_numpy(), list(map(len, found))), "term": [x.decode() for f in found for x in f]}).astype({"item_id": "Int64"})
+            ids = batch["item_id"].astype("Int64").repeat(list(map(len, found))).reset_index(drop=True)
+            yield pd.DataFrame({"item_id": ids, "term": np.array([x.decode() for f in found for x in f], dtype=object)})
 
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
     return written(rows.mapInPandas(split, "item_id long, term string").distinct(), "search-items")
