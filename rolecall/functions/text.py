@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -157,30 +158,62 @@ def skill_label(skill: Column) -> Column:
     return lookup(skill, {s[0]: s[1] for s in lx.SKILLS}, skill)
 
 
-def _entries(pairs: Sequence[tuple[str, str]]) -> Column:
-    """A lexicon as one array constant of (alias, id)."""
-    return constant([{"alias": a, "id": i} for a, i in pairs], "array<struct<alias: string, id: string>>")
+def _longest(words: Sequence[str]) -> str:
+    """A pattern, by shared beginnings, of the longest of ``words`` that begins at a place."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
+    def body(node: dict) -> str:
+        rest = [re.escape(c) + body(child) for c, child in sorted(node.items()) if c]
+        if not rest:
+            return ""
+        joined = rest[0] if len(rest) == 1 and "" not in node else f"(?:{'|'.join(rest)})"
+        return joined + "?" * ("" in node)
 
-def _holds(text: Column, alias: Column, whole_word: bool) -> Column:
-    """Containment in comparable text; aliases of one or two letters must be whole words."""
-    word = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), alias, F.lit(" ")))
-    return word if whole_word else F.when(F.length(alias) <= 2, word).otherwise(F.contains(text, alias))
+    return body(root)
 
 
-def skills_in(c: Column, whole_word: bool = False) -> Column:
-    """Skills whose alias occurs, in order of alias length; an empty array for null."""
+def _ranks(text: Column, aliases: Sequence[str], whole_word: bool = False) -> Column:
+    """Ranks (places in ``aliases``) of the aliases that occur in comparable text, ascending.
+
+    One pattern finds the longest alias at every place; others that occur there begin it, so
+    a fixed table adds them.  ``whole_word``: aliases must be whole words.
+    """
+    more = lambda a: [a, *(b for b in aliases if b != a and a.startswith(b + " " * whole_word))]
+    table = {a: sorted(aliases.index(b) for b in more(a)) for a in aliases}
+    pattern = f"(?<![a-z0-9])(?=({_longest(aliases)})(?![a-z0-9]))" if whole_word else f"(?=({_longest(aliases)}))"
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    ranks = F.flatten(F.transform(found, lambda a: F.try_element_at(constant(table, "map<string,array<int>>"), a)))
+    return F.array_sort(F.array_distinct(ranks))
+
 
-    def found(text: Column) -> Column:
-        hits = F.filter(_entries(lx.skill_aliases()), lambda e: _holds(text, e["alias"], whole_word))
-        return F.array_distinct(F.transform(hits, lambda e: e["id"]))
+def _skill_ranks(text: Column, whole_word: bool) -> Column:
+    """Ranks of skill aliases; those of one or two letters must be whole words in any case."""
+    aliases = [a for a, _ in lx.skill_aliases()]
+    if whole_word:
+        return _ranks(text, aliases, True)
+    # aliases go by length, so the short ones are the last
+    long = [a for a in aliases if len(a) > 2]
+    short = constant([{"alias": a, "rank": len(long) + i} for i, a in enumerate(aliases[len(long) :])], "array<struct<alias: string, rank: int>>")
+    words = F.filter(short, lambda e: F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), e["alias"], F.lit(" "))))
+    return F.concat(_ranks(text, long), F.transform(words, lambda e: e["rank"]))
 
+
+def skills_in(c: Column, whole_word: bool = False) -> Column:
+    """Skills whose alias occurs, in order of alias length; an empty array for null."""
+    ids = constant([i for _, i in lx.skill_aliases()], "array<string>")
+    found = lambda text: F.array_distinct(F.transform(_skill_ranks(text, whole_word), lambda r: F.get(ids, r)))
     return let(F.coalesce(comparable(c), F.lit("")), found)
 
 
 def canonical_skill(c: Column, whole_word: bool = False) -> Column:
     """The first skill whose alias occurs; null if none does."""
-    return let(comparable(c), lambda text: F.get(F.filter(_entries(lx.skill_aliases()), lambda e: _holds(text, e["alias"], whole_word)), 0)["id"])
+    ids = constant([i for _, i in lx.skill_aliases()], "array<string>")
+    return let(comparable(c), lambda text: F.get(ids, F.get(_skill_ranks(text, whole_word), 0)))
 
 
 def canonical_skills(xs: Column) -> Column:
@@ -200,7 +233,9 @@ def canonical_skills(xs: Column) -> Column:
 
 def field_of(c: Column) -> Column:
     """The field of study: longest alias that occurs, branches before generic families."""
-    hit = lambda text: F.get(F.filter(_entries(lx.field_aliases()), lambda e: F.contains(text, e["alias"])), 0)["id"]
+    pairs = lx.field_aliases()
+    ids = constant([i for _, i in pairs], "array<string>")
+    hit = lambda text: F.get(ids, F.get(_ranks(text, [a for a, _ in pairs]), 0))
     return F.coalesce(let(F.coalesce(comparable(c), F.lit("")), hit), F.lit(lx.UNKNOWN_FIELD))
 
 

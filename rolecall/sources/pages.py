@@ -48,15 +48,37 @@ def _path_fits(path: Column, rule: Column) -> Column:
     return (rule != "") & F.when(F.contains(body, F.lit("*")), F.regexp_like(path, pattern)).otherwise(F.startswith(path, body))
 
 
-def filter_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Adds ``allowed`` to urls (origin, path): by the group of the longest agent name inside
-    ``agent``, else the first * group; the longest fitting rule wins, Allow at ties."""
+def _own_rules(rules: DataFrame, agent: str) -> DataFrame:
+    """origin, allow and rule of the group that holds for ``agent``: that of the longest agent name inside it, else the first * group."""
     mine = F.filter("agents", lambda a: (a != "*") & F.contains(F.lit(agent.lower()), a))
     length = F.coalesce(F.array_max(F.transform(mine, F.length)), F.when(F.array_contains("agents", "*"), F.lit(0)))
     rank = Window.partitionBy("origin").orderBy(F.desc("_length"), "group")
-    chosen = rules.withColumn("_length", length).where("_length is not null").withColumn("_rank", F.dense_rank().over(rank)).where("_rank = 1").select("origin", "allow", F.col("path").alias("rule"))
-    keyed = urls.withColumn("_id", F.xxhash64("origin", "path"))
-    best = keyed.select("origin", "path", "_id").distinct().join(chosen, "origin").where(_path_fits(F.col("path"), F.col("rule"))).groupBy("origin", "path").agg(F.max(F.struct(F.length("rule"), "allow"))["allow"].alias("_allow"))
+    chosen = rules.withColumn("_length", length).where("_length is not null").withColumn("_rank", F.dense_rank().over(rank))
+    return chosen.where("_rank = 1").select("origin", "allow", F.col("path").alias("rule"))
+
+
+def rule_candidates(paths: DataFrame, rules: DataFrame, salts: int = 16) -> DataFrame:
+    """origin, path, allow and rule wherever a path begins with a rule's head, the part before its first *.
+
+    A path meets heads as equal prefixes, so it has a row for each length that a head of its
+    origin has, and no more than it has characters.  An origin's heads are repeated for ``salts``
+    parts of its paths, so an origin or head that all paths share is no single key.
+    """
+    head = F.substring_index(F.regexp_replace("rule", r"\$$", ""), "*", 1)
+    heads = rules.where("rule <> ''").select("origin", "allow", "rule", head.alias("_head"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    lengths = heads.groupBy("origin", "_salt").agg(F.collect_set(F.length("_head")).alias("_lengths"))
+    salted = paths.select("origin", "path", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("_salt"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("path"))
+    prefixes = salted.join(lengths, ["origin", "_salt"]).select("origin", "path", "_salt", F.explode(fitting).alias("_n"))
+    return prefixes.withColumn("_head", F.expr("left(path, _n)")).join(heads, ["origin", "_salt", "_head"]).select("origin", "path", "allow", "rule")
+
+
+def filter_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """Adds ``allowed`` to urls (origin, path): the longest rule that fits wins, Allow at ties, and
+    what no rule fits is allowed.  Only rules with a * are tested as patterns, on paths that begin
+    as they do."""
+    met = rule_candidates(urls.select("origin", "path").distinct(), _own_rules(rules, agent))
+    best = met.where(_path_fits(F.col("path"), F.col("rule"))).groupBy("origin", "path").agg(F.max(F.struct(F.length("rule"), "allow"))["allow"].alias("_allow"))
     return urls.join(best, ["origin", "path"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
 
 
