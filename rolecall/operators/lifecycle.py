@@ -273,15 +273,19 @@ def overlapping_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_busy", F.max(end).over(before)).where(F.col("_busy") > F.col("started_at")).drop("_busy")
 
 
+def retry_wait(failures: Column) -> Column:
+    """Ten minutes, six hours from the third failure on."""
+    return F.when(failures >= 3, F.make_dt_interval(F.lit(0), F.lit(6))).otherwise(F.make_dt_interval(F.lit(0), F.lit(0), F.lit(10)))
+
+
 def failure_streaks(runs: DataFrame) -> DataFrame:
-    """Per company, the failed runs since its last success, and when it may be tried again: ten
-    minutes after the last failure, six hours from the third on; no row without a streak."""
+    """Per company, the failed runs since its last success, and when it may be tried again after
+    the last failure; no row without a streak."""
     at = F.struct("started_at", "run_id")
     good = runs.where("status = 'COMPLETED'").groupBy("company_id").agg(F.max(at).alias("_good"))
     since = runs.where("status = 'FAILED'").join(good, "company_id", "left").where(F.col("_good").isNull() | (at > F.col("_good")))
     streak = since.groupBy("company_id").agg(F.count("*").alias("failures"), F.max("started_at").alias("last_failure"))
-    wait = F.when(F.col("failures") >= 3, F.make_dt_interval(F.lit(0), F.lit(6))).otherwise(F.make_dt_interval(F.lit(0), F.lit(0), F.lit(10)))
-    return streak.withColumn("retry_after", F.col("last_failure") + wait)
+    return streak.withColumn("retry_after", F.col("last_failure") + retry_wait(F.col("failures")))
 
 
 def patch(rows: DataFrame, patches: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from ..storage import written
 from ..streaming import folds
 from .fixtures import AS_OF, Tables
 from .listing import PREFS, SEEN, prefs, today
-from .registry import query
+from .registry import SELECTS, query
 from .texts import _KEY, _LOC, _plain, _tokens
 
 _SLUG = "left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 120)"
@@ -156,7 +156,6 @@ def _(t):
 _TRACKED = f"SELECT x.id FROM keyed x WHERE NOT EXISTS (SELECT 1 FROM keyed y WHERE y.id <> x.id AND x.company_id = y.company_id AND (x.ext = y.ext OR (x.nm = y.nm AND x.place = y.place AND x.place <> '') OR ({_T3})))"
 
 
-@query("c9_already_tracked_all", _TRACKED, _KEYED)
 @query("c9_already_tracked", _TRACKED, _KEYED)
 def _(t):
     return lc.already_tracked(t.postings, t.postings).select("id")
@@ -232,14 +231,14 @@ def _(t):
 _HIST = "hist AS (SELECT CAST(user_id % 25 AS STRING) AS user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(2020 + event_id % 3 AS INT) END AS graduation_year, ts AS updated_at, event_id AS seq FROM events)"
 
 
-def history(t: Tables) -> DataFrame:
-    e = t.raw("events")
+def history(e: DataFrame) -> DataFrame:
+    """Profiles' histories out of events, which may be a stream."""
     return e.select((F.col("user_id") % 25).cast("string").alias("user_id"), F.when(F.col("event_id") % 13 != 0, (2020 + F.col("event_id") % 3).cast("int")).alias("graduation_year"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"))
 
 
 @query("i15_year_changes", "SELECT user_id, updated_at, seq, 'ELIGIBLE_JOB_CHANGED' AS kind FROM (SELECT *, lag(graduation_year) OVER (PARTITION BY user_id ORDER BY updated_at, seq) AS was FROM hist) WHERE was <> graduation_year", _HIST)
 def _(t):
-    return lc.year_changes(history(t))
+    return lc.year_changes(history(t.raw("events")))
 
 
 @query("i15_mark_read", f"SELECT id, CASE WHEN read_at IS NULL AND CAST(id AS BIGINT) % 4 = 0 THEN TIMESTAMP '{AS_OF} 00:00:00' ELSE read_at END AS read_at FROM notifications")
@@ -312,6 +311,16 @@ def _(t):
     return folds.run_steps(t)
 
 
-@query("s_i11_streaks_stream", "SELECT company_id, count(*) AS failures FROM runs r WHERE status = 'FAILED' AND NOT EXISTS (SELECT 1 FROM runs g WHERE g.company_id = r.company_id AND g.status = 'COMPLETED' AND (g.started_at, g.run_id) >= (r.started_at, r.run_id)) GROUP BY 1")
+@query("s_i11_streaks_stream", SELECTS["i11_failure_streaks"])
 def _(t):
     return folds.run_streaks(t)
+
+
+@query("s_i9_overlapping_stream", SELECTS["i9_overlapping_runs"])
+def _(t):
+    return folds.run_overlaps(t)
+
+
+@query("s_i15_year_changes_stream", SELECTS["i15_year_changes"], _HIST)
+def _(t):
+    return folds.run_year_changes(t, history)

@@ -229,13 +229,11 @@ _BEST = "SELECT job_id, user_id, job_field, score FROM (SELECT *, row_number() O
 _REL_CTES = (_aliases_sql(lx.field_aliases(), "fields"), _REL, _USERS, _PAIRS)
 
 
-@query("c11_field_relation_all", _RELATIONS, *_REL_CTES)
 @query("c11_field_relation", _RELATIONS, *_REL_CTES)
 def _(t):
     return _pairs(t).select("job_id", "user_id", "job_field", "strength", "score")
 
 
-@query("c12_best_relation_all", _BEST, *_REL_CTES)
 @query("c12_best_relation", _BEST, *_REL_CTES)
 def _(t):
     return _best(_pairs(t))

@@ -3,22 +3,20 @@
 The source is a folder of Parquet files; each stream runs over what is there and stops
 (``availableNow``).  Aggregates run in update mode, keyed state in a state store; every batch is
 written under its number, so a batch that is run again after a failure replaces itself, and the
-latest row of each key is the result.  State is one line for each key; that of the streaks also
-holds each company's failures of the last days, and no more.
+latest row of each key is the result.  Folds that hang on the order of events are in ``ordered``.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..storage import shared_dir
+from . import ordered
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,22 +24,53 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def to_latest(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Runs a stream over all that is there; the latest row of each key."""
+def _run(stream: DataFrame, folder: str, mode: str) -> None:
+    """Runs a stream over what is there; each batch is written under its number."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
 
     def save(df: DataFrame, number: int) -> None:
         df.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")
 
-    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # keyed state with timers needs this store; a query keeps the one that it began with
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.ROCKSDB)
+    try:
+        stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def _out(stream: DataFrame, folder: str) -> DataFrame:
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    rows = spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in stream.columns]), "_batch").alias("_last"))
+    return stream.sparkSession.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+def to_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream over all that is there; the latest row of each key."""
+    folder = shared_folder(stream.sparkSession)
+    _run(stream, folder, "update")
+    last = _out(stream, folder).groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in stream.columns]), "_batch").alias("_last"))
     return last.select("_last.*")
 
 
+def to_settled(source: DataFrame, at: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs ``make`` of a stream over all that is there, and then closes it: a row far ahead in time lets
+    the watermark pass all others, and one more, in a batch of its own, lets what still waited come out."""
+    spark, folder = source.sparkSession, shared_folder(source.sparkSession)
+    marked = source.withColumn("_beat", F.lit(False))
+    beats = lambda n: spark.range(n).select(*[F.lit("9999-01-01 00:00:00" if f.name == at else f.name == "_beat" if f.name == "_beat" else None).cast(f.dataType).alias(f.name) for f in marked.schema])
+    beats(0).coalesce(1).write.parquet(f"{folder}/beats")
+    stream = make(marked.unionByName(spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/beats")))
+    _run(stream, folder, "append")
+    for _ in range(2):
+        beats(1).coalesce(1).write.mode("append").parquet(f"{folder}/beats")
+    _run(stream, folder, "append")
+    return _out(stream, folder).select(*stream.columns)
+
+
 def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
     """The events table as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -61,37 +90,6 @@ def steps_fold(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id", "step_key").agg(last("state"), last("detail"))
 
 
-def streaks_fold(stream: DataFrame, late_days: int = 90) -> DataFrame:
-    """Failed runs since the last success of each company, as keyed state.
-
-    The state is the last success and the failures after it, so rows may come in any order within
-    ``late_days`` of a company's newest row.  Failures older than that are kept as their number
-    only, so a company that never succeeds needs no more state than one that does; a success that
-    comes later than that is not taken back into account.
-    """
-    span = late_days * 86_400_000_000
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        good_at, good_id, old, old_until, at, ids = state.get if state.exists else (-1, "", 0, -1, [], [])
-        rows = pd.concat([pd.DataFrame({"at": at, "run_id": ids, "status": "FAILED"}), *frames], ignore_index=True).drop_duplicates(["at", "run_id", "status"])
-        done = rows[(rows["status"] == "COMPLETED") & (rows["at"] > old_until)].sort_values(["at", "run_id"])
-        if len(done):
-            good_at, good_id = max((good_at, good_id), (int(done["at"].iloc[-1]), str(done["run_id"].iloc[-1])))
-        if good_at > old_until:
-            old = 0
-        fails = rows[(rows["status"] == "FAILED") & ((rows["at"] > good_at) | ((rows["at"] == good_at) & (rows["run_id"] > good_id)))]
-        edge = int(rows["at"].max()) - span if len(rows) else -1
-        past = fails["at"] <= edge
-        if past.any():
-            old, old_until = old + int(past.sum()), max(old_until, int(fails["at"][past].max()))
-        kept = fails[~past]
-        state.update((good_at, good_id, old, old_until, kept["at"].astype(int).tolist(), kept["run_id"].tolist()))
-        yield pd.DataFrame({"company_id": [key[0]], "failures": [old + len(kept)]})
-
-    keyed = stream.select("company_id", F.unix_micros(F.col("started_at").cast("timestamp")).alias("at"), "run_id", "status")
-    return keyed.groupBy("company_id").applyInPandasWithState(fold, "company_id string, failures long", "good_at long, good_id string, old long, old_until long, at array<long>, ids array<string>", "update", GroupStateTimeout.NoTimeout)
-
-
 def _of(t, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return make(t.derived_from(name, {"events": events(t.spark, t.sf_dir)}))
 
@@ -105,4 +103,13 @@ def run_steps(t) -> DataFrame:
 
 
 def run_streaks(t) -> DataFrame:
-    return to_latest(_of(t, "runs", streaks_fold), ["company_id"]).where("failures > 0")
+    latest = to_latest(_of(t, "runs", ordered.failure_streaks), ["company_id"])
+    return latest.where("failures > 0")
+
+
+def run_overlaps(t, delay: str = "1 day") -> DataFrame:
+    return to_settled(t.derived_from("runs", {"events": events(t.spark, t.sf_dir)}), "started_at", lambda s: ordered.overlapping_runs(s, delay)).select("run_id")
+
+
+def run_year_changes(t, history: Callable[[DataFrame], DataFrame], delay: str = "1 day") -> DataFrame:
+    return to_settled(history(events(t.spark, t.sf_dir)), "updated_at", lambda s: ordered.year_changes(s, delay))
