@@ -170,11 +170,20 @@ def already_tracked(upserts: DataFrame, existing: DataFrame, threshold: float =
     return upserts.join(hit, "id", "left_anti")
 
 
+def title_sets(jobs: DataFrame) -> DataFrame:
+    """id, company_id and title_set of each posting: the least id of the company's postings whose
+    titles have the same tokens (their similarity is 1); null for a title without tokens (0 to all)."""
+    words = F.array_sort(F.array_distinct(tx.tokens(F.col("title"))))
+    worded = jobs.select("id", "company_id", F.when(F.size(words) > 0, words).alias("words"))
+    sets = worded.where("words is not null").groupBy("company_id", "words").agg(F.min("id").alias("title_set"))
+    return worded.join(sets, ["company_id", "words"], "left").select("id", "company_id", "title_set")
+
+
 def title_pairs(jobs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """company_id, a, b, similarity of a company's different titles (as token sets) that are similar.
 
-    Equal sets are one, known by the least of its postings' ids; pairs are proposed by the rare
-    tokens that two titles this similar must share, never all of a company's.
+    Equal sets are one, known by the least of its postings' ids, as ``title_sets`` has it; pairs are
+    proposed by the rare tokens that two titles this similar must share, never all of a company's.
     """
     words = F.array_sort(F.array_distinct(tx.tokens(F.col("title"))))
     sets = written(jobs.select("id", "company_id", words.alias("words")).where(F.size("words") > 0).groupBy("company_id", "words").agg(F.min("id").alias("id")), "title-sets")
@@ -263,14 +272,23 @@ def overlay(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields:
     return rows.groupBy(*keys).agg(*last, F.min(at)[order[0]].alias("first_at"))
 
 
-def overlapping_runs(runs: DataFrame) -> DataFrame:
+def overlapping_runs(runs: DataFrame, block: str = "day") -> DataFrame:
     """Runs that start while an earlier run of their user and company is unfinished.
 
-    A run without an end blocks all later ones.  Starts at one time count in order of run_id.
+    A run without an end blocks all later ones.  Starts at one time count in order of run_id.  The
+    running maximum of ends has two levels, so that no task sorts all runs of one user and company:
+    that of whole blocks of time (``block``, a unit of date_trunc) before a run's, and that inside
+    its block.
     """
-    before = Window.partitionBy("user_id", "company_id").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    key = ["user_id", "company_id", "_block"]
     end = F.coalesce("completed_at", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
-    return runs.withColumn("_busy", F.max(end).over(before)).where(F.col("_busy") > F.col("started_at")).drop("_busy")
+    rows = runs.withColumn("_block", F.date_trunc(block, "started_at")).withColumn("_end", end)
+    inside = Window.partitionBy(*key).orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("user_id", "company_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*key).agg(F.max("_end").alias("_most")).withColumn("_before", F.max("_most").over(ahead)).drop("_most")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    joined = rows.withColumn("_inside", F.max("_end").over(inside)).alias("r").join(blocks.alias("b"), same).select("r.*", "b._before")
+    return joined.where(F.greatest("_inside", "_before") > F.col("started_at")).drop("_block", "_end", "_inside", "_before")
 
 
 def retry_wait(failures: Column) -> Column:

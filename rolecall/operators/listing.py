@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 VERDICTS = ("ELIGIBLE", "UNCERTAIN", "INELIGIBLE")
 
 
@@ -87,6 +89,51 @@ def page(rows: DataFrame, order: Sequence[Column], limit: int = 50, offset: int
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+class SortedPages:
+    """Pages of a sorted table, however deep, without a task that sorts more than the page's ranges.
+
+    The rows are dealt to ranges of the order by sampled cuts and written once, with the number of
+    the range; one line for each range comes to the driver.  A page is then sorted out of the
+    ranges that it lies in, and no other is read.  The order must be whole (end in a unique column).
+    """
+
+    def __init__(self, rows: DataFrame, order: Sequence[Column], ranges: int = 200) -> None:
+        self.order, self.columns = order, rows.columns
+        self.rows = written(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "pages")
+        lines = self.rows.groupBy("_range").agg(F.count("*").alias("n")).collect()
+        self.ranges = sorted((r["_range"], r["n"]) for r in lines)
+        self.total = sum(n for _, n in self.ranges)
+
+    def _of_ranges(self, wanted: list[int]) -> DataFrame:
+        return self.rows.where(F.col("_range").isin(wanted)).select(*self.columns)
+
+    def page(self, limit: int, offset: int) -> DataFrame:
+        """The rows ``offset`` to ``offset + limit`` of the order."""
+        wanted, ahead, at = [], 0, 0
+        for number, n in self.ranges:
+            if at + n <= offset:
+                ahead = at + n
+            elif at < offset + limit:
+                wanted.append(number)
+            at += n
+        return page(self._of_ranges(wanted), self.order, limit, offset - ahead)
+
+
+def page_after(rows: DataFrame, key: Sequence[tuple[str, bool]], last: Mapping[str, object], limit: int = 50) -> DataFrame:
+    """The page after the row with the values ``last``: no row of earlier pages is sorted again.
+
+    ``key`` has (column, ascending) in order, the last one unique; nulls come last either way.
+    """
+    after, same = F.lit(False), F.lit(True)
+    for name, ascending in key:
+        column, value = F.col(name), F.lit(last[name])
+        beyond = F.lit(False) if last[name] is None else column.isNull() | (column > value if ascending else column < value)
+        after = after | (same & beyond)
+        same = same & column.eqNullSafe(value)
+    order = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in key]
+    return page(rows.where(F.coalesce(after, F.lit(False))), order, limit)
+
+
 def with_total(rows: DataFrame) -> DataFrame:
     """One row: how many there are."""
     return rows.agg(F.count("*").alias("total"))

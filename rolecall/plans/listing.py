@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
@@ -228,6 +228,13 @@ def _(t):
     return op.page(op.job_filter(rows(t), today()), op.list_order("NEWEST"), 50, 100).select("id")
 
 
+@query("e3_deep_page", "SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY first_seen_on DESC, id) AS place, count(*) OVER () AS total FROM rows) WHERE place > total // 2 AND place <= total // 2 + 50", ROWS)
+def _(t):
+    pages = op.SortedPages(rows(t).select("id", "first_seen_on"), op.list_order("NEWEST"))
+    at = Window.orderBy(*op.list_order("NEWEST"))  # of 50 rows
+    return pages.page(50, pages.total // 2).select("id", (F.row_number().over(at) + pages.total // 2).cast("long").alias("place"))
+
+
 @query("e10_recent_runs", "SELECT user_id, run_id, rank FROM (SELECT user_id, run_id, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, run_id) AS rank FROM runs) WHERE rank <= 5")
 def _(t):
     return op.top_k(t.runs, ["user_id"], 5, F.desc("started_at"), F.asc("run_id")).select("user_id", "run_id", "rank")

@@ -61,6 +61,12 @@ def _(t):
     return lc.title_pairs(t.postings)
 
 
+@query("f5_title_sets", "SELECT p.id, p.company_id, CASE WHEN len(p.t) > 0 THEN s.title_set END AS title_set FROM titles p LEFT JOIN (SELECT company_id, t, min(id) AS title_set FROM titles GROUP BY ALL) s ON s.company_id = p.company_id AND s.t = p.t",
+    f"titles AS (SELECT id, company_id, list_sort(list_distinct({_tokens('title')})) AS t FROM postings)")
+def _(t):
+    return lc.title_sets(t.postings)
+
+
 @query("f6_location_key", f"SELECT {_LOC} AS location_key, count(*) AS n FROM postings GROUP BY 1")
 def _(t):
     return t.postings.groupBy(tx.location_key(F.col("location")).alias("location_key")).agg(F.count("*").alias("n"))
@@ -114,6 +120,12 @@ def _(t):
     return t.postings.select("id", "posted_text", tx.job_date(F.col("posted_text"), today()).alias("posted_on"))
 
 
+@query("f10_unparsed_dates", f"SELECT posted_text, count(*) AS n FROM (SELECT posted_text, {_sql_date()} AS d FROM postings) WHERE posted_text IS NOT NULL AND d IS NULL GROUP BY 1")
+def _(t):
+    unread = t.postings.where(F.col("posted_text").isNotNull() & tx.let(F.col("posted_text"), lambda c: tx.job_date(c, today())).isNull())
+    return unread.groupBy("posted_text").agg(F.count("*").alias("n"))
+
+
 @query("f11_day_gap", f"SELECT id, datediff('day', posted_at, closing_at) AS gap, abs(datediff('day', DATE '{AS_OF}', posted_at)) AS age FROM postings")
 def _(t):
     return t.postings.select("id", F.datediff("closing_at", "posted_at").alias("gap"), F.abs(F.datediff("posted_at", today())).alias("age"))
@@ -153,6 +165,14 @@ def _(t):
     return raw.select("user_id", "raw", tx.canonical_skills(F.array("raw"))[0].alias("skill"))
 
 
+@query("f14_unmatched_skills", f"SELECT k AS skill, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT user_id, {_plain('raw')} AS k FROM (SELECT user_id, unnest(string_split(skill_list || ';Welding;' || branch, ';')) AS raw FROM profiles)) WHERE k <> '' AND {_CANON} IS NULL GROUP BY 1")
+def _(t):
+    listed = F.concat("skill_list", F.lit(";Welding;"), "branch")
+    raw = t.profiles.select("user_id", F.explode(F.split(listed, ";")).alias("raw"))
+    unknown = raw.where(tx.canonical_skill(F.col("raw")).isNull()).select("user_id", tx.comparable(F.col("raw")).alias("skill"))
+    return unknown.where("skill <> ''").groupBy("skill").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 @query("f16_first_degree_line", f"SELECT id, list_filter({_SPLIT.format(c='description')}, lambda s: length(s) > 12 AND length(s) < 300 AND regexp_matches(s, '(?i)\\b(degree|b\\.?tech|bachelor|master|diploma)\\b'))[1] AS line FROM postings")
 def _(t):
     hit = F.filter(tx.statements(F.col("description")), lambda s: (F.length(s) > 12) & (F.length(s) < 300) & s.rlike(r"(?i)\b(degree|b\.?tech|bachelor|master|diploma)\b"))
