@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,11 +223,17 @@ def _(t):
     return lc.upsert_companies(old, keyed).select("user_id", "normalized_name", "company_id", "careers_url")
 
 
-@query("i14_cascade_delete", "SELECT 'companies' AS name, count(*) AS n FROM companies WHERE refresh_mode <> 'MANUAL' UNION ALL SELECT 'jobs', count(*) FROM postings p JOIN companies c ON c.company_id = p.company_id WHERE refresh_mode <> 'MANUAL' UNION ALL SELECT 'requirements', count(*) FROM requirements r JOIN postings p ON p.id = r.job_id JOIN companies c ON c.company_id = p.company_id WHERE refresh_mode <> 'MANUAL' UNION ALL SELECT 'verdicts', count(*) FROM verdicts v JOIN postings p ON p.id = v.job_id JOIN companies c ON c.company_id = p.company_id WHERE refresh_mode <> 'MANUAL'")
+_LOST = "gone AS (SELECT company_id FROM companies WHERE refresh_mode = 'MANUAL'), lost AS (SELECT id FROM postings WHERE company_id IN (SELECT company_id FROM gone))"
+#: Tables with the company they belong to, and those with a posting; notifications are about the posting with their number.
+_CHILDREN = {"companies": ("companies", "company_id"), "jobs": ("postings", "company_id"), "runs": ("runs", "company_id"), "requirements": ("requirements", "job_id"), "verdicts": ("verdicts", "job_id"), "sources": ("sightings", "job_id"), "notifications": ("(SELECT *, id AS job_id FROM notifications)", "job_id")}
+
+
+@query("i14_cascade_delete", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {table} WHERE {key} NOT IN (SELECT {'company_id FROM gone' if key == 'company_id' else 'id FROM lost'})" for name, (table, key) in _CHILDREN.items()), _LOST)
 def _(t):
-    left = lc.cascade({"companies": (t.companies, "company_id"), "jobs": (t.postings, "company_id"), "requirements": (t.requirements, "job_id"), "verdicts": (t.verdicts, "job_id")}, t.companies.where("refresh_mode = 'MANUAL'"))
-    parts = [df.select(F.lit(name).alias("name")) for name, df in left.items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).groupBy("name").agg(F.count("*").alias("n"))
+    tables = {"companies": t.companies, "jobs": t.postings, "runs": t.runs, "requirements": t.requirements, "verdicts": t.verdicts, "sources": t.sightings, "notifications": t.notifications.withColumn("job_id", F.col("id"))}
+    left = lc.cascade({name: (df, _CHILDREN[name][1]) for name, df in tables.items()}, t.companies.where("refresh_mode = 'MANUAL'"))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
 _HIST = "hist AS (SELECT CAST(user_id % 25 AS STRING) AS user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(2020 + event_id % 3 AS INT) END AS graduation_year, ts AS updated_at, event_id AS seq FROM events)"

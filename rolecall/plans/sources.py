@@ -344,3 +344,20 @@ def _(t):
 def _(t):
     p = pages.partition_text(F.col("description"))
     return t.postings.select("id", p.alias("p")).select("id", *[F.array_join(f"p.{c}", "|").alias(c) for c in ("responsibilities", "requirements")])
+
+
+_CLAUSES = ("<b>Responsibilities</b> include shutdown planning;", "Your role: run the pilot plant!", "Nice to have: SAP and Excel", "Knowledge of HAZOP is good to have", "Proficiency in MATLAB;", "A bachelor degree and strong skills", "Experience on site is a plus", "You should travel. Perks", "<ul><li>Minimum of two references</li><li>Short</li></ul>", "Main tasks are reporting and audits", "Exposure to GMP <br/>Familiarity with DCS tools")
+_CLAUSED = "claused AS (SELECT id, description || ' ' || " + " || ' ' || ".join(_case(k, _CLAUSES) for k in ("CAST(id AS BIGINT)", "CAST(FLOOR(CAST(id AS BIGINT) / 11) AS BIGINT)")) + " AS d FROM postings)"
+_STRIPPED = "regexp_replace(regexp_replace(regexp_replace(d, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+_HITS = lambda p: f"regexp_matches(x, {_re2(p)})"
+_LIST = f"CASE WHEN {_HITS(lx.STATEMENT_PREFERRED)} AND ({_HITS(lx.STATEMENT_SKILL)} OR contains(x, ':')) THEN 'preferred' WHEN {_HITS(lx.STATEMENT_SKILL)} AND NOT {_HITS(lx.STATEMENT_DEGREE)} THEN 'skills' WHEN {_HITS(lx.STATEMENT_DUTY)} THEN 'responsibilities' WHEN {_HITS(lx.STATEMENT_REQUIREMENT)} OR {_HITS(lx.STATEMENT_DEGREE)} OR {_HITS(lx.STATEMENT_NEED)} THEN 'requirements' END"
+
+
+@query("f15_four_lists", "SELECT id, " + ", ".join(f"coalesce(string_agg(x, '|' ORDER BY nth) FILTER (kind = '{name}'), '') AS {name}" for name in pages.STATEMENT_LISTS)
+    + f" FROM (SELECT id, x, {_LIST} AS kind, nth FROM (SELECT id, unnest(s) AS x, generate_subscripts(s, 1) AS nth FROM (SELECT id, {_SPLIT.format(c='stripped').replace('length(s) > 2', 'length(s) >= 12')} AS s FROM (SELECT id, {_STRIPPED} AS stripped FROM claused)))) GROUP BY id", _CLAUSED)
+def _(t):
+    n = F.col("id").cast("long")
+    clause = lambda k: F.get(F.array(*[F.lit(c) for c in _CLAUSES]), (k % len(_CLAUSES)).cast("int"))
+    text = F.concat_ws(" ", "description", clause(n), clause(F.floor(n / 11)))
+    lists = t.postings.select("id", pages.four_lists(text).alias("p"))
+    return lists.select("id", *[F.array_join(f"p.{c}", "|").alias(c) for c in pages.STATEMENT_LISTS])

@@ -361,6 +361,29 @@ def partition_text(c: Column) -> Column:
     )
 
 
+STATEMENT_LISTS = ("responsibilities", "requirements", "skills", "preferred")
+
+
+def _statement_list(x: Column) -> Column:
+    """The list that a statement belongs to; null for none."""
+    skill, degree = x.rlike(lx.STATEMENT_SKILL), x.rlike(lx.STATEMENT_DEGREE)
+    return (
+        F.when(x.rlike(lx.STATEMENT_PREFERRED) & (skill | F.contains(x, F.lit(":"))), "preferred")
+        .when(skill & ~degree, "skills")
+        .when(x.rlike(lx.STATEMENT_DUTY), "responsibilities")
+        .when(degree | x.rlike(lx.STATEMENT_REQUIREMENT) | x.rlike(lx.STATEMENT_NEED), "requirements")
+    )
+
+
+def four_lists(description: Column) -> Column:
+    """struct<responsibilities, requirements, skills, preferred> of a description's statements, in
+    order; each statement is classed once.  Empty lists for null."""
+    parts = tx.statements(tx.page_text(F.coalesce(description, F.lit(""))), lx.STATEMENT_LEAST - 1)
+    classed = F.transform(parts, lambda x: F.struct(x.alias("text"), _statement_list(x).alias("list")))
+    of = lambda all_, name: F.transform(F.filter(all_, lambda e: e["list"] == name), lambda e: e["text"]).alias(name)
+    return tx.let(classed, lambda all_: F.struct(*[of(all_, name) for name in STATEMENT_LISTS]))
+
+
 def enrich(rows: DataFrame, pages: DataFrame, structured: DataFrame, per_company: int = 10, short: int = 250) -> DataFrame:
     """Listings whose description is missing or under ``short`` characters, the first
     ``per_company`` by url of each company, overlaid with their own page: its structured posting, else
