@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import text as tx
 from ..operators import listing as op
+from ..operators.search_index import TrigramIndex
 from .fixtures import AS_OF, Tables
 from .registry import query
 
@@ -60,6 +63,12 @@ def _(t):
     return op.job_filter(rows(t), today(), search="chem").select("id", "company_id")
 
 
+@query("b6_indexed_search", "SELECT 'chem' AS part, id FROM postings WHERE title ILIKE '%chem%' OR description ILIKE '%chem%' UNION ALL SELECT 'r_d%chem', id FROM postings WHERE title ILIKE '%r_d%chem%' OR description ILIKE '%r_d%chem%' UNION ALL SELECT 'R&D', id FROM postings WHERE title ILIKE '%R&D%' OR description ILIKE '%R&D%' UNION ALL SELECT 'C', id FROM postings WHERE title ILIKE '%C%' OR description ILIKE '%C%'")
+def _(t):
+    index = TrigramIndex(t.postings.select("id", "title", "description"), "id", ["title", "description"])
+    return reduce(DataFrame.unionAll, [index.find(part).select(F.lit(part).alias("part"), "id") for part in ("chem", "r_d%chem", "R&D", "C")])
+
+
 @query("b7_status_in", "SELECT company_id, status, count(*) AS n FROM postings WHERE status IN ('ACTIVE', 'EXPIRED') GROUP BY ALL")
 def _(t):
     return t.postings.where(F.col("status").isin("ACTIVE", "EXPIRED")).groupBy("company_id", "status").agg(F.count("*").alias("n"))

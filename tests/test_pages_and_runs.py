@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rolecall.operators import lifecycle as lc
-from rolecall.operators import listing
+from rolecall.operators import listing, search_index
 
 
 def test_deep_pages_read_their_ranges_only(spark):
@@ -56,3 +56,16 @@ def test_overlapping_runs_of_a_hot_key(spark):
     # what a task sorts is a block: none has more than twice the mean, though one key has half of all rows
     sizes = [r["count"] for r in df.where("company_id = 'hot'").groupBy(F.date_trunc("day", "started_at")).count().collect()]
     assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_indexed_search_equals_a_scan(spark):
+    rnd = random.Random(6)
+    words = ["Process", "R&D", "chem", "ChemE", "50%", "a_b", "Öl", "öl", "ab", "", "İstanbul", "x\\y"]
+    rows = [(i, rnd.choice([None, " ".join(rnd.choice(words) for _ in range(rnd.randrange(6)))]), rnd.choice(words)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    index = search_index.TrigramIndex(df, "id", ["a", "b"], ranges=4)
+    for part in ("chem", "CHEM", "r&d", "process chem", "ab", "", "%", "che_e", "pro%chem", "50%", "öl ab", "ÖL AB", "istanbul", "nowhere", "rocess%r&"):
+        want = {r.id for r in df.where(listing.like(F.col("a"), part) | listing.like(F.col("b"), part)).collect()}
+        assert {r.id for r in index.find(part).collect()} == want, part
+    plan = index.find("process chem")._jdf.queryExecution().toString()
+    assert "EqualTo(gram," in plan and search_index.grams_of("ab%c_") == []
