@@ -230,7 +230,11 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 def build_index(rows: DataFrame, keep: int, params: GraphParams) -> tuple[DataFrame, DataFrame]:
     """The index, one row per shard: dim, shard, n, vectors, graph, entries (packed), ids (an array
-    for each vector); and the number of shards of each dim (dim, shards)."""
+    for each vector); and the number of shards of each dim (dim, shards).
+
+    Equal vectors are one, with the ``keep`` least ids; ``rows`` has checked vectors and ids.  An empty
+    table gives an empty index.
+    """
     distinct = written(distinct_vectors(rows, keep).withColumn("dim", F.size("vector")), "ann-distinct")
     sizes = written(distinct.groupBy("dim").agg(F.count("*").alias("n")).select("dim", params.shards(F.col("n"), F.col("dim")).alias("shards")), "ann-shards")
     total = sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1
@@ -288,7 +292,11 @@ def lengths(diff: np.ndarray) -> np.ndarray:
 
 
 def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, params: GraphParams) -> DataFrame:
-    """query_id, rank, vec_id, score of the ``k`` nearest found of each of ``queries`` (vec_id, vector)."""
+    """query_id, rank, vec_id, score of the ``k`` nearest found of each of ``queries`` (vec_id, vector).
+
+    A query's own id isn't found; ties go to the smaller id; fewer than ``k`` rows where the index
+    has fewer vectors of its length, and none where it has none or there are no queries.
+    """
     packed, sizes = index
     totals = sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1
     blocks = max(1, -(-queries.count() // params.block_rows))

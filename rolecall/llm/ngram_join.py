@@ -361,7 +361,8 @@ def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), doc_id: str = "
     with two texts, each is kept or dropped by its own text, and of exactly repeated rows one
     stays.  Rows without words (null or white space) or with a null id are in no group and all
     stay.  An empty table gives no rows.  Any further columns, whatever their names, are kept;
-    rows that differ only in columns that can't be hashed (maps) count as repeated.
+    rows that differ only in columns that can't be hashed (maps) count as repeated.  Ids are whole
+    numbers (a text that is none is an error).
     """
     signed, classes = _judged(_rows(docs, doc_id, text), params)
     triple = F.struct("doc_id", "text_hash", "row_hash")

@@ -233,5 +233,9 @@ def keep_good(docs: DataFrame, model: OrdinalModel, tail_from: int, least: float
 
 
 def quality_grades(labels: DataFrame) -> DataFrame:
-    """doc_id and grade from labels: 0 toxic, 1 low quality, 2 good; the worst of repeated labels."""
+    """doc_id and grade from labels: 0 toxic, 1 low quality, 2 good; the worst of repeated labels.
+
+    A null quality or toxic says nothing; where both are unsaid, or quality is unsaid of a text that
+    isn't toxic, the grade is null.  A null id is one id; an empty table gives no rows.
+    """
     return labels.groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t")).select("doc_id", F.when(F.col("_t") == 1, 0).when(F.col("_q") == 0, 1).when(F.col("_q") == 1, 2).alias("grade"))

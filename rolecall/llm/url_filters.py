@@ -129,7 +129,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, model: Reputation = R
     ``outcomes`` has page_id (one row each) and good (boolean).  Pages without an outcome only
     name their host.  Levels are formed of the host's name without user, port and last dot; a
     numeric address is its own domain and suffix.  The driver sees one line of sums for each of
-    the three levels.
+    the three levels.  An empty host is a host like others, a null one has no row; null outcomes count as none;
+    empty tables give no rows, or hosts with the prior alone.
     """
     hosts = written(
         pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good"))
