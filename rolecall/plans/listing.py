@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .. import lexicons as lx
 from ..functions import text as tx
 from ..operators import listing as op
+from ..operators import rollup_deltas
 from ..operators.search_index import TrigramIndex
 from .fixtures import AS_OF, Tables
-from .registry import query
+from .registry import SELECTS, query
 
 ROWS = f"""rows AS (SELECT p.*, c.name AS company_name, c.careers_url, v.verdict, v.match_score FROM postings p JOIN companies c ON p.company_id = c.company_id
   LEFT JOIN verdicts v ON v.job_id = p.id AND v.user_id = p.user_id)"""
@@ -181,6 +182,21 @@ def _(t):
     return op.company_rollup(t.companies, t.postings, t.verdicts).select("company_id", "active", "eligible", "uncertain", "ineligible", "unverified")
 
 
+@query("d1_rollup_by_deltas", SELECTS["d1_company_rollup"], ROWS)
+def _(t):
+    """Counters stored before two batches, and the batches' deltas: new postings, then changed ones."""
+    n = F.col("id").cast("long")
+    now = op.with_verdict(t.postings, t.verdicts).select("id", "company_id", "status", "verification", "verdict")
+    old = now.withColumn("status", F.when(n % 5 == 0, "ACTIVE").otherwise(F.col("status"))).withColumn("verification", F.when(n % 11 == 0, "UNVERIFIED").otherwise(F.col("verification")))
+    first, changed = n % 7 != 3, (n % 5 == 0) | (n % 11 == 0)
+    none, key, what = old.where("false"), ["company_id"], rollup_deltas.company_counters()
+    stored = rollup_deltas.deltas(none, old.where(first), key, what)
+    for before, after in ((none, old.where(~first)), (old.where(changed), now.where(changed))):
+        stored = rollup_deltas.applied(stored, rollup_deltas.deltas(before, after, key, what), key)
+    names = list(what)
+    return t.companies.select("company_id").join(stored, "company_id", "left").select("company_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+
+
 @query("d2_dashboard", f"SELECT c.*, coalesce(active_jobs, 0) AS active_jobs, coalesce(eligible, 0) AS eligible_jobs, coalesce(uncertain, 0) AS uncertain_jobs, coalesce(ineligible, 0) AS ineligible_jobs, coalesce(new_today, 0) AS new_today, coalesce(closing_soon, 0) AS closing_soon FROM (SELECT user_id, count(*) AS companies, max(last_researched_on) AS last_researched FROM companies GROUP BY 1) c LEFT JOIN (SELECT user_id, count(*) FILTER (status = 'ACTIVE') AS active_jobs, {_COUNTS}, count(*) FILTER (status = 'ACTIVE' AND first_seen_on >= DATE '{AS_OF}') AS new_today, count(*) FILTER (status = 'ACTIVE' AND closing_at BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 7) AS closing_soon FROM rows GROUP BY 1) r ON r.user_id = c.user_id", ROWS)
 def _(t):
     return op.dashboard(t.companies, t.postings, t.verdicts, today())
