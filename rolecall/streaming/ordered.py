@@ -34,6 +34,9 @@ def timed(stream: DataFrame, at: Column, delay: str) -> DataFrame:
 class Settled(StatefulProcessor):
     """A fold over a key's rows in order of (at, tie), each taken once the watermark has passed it.
 
+    A key has one timer, for the earliest row that waits (``due``): each firing settles all rows that
+    the watermark has passed, so rows are read once for each batch and not once for each of them.
+
     ``step`` takes what was carried (None at first) and a row, and gives what is carried on and the
     rows that come out.  ``until`` says from when on (microseconds) what is carried tells nothing,
     so that the key may go; None: never.
@@ -46,6 +49,16 @@ class Settled(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.row_type)
         self.carry = handle.getValueState("carry", self.carry_type)
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, at: int) -> None:
+        """Sets the timer for the earliest waiting row (microseconds), unless it is due no later."""
+        ms, due = -(-int(at) // 1000), self.due.get()[0] if self.due.exists() else None
+        if due is None or ms < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         # whole numbers beside nulls come as floats, which a state column of longs would take as null
@@ -54,8 +67,7 @@ class Settled(StatefulProcessor):
         if not new:
             return
         self.waiting.appendList(new)
-        for at in {-(-int(r[0]) // 1000) for r in new}:
-            self.handle.registerTimer(at)
+        self._wake(min(r[0] for r in new))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
@@ -70,6 +82,9 @@ class Settled(StatefulProcessor):
         rest = [r for r in held if r[0] > now]
         if ready:
             self.waiting.put(rest) if rest else self.waiting.clear()
+        self.due.clear()
+        if rest:
+            self._wake(min(r[0] for r in rest))
         ends = self.until(carried) if carried is not None else None
         if ends is not None and ends <= now:
             self.carry.clear()
