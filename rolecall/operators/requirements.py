@@ -7,6 +7,9 @@ GRADUATION_YEAR, LOCATION.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +64,9 @@ def mandatory_nearby(corpus: Column, pattern: str) -> Column:
     return F.substring(corpus, begin, at - begin).rlike(lx.MANDATORY) | F.substring(corpus, at + size, F.lit(90)).rlike(lx.MANDATORY)
 
 
-def experience(edu: Column, description: Column, title: Column, low: Column, high: Column) -> Column:
+def experience(edu: Column, description: Column, title: Column, low: Column, high: Column, said: Column | None = None) -> Column:
     """struct<min, max, stated, mandatory, raw, evidence, origin, implied_senior>: the first of eight
-    tiers that applies."""
+    tiers that applies.  ``said`` is what this gave for the texts alone, if that is known."""
     corpus = F.concat_ws("\n", edu, description, title)
     n = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
 
@@ -75,6 +78,8 @@ def experience(edu: Column, description: Column, title: Column, low: Column, hig
 
     given = F.concat(n(F.coalesce(low, F.lit(0.0))), F.coalesce(F.concat(F.lit("-"), n(high)), F.lit("+")), F.lit(" years"))
     out = F.when(low.isNotNull() | high.isNotNull(), tier(F.coalesce(low, F.lit(0.0)), high, F.lit(True), given, F.concat(F.lit("ATS structured experience: "), given), "EXPLICIT"))
+    if said is not None:
+        return out.otherwise(said)
     no, none = F.lit(False), _none("double")
 
     def prose(pattern: str, least: Column, most: Column, mandatory: Column) -> tuple[Column, Column]:
@@ -164,21 +169,36 @@ def location(corpus: Column, stated: Column) -> Column:
     return F.struct(places.alias("locations"), (relocation | corpus.rlike(lx.LOCATION_RESTRICTED)).alias("restricted"), relocation.alias("relocation"), F.coalesce(stated, F.get(places, 0)).alias("raw"), ev.alias("evidence"), origin.alias("origin"))
 
 
+def _placed(said: Column, stated: Column) -> Column:
+    """``location`` of a posting, given what it gave for the texts alone."""
+    based = F.get(said["locations"], 0)
+    origin = F.when(based.isNotNull(), "INFERRED").when(stated.isNotNull(), "EXPLICIT").otherwise("MISSING")
+    places = F.array_distinct(F.array_compact(F.array(stated, based)))
+    return F.struct(places.alias("locations"), said["restricted"].alias("restricted"), said["relocation"].alias("relocation"), F.coalesce(stated, based).alias("raw"), F.coalesce(said["evidence"], stated).alias("evidence"), origin.alias("origin"))
+
+
 def extract(postings: DataFrame, as_of: Column) -> DataFrame:
     """``postings`` with ``requirements`` appended.
 
     Reads title, description, education_requirement, experience_min, experience_max, location and
-    requirements_text; a column that isn't there counts as null.
+    requirements_text; a column that isn't there counts as null.  Texts are read once for all
+    postings that share them (title, description, education and requirements); what a posting
+    states in columns is added to each row.
     """
     text = lambda c: F.nullif(tx.collapse(F.col(c)), F.lit("")) if c in postings.columns else _none("string")
     number = lambda c: F.col(c).cast("double") if c in postings.columns else _none("double")
-    # parts stand in columns of their own, so that each expression is evaluated once
-    parts = postings.withColumns({"_title": text("title"), "_desc": text("description"), "_edu": text("education_requirement"), "_req": text("requirements_text"), "_loc": text("location")})
-    parts = parts.withColumn("_corpus", F.concat_ws("\n", "_edu", "_req", "_desc", "_title"))
+    texts = ["_title", "_desc", "_edu", "_req"]
+    rows = postings.withColumns({"_title": text("title"), "_desc": text("description"), "_edu": text("education_requirement"), "_req": text("requirements_text"), "_loc": text("location")})
     title, desc, edu, corpus = (F.col(c) for c in ("_title", "_desc", "_edu", "_corpus"))
-    parts = parts.withColumns({
-        "_degree": degree(edu, desc), "_fields": fields(edu, desc, title), "_exp": experience(edu, desc, F.coalesce(title, F.lit("")), number("experience_min"), number("experience_max")),
-        "_grad": graduation(corpus, as_of), "_skills": skills(F.col("_req"), desc), "_place": location(corpus, F.col("_loc")),
+    # parts stand in columns of their own, so that each expression is evaluated once
+    read = rows.select(*texts).distinct().withColumn("_corpus", F.concat_ws("\n", "_edu", "_req", "_desc", "_title"))
+    read = read.select(
+        *[F.col(c).alias(f"_of{c}") for c in texts], degree(edu, desc).alias("_degree"), fields(edu, desc, title).alias("_fields"), experience(edu, desc, F.coalesce(title, F.lit("")), _none("double"), _none("double")).alias("_exp_said"),
+        graduation(corpus, as_of).alias("_grad"), skills(F.col("_req"), desc).alias("_skills"), location(corpus, _none("string")).alias("_place_said"), certifications(corpus).alias("_certs"), work_authorization(corpus).alias("_auth"),
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in texts])
+    parts = rows.join(read, same).withColumns({
+        "_exp": experience(edu, desc, title, number("experience_min"), number("experience_max"), F.col("_exp_said")), "_place": _placed(F.col("_place_said"), F.col("_loc")),
     })
     names = F.transform("_fields.found", lambda e: e["field"])
     raw = F.array_join(F.transform("_fields.found", lambda e: e["sentence"]), "; ")
@@ -198,11 +218,11 @@ def extract(postings: DataFrame, as_of: Column) -> DataFrame:
         F.col("_degree.level").alias("degree_level"), edu.alias("degree_level_raw"), names.alias("fields"), raw.alias("fields_raw"), F.col("_fields.accepts_equivalent"),
         F.col("_exp.min").alias("experience_min"), F.col("_exp.max").alias("experience_max"), F.col("_exp.stated").alias("experience_stated"), F.col("_exp.mandatory").alias("experience_mandatory"), F.col("_exp.raw").alias("experience_raw"),
         F.col("_grad.min").alias("grad_year_min"), F.col("_grad.max").alias("grad_year_max"), F.col("_grad.stated").alias("grad_year_stated"), F.col("_grad.raw").alias("grad_year_raw"),
-        F.col("_skills.required").alias("skills_required"), F.col("_skills.preferred").alias("skills_preferred"), F.col("_skills.required_raw").alias("skills_required_raw"), certifications(corpus).alias("certifications"),
+        F.col("_skills.required").alias("skills_required"), F.col("_skills.preferred").alias("skills_preferred"), F.col("_skills.required_raw").alias("skills_required_raw"), F.col("_certs").alias("certifications"),
         F.col("_place.locations").alias("locations"), F.col("_place.restricted").alias("location_restricted"), F.col("_place.raw").alias("location_raw"), F.col("_place.relocation").alias("requires_relocation"),
-        work_authorization(corpus).alias("work_authorization"), origins.alias("origin"), quotes.alias("evidence"), gaps.alias("gaps"),
+        F.col("_auth").alias("work_authorization"), origins.alias("origin"), quotes.alias("evidence"), gaps.alias("gaps"),
     )
-    return parts.withColumn("requirements", made).drop("_title", "_desc", "_edu", "_req", "_loc", "_corpus", "_degree", "_fields", "_exp", "_grad", "_skills", "_place")
+    return parts.withColumn("requirements", made).select(*[c for c in postings.columns if c != "requirements"], "requirements")
 
 
 def audit_rows(jobs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ EXTRACT_AS_OF = "2026-06-01"
 
 
 def extracted(t: Tables) -> DataFrame:
-    return rq.extract(t.postings, F.lit(EXTRACT_AS_OF).cast("date"))
+    return rq.extract(t.dealt_postings, F.lit(EXTRACT_AS_OF).cast("date"))
 
 
 def _clean(c: str) -> str:
