@@ -3,7 +3,11 @@
 import itertools
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from rolecall.operators import requirements as rq
+from rolecall.plans.fixtures import Tables
+from rolecall.sources import pages
 from rolecall.streaming import ordered
 
 
@@ -76,3 +80,30 @@ def test_a_key_has_one_timer_for_all_its_rows():
     want = [(at, seq) for (_, _, was), (at, seq, year) in itertools.pairwise(every) if was != year]
     assert [tuple(map(int, r[1:])) for part in out for r in part.itertuples(index=False)] == want
     assert handle.calls["timers"] <= 10 and handle.calls["get"] <= 40
+
+
+def test_escaped_type_is_found_and_arrays_are_made_once(spark):
+    body = '<script type="application/ld+json">{"@type": "%s", "title": "a"}</script><script type="application/ld+json">{bad</script>'
+    rows = [(1, "u", body % "JobPosting"), (2, "u", body % (chr(92) + "u004aobPosting")), (3, "u", body % "Person"), (4, "u", None)]
+    nodes = pages.json_ld_nodes(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(r.page_id for r in nodes.select("page_id").collect()) == [1, 2]
+    # a filter on the size of an array would be pushed below the steps that make it
+    assert "size(_all" not in nodes._jdf.queryExecution().optimizedPlan().toString().replace("#", "")
+    assert not any("Filter" in line and "transform(" in line for line in nodes._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_texts_are_read_once_for_all_postings_that_share_them(spark):
+    said = "We need a B.Tech with 2-4 years. Python is required."
+    rows = [(str(i), None if i == 6 else "Process Engineer", said, None, 1.0 if i % 2 else None, None, (None, " Pune ", "Delhi")[i % 3]) for i in range(7)]
+    jobs = spark.createDataFrame(rows, "id string, title string, description string, education_requirement string, experience_min double, experience_max double, location string")
+    made = rq.extract(jobs, F.lit("2026-06-01").cast("date"))
+    assert "Aggregate" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.requirements for r in made.collect()}
+    assert len(got) == 7 and made.columns == [*jobs.columns, "requirements"]
+    for i, r in ((int(k), r) for k, r in got.items()):
+        assert (r.experience_min, r.experience_max) == ((1.0, None) if i % 2 else (2.0, 4.0))
+        assert r.locations == ([], ["Pune"], ["Delhi"])[i % 3] and r.skills_required == ["PYTHON"] and r.degree_level == "BACHELOR"
+
+
+def test_rows_of_one_file_go_to_all_cores(spark):
+    assert Tables(spark, "/root/testdata/sf0.001").dealt_postings.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
