@@ -107,3 +107,8 @@ def test_texts_are_read_once_for_all_postings_that_share_them(spark):
 
 def test_rows_of_one_file_go_to_all_cores(spark):
     assert Tables(spark, "/root/testdata/sf0.001").dealt_postings.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_texts_statements_are_split_once(spark):
+    plan = spark.range(1).select(pages.partition_text(F.lit("x").cast("string")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
