@@ -37,7 +37,8 @@ class TrigramIndex:
     def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], ranges: int = 200) -> None:
         self.rows, self.key, self.columns = rows, key, list(columns)
         grams = F.array_distinct(F.flatten(F.array(*[trigrams(F.col(c)) for c in columns])))
-        lines = rows.select(F.explode(grams).alias("gram"), key)
+        # for ``explode`` the optimizer would add a filter that makes the grams a second time
+        lines = rows.select(F.explode_outer(grams).alias("gram"), key).where("gram is not null")
         self.lines = written(lines.repartitionByRange(ranges, "gram", key).sortWithinPartitions("gram", key), "trigrams")
 
     def find(self, part: str) -> DataFrame:
