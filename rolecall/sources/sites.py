@@ -17,19 +17,28 @@ def provider(url: Column) -> Column:
 
 def ats_provider(url: Column) -> Column:
     """struct<provider, board_path> of the first known ATS host; null for none."""
-    host, path = tx.url_host(url), F.regexp_extract(url, r"^(?i)[a-z]+://[^/?#]+([^?#]*)", 1)
-    made = [F.when(host.rlike(p), F.struct(F.lit(name).alias("provider"), (F.regexp_substr(path, F.lit(board)) if board else F.lit(None).cast("string")).alias("board_path"))) for p, name, board in lx.ATS_HOSTS]
-    return F.coalesce(*made)
+    path = F.regexp_extract(url, r"^(?i)[a-z]+://[^/?#]+([^?#]*)", 1)
+
+    def first(host: Column) -> Column:
+        made = [F.when(host.rlike(p), F.struct(F.lit(name).alias("provider"), (F.regexp_substr(path, F.lit(board)) if board else F.lit(None).cast("string")).alias("board_path"))) for p, name, board in lx.ATS_HOSTS]
+        return F.coalesce(*made)
+
+    return tx.let(tx.url_host(url), first)
+
+
+def is_ats(host: Column) -> Column:
+    """Whether a host is a known ATS's: one pattern, where the provider doesn't matter; null for null."""
+    return host.rlike("|".join(f"(?:{p})" for p, _, _ in lx.ATS_HOSTS))
 
 
 def careers_score(url: Column, title: Column, official: Column) -> Column:
     """How much a url looks like a careers page, 0 to 1."""
-    host = F.coalesce(tx.url_host(url), F.lit(""))
     add = lambda test, points: F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
-    total = (
-        F.lit(0.3) + add(host.rlike(lx.CAREERS_HOST), 0.25) + add(ats_provider(url).isNotNull(), 0.2) + add(title.rlike(lx.CAREERS_TEXT), 0.15)
+    of_host = lambda host: (
+        F.lit(0.3) + add(host.rlike(lx.CAREERS_HOST), 0.25) + add(is_ats(host), 0.2) + add(title.rlike(lx.CAREERS_TEXT), 0.15)
         + add(host == official, 0.1) + add(url.rlike(lx.CAREERS_URL), 0.05) + add(url.rlike(lx.NOISE_URL), -0.3)
     )
+    total = tx.let(F.coalesce(tx.url_host(url), F.lit("")), of_host)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 3)))
 
 
@@ -66,10 +75,11 @@ def homepage_links(found: DataFrame, k: int = 5) -> DataFrame:
     links a careers host; the ``k`` best of each page."""
     url = tx.absolute_url(F.col("href"), F.col("page_url"))
     rows = found.where((F.length("text") <= 90) & ~F.col("text").rlike(lx.NOISE_LINK)).select("page_id", "position", "text", url.alias("careers_url"), tx.url_host(F.col("page_url")).alias("_home"))
-    host = tx.url_host(F.col("careers_url"))
+    rows = rows.withColumn("_host", tx.url_host(F.col("careers_url")))
+    host = F.col("_host")
     own, says = host == F.col("_home"), F.col("text").rlike(lx.CAREERS_TEXT)
     kept = rows.where(F.when(own, says).otherwise(F.concat(host, F.lit("")).rlike(lx.CAREERS_HOST)))
-    points = F.when(own, 0.6).otherwise(0.7) + F.when(ats_provider(F.col("careers_url")).isNotNull(), 0.15).otherwise(0.0) + F.when(says, 0.15).otherwise(0.0)
+    points = F.when(own, 0.6).otherwise(0.7) + F.when(is_ats(host), 0.15).otherwise(0.0) + F.when(says, 0.15).otherwise(0.0)
     best = kept.withColumn("confidence", F.round(points, 3)).groupBy("page_id", "careers_url").agg(F.min(F.struct("position", "confidence")).alias("b")).select("page_id", "careers_url", "b.*")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("confidence"), "position"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rolecall.operators import requirements as rq
+from rolecall.plans import sources
 from rolecall.plans.fixtures import Tables
-from rolecall.sources import pages
+from rolecall.sources import pages, sites
 from rolecall.streaming import ordered
 
 
@@ -112,3 +113,20 @@ def test_rows_of_one_file_go_to_all_cores(spark):
 def test_a_texts_statements_are_split_once(spark):
     plan = spark.range(1).select(pages.partition_text(F.lit("x").cast("string")).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
+
+
+def test_companies_and_listing_pages_go_to_all_cores(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    most = spark.sparkContext.defaultParallelism
+    assert t.dealt_companies.rdd.getNumPartitions() >= most
+    assert sources.results(t).rdd.getNumPartitions() >= most
+    assert sources.listing_pages(t).rdd.getNumPartitions() >= most
+
+
+def test_a_host_is_found_once_for_a_score(spark):
+    rows = [("https://boards.greenhouse.io/a", "Careers"), ("https://x.org/about", None), (None, "Jobs")]
+    urls = spark.createDataFrame(rows, "url string, title string")
+    made = urls.select(sites.careers_score(F.col("url"), F.col("title"), F.lit("x.org")).alias("s"))
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 1
+    assert [r.s for r in made.collect()] == [0.65, 0.1, 0.3]
+    assert [r.a for r in urls.select(sites.is_ats(sites.tx.url_host(F.col("url"))).alias("a")).collect()] == [True, False, None]
