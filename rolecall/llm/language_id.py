@@ -157,8 +157,11 @@ def train(docs: DataFrame, per_language: int = 500, lang: str = "lang", doc_id:
     aside = unit_hash(F.col("doc_id"), seed + 1) < 0.5
     got = sample.select("doc_id", "lang", "text", aside.alias("aside")).mapInPandas(features, "doc_id long, lang string, aside boolean, bucket binary, n binary").toPandas()
     got = got[got["bucket"].map(len) > 0].sort_values(["doc_id", "lang"], kind="stable")
-    rows = [(np.frombuffer(b, dtype=np.int32).astype(np.int64), np.frombuffer(n, dtype=np.int32).astype(np.float64)) for b, n in zip(got["bucket"], got["n"], strict=True)]
-    return fit(rows, got["lang"].tolist(), got["aside"].to_numpy(dtype=bool))
+    # views of what came: the driver holds features once, next to their shares
+    rows = [(np.frombuffer(b, dtype=np.int32), np.frombuffer(n, dtype=np.int32)) for b, n in zip(got["bucket"], got["n"], strict=True)]
+    langs, aside = got["lang"].tolist(), got["aside"].to_numpy(dtype=bool)
+    del got
+    return fit(rows, langs, aside)
 
 
 def language(text: Column, model: LanguageModel) -> Column:
@@ -179,7 +182,7 @@ def language(text: Column, model: LanguageModel) -> Column:
             if table is None and model.languages:  # one language was learned
                 which[letters], score[letters] = 0, 1.0
             elif table is not None:
-                for begin, end, ids, lens in table.chunks([t.lower().encode() if ok else None for t, ok in zip(texts, letters, strict=True)]):
+                for begin, end, ids, lens in table.chunks([t if ok else None for t, ok in zip(texts, letters, strict=True)], lambda t: t.lower().encode()):
                     total = sums(table.values[ids], lens)
                     ok = letters[begin:end] & (lens > 0)
                     which[begin:end][ok], score[begin:end][ok] = model.predict(total[ok, :-1] / total[ok, -1:])

@@ -192,9 +192,9 @@ def grades(text: Column, model: OrdinalModel, tail_from: int) -> Column:
 
         table = WordTable(rows)
         for batch in batches:
-            texts = [t.encode() if t is not None else None for t in batch]
+            texts = batch.tolist()
             found = np.full((len(texts), 2), np.nan)
-            for begin, end, ids, lens in table.chunks(texts):
+            for begin, end, ids, lens in table.chunks(texts, str.encode):
                 n = end - begin
                 doc = np.repeat(np.arange(n), lens)
                 once, kinds = _distinct(ids, doc, n)

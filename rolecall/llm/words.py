@@ -8,8 +8,8 @@ import numpy as np
 
 from .common import spans
 
-#: Bytes of text worked on at a time, and words that a worker remembers.
-CHUNK, REMEMBERED = 2_000_000, 150_000
+#: Bytes of text worked on at a time, words that a worker remembers, and new words worked out at a time.
+CHUNK, REMEMBERED, NEW = 1_000_000, 150_000, 8_192
 
 
 class WordTable:
@@ -26,7 +26,9 @@ class WordTable:
         self.used = 0
 
     def add(self, new: list[bytes]) -> None:
-        made = self.make(new)
+        # in slices, as what a word's rows are made of takes far more room than they do
+        parts = [self.make(new[i : i + NEW]) for i in range(0, max(len(new), 1), NEW)]
+        made = np.concatenate(parts) if len(parts) > 1 else parts[0]
         need = self.used + len(new)
         if self.values is None or need > len(self.values):
             grown = np.zeros((max(2 * need, 1024), *made.shape[1:]), dtype=made.dtype)
@@ -37,14 +39,15 @@ class WordTable:
         self.known.update(zip(new, range(self.used, need), strict=True))
         self.used = need
 
-    def chunks(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def chunks(self, texts: list, encode: Callable[[str], bytes] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(begin, end, word numbers of texts[begin:end] in order, number of words of each text).
 
-        Words are the longest runs of bytes other than ASCII white space.  ``values`` holds the
-        rows of these numbers until the next chunk is taken.
+        Words are the longest runs of bytes other than ASCII white space; texts are bytes or null, or
+        what ``encode`` makes bytes of, a chunk at a time.  ``values`` holds the rows of these
+        numbers until the next chunk is taken.
         """
         for begin, end in spans([len(t or b"") for t in texts], CHUNK):
-            words = [t.split() if t else [] for t in texts[begin:end]]
+            words = [(encode(t) if encode else t).split() if t else [] for t in texts[begin:end]]
             if len(self.known) > self.most:
                 self.known, self.used = {}, 0
             new = list(set().union(*words).difference(self.known))

@@ -225,3 +225,25 @@ def test_worst_of_repeated_labels(spark):
     rows = [(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, None, None), (4, None, 1), (None, 1, 0)]
     got = {r.doc_id: r.grade for r in quality_classifier.quality_grades(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
     assert got == {1: 1, 2: 0, 3: None, 4: 0, None: 2}
+
+
+def test_words_are_worked_out_in_slices_and_texts_encoded_by_chunks():
+    asked, encoded = [], []
+
+    def rows(words):
+        asked.append(len(words))
+        return np.array([[len(w)] for w in words])
+
+    def encode(t):
+        encoded.append(t)
+        return t.encode()
+
+    texts = [" ".join(f"w{k}" for k in range(30_000)), None, "", "é w1", "x " * 600_000]
+    table = WordTable(rows)
+    chunks = table.chunks(texts, encode)
+    begin, end, ids, lens = next(chunks)
+    assert (begin, end) == (0, 4) and max(asked) <= 8_192 and sum(asked) == 30_001 and texts[4] not in encoded
+    assert table.values[ids, 0].tolist() == [len(f"w{k}") for k in range(30_000)] + [2, 2]
+    begin, end, ids, lens = next(chunks)
+    assert (begin, end) == (4, 5) and lens.tolist() == [600_000]
+    assert next(WordTable(rows).chunks([b"a bb"]))[3].tolist() == [2]
