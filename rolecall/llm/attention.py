@@ -21,6 +21,10 @@ import numpy as np
 MASKED, SCORE_LIMIT = np.float32(-1e9), np.float32(40)
 #: Blocks worked on at once.
 SLICE = 512
+#: Squares of past gradients before the first one.
+LEAST_SQUARE = np.float32(1e-4)
+#: Ids of a row of what a pass has learned, so that passes are added up by ranges of ids.
+RANGE = 1024
 
 
 @dataclass
@@ -86,6 +90,8 @@ class AttentionModel:
         size, rng = len(counts.total), np.random.default_rng(seed)
         self.counts, self.end, self.stride, self.dims = counts, end, stride, dims
         self.made: tuple[np.ndarray, np.ndarray] | None = None
+        #: Squares of past gradients, by which learning goes on.
+        self.squares: dict[str, np.ndarray] = {}
         normal = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
         self.q, self.k, self.v, self.own = (normal(size, dims) for _ in range(4))
         self.out, self.bias = normal(dims, experts + 3), np.zeros(experts + 3, dtype=np.float32)
@@ -194,7 +200,7 @@ class AttentionModel:
         if not len(blocks):
             return
         self.made = None
-        rng, squares = np.random.default_rng(seed), {}
+        rng, squares = np.random.default_rng(seed), self.squares
         seen = self.emit * np.float32(inertia)
         batches = [(a, min(a + batch, len(blocks))) for a in range(0, len(blocks), batch)]
         for _ in range(epochs):
@@ -229,9 +235,28 @@ class AttentionModel:
                     self.emit = (grown / grown.sum(axis=0)).astype(np.float32)
                     seen *= np.float32(0.9)
 
+    def take(self, rows: list[tuple[int, bytes, bytes, bytes]]) -> None:
+        """Takes over what passes over all texts gave, added up: ``rows`` of all ranges."""
+        self.made, self.squares = None, {}
+        grown = 5.0 * self.counts.start[:, None] + np.zeros(self.emit.shape)
+        for number, *data in rows:
+            times, change, seen = (np.frombuffer(x) for x in data)
+            mean = (change.reshape(len(times), -1) / np.maximum(times, 1)[:, None]).astype(np.float32)
+            if number < 0:
+                begin = 0
+                for table in (getattr(self, n) for n in Pass.DENSE):
+                    table += mean[0, begin : begin + table.size].reshape(table.shape)
+                    begin += table.size
+                continue
+            at = slice(number * RANGE, number * RANGE + len(times))
+            for i, name in enumerate(Pass.TABLES):
+                getattr(self, name)[at] += mean[:, i * self.dims : (i + 1) * self.dims]
+            grown[at] += seen.reshape(len(times), -1)
+        self.emit = (grown / grown.sum(axis=0)).astype(np.float32)
+
     def _step(self, squares: dict[str, np.ndarray], name: str, rows: np.ndarray | None, gradient: np.ndarray, rate: float) -> None:
         table = getattr(self, name)
-        past = squares.setdefault(name, np.full(table.shape, 1e-4, dtype=np.float32))
+        past = squares.setdefault(name, np.full(table.shape, LEAST_SQUARE, dtype=np.float32))
         if rows is None:
             past += gradient.astype(np.float32) ** 2
             table -= rate * gradient / np.sqrt(past)
@@ -241,3 +266,117 @@ class AttentionModel:
         which, total = rows[order[begin]], np.add.reduceat(gradient[order], begin, axis=0)
         past[which] += total * total
         table[which] -= rate * total / np.sqrt(past[which])
+
+
+class Pass:
+    """One pass of gradient descent over any number of texts, as ``AttentionModel.fit`` makes it, from a model on.
+
+    Several passes over parts of the texts, from one model, are added up (``added``): a parameter's changes
+    count by how often the part has its token, the shares of the learned distributions are sums over all
+    texts.  ``rows`` and ``added`` hold ids by ranges, and a last range (-1) for what is of no id.
+    """
+
+    TABLES, DENSE = ("q", "k", "v", "own"), ("out", "bias", "near")
+
+    def __init__(self, model: AttentionModel, rate: float = 0.1, refresh: int = 64, inertia: float = 500.0) -> None:
+        self.model, self.rate, self.refresh, self.turn = model, np.float32(rate), refresh, 0
+        past = lambda name: model.squares.get(name, np.full(getattr(model, name).shape, LEAST_SQUARE, dtype=np.float32)).copy()
+        self.table = np.concatenate([getattr(model, n) for n in self.TABLES], axis=1)
+        self.past = np.concatenate([past(n) for n in self.TABLES], axis=1)
+        self.dense = {n: getattr(model, n).copy() for n in self.DENSE}
+        self.dense_past = {n: past(n) for n in self.DENSE}
+        size, experts = model.emit.shape
+        self.times, self.seen = np.zeros(size), np.zeros((size, experts))
+        self.held = inertia * model.emit + 5 * model.counts.start[:, None]
+        self.given: np.ndarray | None = None
+
+    def _given(self) -> np.ndarray:
+        """What the distributions give each id, with the shares seen so far (see ``AttentionModel._tables``)."""
+        if self.given is None or self.turn % self.refresh == 0:
+            counts, grown = self.model.counts, self.held + self.seen
+            begins, one = counts.starts[:, None], np.ones((len(grown), 1), dtype=np.float32)
+            self.given = np.concatenate([counts.uni[:, None], one, np.where(begins, counts.start[:, None], 1), np.where(begins, grown / grown.sum(axis=0), 1)], axis=1, dtype=np.float32)
+        self.turn += 1
+        return self.given
+
+    def learn(self, tokens: np.ndarray, lens: np.ndarray, pair: np.ndarray, word: np.ndarray) -> None:
+        """Learns from all tokens; ``pair`` and ``word`` are as if the token itself hadn't been counted."""
+        model, counts, d, stride = self.model, self.model.counts, self.model.dims, self.model.stride
+        blocks, scale = Blocks(tokens, lens, model.end, stride), np.float32(model.dims**-0.5)
+        for a in range(0, len(blocks), SLICE):
+            b = min(a + SLICE, len(blocks))
+            given, near, out = self._given(), np.where(model.gap >= 0, self.dense["near"][np.maximum(model.gap, 0)], MASKED)[None], self.dense["out"]
+            ids = blocks.inputs[np.r_[max(a - 1, 0), a:b]]
+            rows = self.table[ids]
+            flat = rows.reshape(-1, 4 * d)
+            windows = np.lib.stride_tricks.as_strided(flat, (b - a, 2 * stride, 4 * d), (rows.strides[0], *flat.strides), writeable=False)
+            q, k, v = rows[1:, :, :d] * scale, windows[:, :, d : 2 * d], windows[:, :, 2 * d : 3 * d]
+            weight = q @ k.transpose(0, 2, 1)
+            np.clip(weight, -SCORE_LIMIT, SCORE_LIMIT, out=weight)
+            weight += near
+            weight[blocks.first[a:b], :, :stride] = MASKED
+            np.exp(weight, out=weight)
+            weight /= (weight @ np.ones(2 * stride, dtype=np.float32))[:, :, None]
+            mixed = weight @ v
+            hidden = (mixed + rows[1:, :, 3 * d :]).reshape(-1, d)
+            gates = hidden @ out
+            gates += self.dense["bias"]
+            np.exp(np.clip(gates, -SCORE_LIMIT, SCORE_LIMIT, out=gates), out=gates)
+            ones = np.ones(gates.shape[1], dtype=np.float32)
+            gates /= (gates @ ones)[:, None]
+            at, x = blocks.place[a:b].ravel(), ids[1:].ravel()
+            y, p, part = tokens[at], pair[at], word[at]
+            unknown = np.flatnonzero(part < 0)
+            part[unknown] = p[unknown] + counts.rest[x[unknown]] * counts.apart[y[unknown]]
+            share = given[y]
+            share[:, 1] = p * share[:, 2] + counts.rest[x] * share[:, 0]
+            share[:, 2:] *= part[:, None]
+            share *= gates
+            share /= np.maximum(share @ ones, np.float32(1e-30))[:, None]
+            valid = blocks.valid[a:b].ravel()
+            begins = np.flatnonzero(valid & counts.starts[y])
+            which, total = _sums(y[begins], share[begins, 3:])
+            self.seen[which] += total
+            d_z = gates - share
+            d_z[~valid] = 0
+            d_hidden = (d_z @ out.T).reshape(b - a, stride, d)
+            d_score = d_hidden @ v.transpose(0, 2, 1)
+            d_score -= (d_hidden * mixed).sum(axis=2, keepdims=True)
+            d_score *= weight
+            change = np.zeros((b - a + 1, stride, 4 * d), dtype=np.float32)
+            change[1:, :, :d] = (d_score @ k) * scale
+            change[1:, :, 3 * d :] = d_hidden
+            for c, of_window in ((d, d_score.transpose(0, 2, 1) @ q), (2 * d, weight.transpose(0, 2, 1) @ d_hidden)):
+                change[:-1, :, c : c + d] += of_window[:, :stride]
+                change[1:, :, c : c + d] += of_window[:, stride:]
+            self.times += np.bincount(x[valid], minlength=len(self.times))
+            which, total = _sums(ids.ravel(), change.reshape(-1, 4 * d))
+            past = self.past[which] + total * total
+            self.past[which] = past
+            self.table[which] -= self.rate * total / np.sqrt(past)
+            of_near = np.bincount(np.maximum(model.gap, 0).ravel(), weights=d_score.sum(axis=0).ravel(), minlength=2 * stride)
+            for name, gradient in (("out", hidden.T @ d_z), ("bias", d_z.sum(axis=0)), ("near", of_near)):
+                self.dense_past[name] += gradient.astype(np.float32) ** 2
+                self.dense[name] -= self.rate * gradient.astype(np.float32) / np.sqrt(self.dense_past[name])
+
+    def rows(self) -> list[tuple[int, bytes, bytes, bytes]]:
+        """What this pass gives: of each range its number, how often its ids were met, their changes times that, and their shares."""
+        change = self.times[:, None] * (self.table - np.concatenate([getattr(self.model, n) for n in self.TABLES], axis=1))
+        out = [(a // RANGE, self.times[a : a + RANGE].tobytes(), change[a : a + RANGE].tobytes(), self.seen[a : a + RANGE].tobytes()) for a in range(0, len(change), RANGE)]
+        total = self.times.sum()
+        dense = np.concatenate([(self.dense[n] - getattr(self.model, n)).ravel() for n in self.DENSE]).astype(np.float64)
+        return [*out, (-1, np.array([total]).tobytes(), (total * dense).tobytes(), b"")]
+
+
+def added(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[bytes, bytes, bytes]:
+    """What several passes give of one range, added up."""
+    return tuple(sum(np.frombuffer(part[i]) for part in parts).tobytes() for i in range(3))
+
+
+def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and the sum of the rows of each."""
+    if not len(ids):
+        return ids, rows
+    order = np.argsort(ids, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    return ids[order[begin]], np.add.reduceat(rows[order], begin, axis=0)

@@ -2,8 +2,9 @@
 
 One pass over the learned-from documents counts words; Spark adds the counts up, and the subwords of
 each distinct word, and pairs of them, are counted from that.  The most frequent words and pairs, bounded
-in number, go into the model and to every task; its attention and gates are trained on a bounded sample of the texts.  A second pass scores all
-texts: a worker remembers what a word gives (its subwords and their counted probabilities), and the
+in number, go into the model and to every task.  Its attention and gates begin with a few passes over some of the
+texts, and then learn from all of them: each core goes once over its part, and what the parts
+have learned is added up by ranges of ids.  A last pass scores all texts: a worker remembers what a word gives (its subwords and their counted probabilities), and the
 attention model scores windows of tokens in batches.  Words that aren't among the frequent ones
 leave the pass as rows, and meet their counts by a join.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import AttentionModel, CorpusCounts
+from .attention import AttentionModel, CorpusCounts, Pass, added
 from .bpe import LEAF, Vocabulary, vocabulary
 from .common import spans, text_hash, unit_hash, written
 
@@ -34,7 +35,7 @@ CHUNK = 1_000_000
 @dataclass(frozen=True)
 class LmParams:
     """At most ``known`` words and ``pairs`` pairs of subwords come to the driver and to tasks, with
-    their counts; attention learns from about ``fit_tokens`` tokens of texts chosen by a hash.  A
+    their counts; attention learns from all texts, after a beginning with about ``fit_tokens`` tokens of texts chosen by a hash.  A
     worker adds up ``gathered`` words at a time, and remembers ``remembered`` words besides the known."""
 
     known: int = 1 << 17
@@ -296,6 +297,29 @@ def _subwords_counted(words: DataFrame, path: str, params: LmParams) -> DataFram
     return words.mapInPandas(count, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
 
 
+def _learned(docs: DataFrame, path: str, model: AttentionModel, lexicon: Lexicon, params: LmParams) -> DataFrame:
+    """What passes over all texts give, from ``model`` on, added up: a row for each range of ids (see ``Pass.rows``).
+
+    There are as many passes as cores, so that what they give, some 300 bytes for each id, doesn't grow with the texts.
+    """
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, lexicon.subwords = Pass(model), Subwords(vocabulary(path))
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for begin, end in spans([len(t or "") for t in texts], CHUNK):
+                words = [words_of(t) for t in texts[begin:end]]
+                lexicon.forget(params.remembered)
+                own.learn(*lexicon.sequences(lexicon.numbers(words), np.array(list(map(len, words)), dtype=np.int64)))
+        yield pd.DataFrame(own.rows() if own.times.any() else [], columns=["range", "times", "change", "seen"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(rows["range"].iloc[0], *added(list(rows[["times", "change", "seen"]].itertuples(index=False))))], columns=rows.columns)
+
+    kinds = "range int, times binary, change binary, seen binary"
+    return docs.select("text").coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(learn, kinds).groupBy("range").applyInPandas(add, kinds)
+
+
 def _least(lines: list, most: int) -> int | None:
     """The least size class whose members, with those of all larger ones, are ``most`` at most."""
     total, least = 0, None
@@ -329,8 +353,8 @@ class LanguageModel:
 def train(docs: DataFrame, path: str, params: LmParams = LmParams(), doc_id: str = "doc_id", text: str = "text") -> LanguageModel:
     """Counts all of ``docs`` and trains the model, with the vocabulary file ``path`` (read on executors too).
 
-    Null texts count as empty.  The sample that attention learns from goes by a hash of the id;
-    rows with a null id are counted but not sampled.  An empty table gives a model under which all
+    Null texts count as empty.  The texts that attention begins with go by a hash of the id; it learns
+    from those of all rows, also where the id is null.  An empty table gives a model under which all
     tokens are equally likely.
     """
     docs = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
@@ -366,12 +390,17 @@ def train(docs: DataFrame, path: str, params: LmParams = LmParams(), doc_id: str
         share = min(1.0, params.fit_tokens / total)
         sample = docs.where(unit_hash(F.col("id"), params.seed) < share).orderBy(unit_hash(F.col("id"), params.seed), text_hash(F.col("text"))).select("text").collect()
         lexicon = Lexicon(subwords, counts, tree, less=1)
+        lexicon.fix(ordered)
         texts = [words_of(r["text"]) for r in sample]
         if texts:
             model.fit(*lexicon.sequences(lexicon.numbers(texts), np.array(list(map(len, texts)))))
+        lexicon.forget(0)
+        lexicon.subwords = None  # each worker reads the vocabulary itself
+        del sample, texts
+        model.take(written(_learned(docs, path, model, lexicon, params), "lm-learned").collect())
     lexicon = Lexicon(subwords, counts, tree)
     lexicon.fix(ordered)
-    lexicon.subwords = None  # each worker reads the vocabulary itself
+    lexicon.subwords = None
     at = np.fromiter((lexicon.number[w] for w in ordered), dtype=np.int64, count=len(ordered))
     of_number = np.zeros(len(ordered), dtype=np.int64)
     of_number[at] = times

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 from rolecall.llm import lm_scoring
-from rolecall.llm.attention import AttentionModel, CorpusCounts
+from rolecall.llm.attention import AttentionModel, CorpusCounts, Pass
 from rolecall.llm.bpe import vocabulary
 from rolecall.llm.lm_scoring import END, Lexicon, LmParams, Subwords, WordTree, words_of
 
@@ -129,3 +129,46 @@ def test_scores_are_those_of_a_distribution(small, text):
         assert abs(math.log10(p[tokens[i]]) - logs[i]) < 1e-3
     # a second text in the batch doesn't see the first, nor a token those after it
     assert np.allclose(logs[: sizes[0] - 1], logs[sizes[0] : sizes[0] + sizes[0] - 1], atol=1e-4) or not text
+
+
+def test_attention_learns_from_all_texts(spark):
+    docs = spark.createDataFrame([r for r in ROWS if r[0] != 204], "doc_id long, text string").repartition(3)
+    params = LmParams(fit_tokens=1)  # the beginning has no text, or few
+    model = lm_scoring.train(docs, PATH, params)
+    fresh = AttentionModel(model.attention.counts, model.attention.end, params.dims, params.experts, params.stride, params.seed)
+    # all ids that are followed by another in any text: those but the end, which nothing follows, and it, which begins texts
+    met = np.flatnonzero(model.attention.counts.total > 0)
+    for name in ("own", "q", "k", "v"):
+        moved = np.abs(getattr(model.attention, name) - getattr(fresh, name)).max(axis=1) > 0
+        assert moved[met].mean() > 0.99 and not np.delete(moved, met).any()
+    assert (model.attention.emit != fresh.emit).any() and not model.attention.squares
+
+
+def test_a_pass_follows_the_slope(small):
+    """A step's direction is that of differences of the texts' logarithms, for each table."""
+    subwords, counts, tree, model = small
+    lexicon = Lexicon(subwords, counts, tree, less=1)
+    texts = [words_of(t) for _, t in ROWS[:2]]
+    given = lexicon.sequences(lexicon.numbers(texts), np.array(list(map(len, texts))))
+    emit, squares = model.emit, model.squares
+    try:
+        model.squares = {n: np.full(getattr(model, n).shape, 1e12, dtype=np.float32) for n in (*Pass.TABLES, *Pass.DENSE)}
+        one = Pass(model, rate=1e6)  # a step is the slope itself
+        grown = one.held / one.held.sum(axis=0)
+        model.emit, model.made = grown.astype(np.float32), None
+        one.learn(*given)
+        token = int(given[0][0])
+        for name in (*Pass.TABLES, *Pass.DENSE):
+            table = getattr(model, name)
+            i = Pass.TABLES.index(name) if name in Pass.TABLES else None
+            step = one.table[:, i * model.dims : (i + 1) * model.dims] - table if i is not None else one.dense[name] - table
+            at = (token, 2) if i is not None else tuple(np.unravel_index(np.abs(step).argmax(), step.shape))
+            kept, logs = table[at], []
+            for move in (0.02, -0.02):
+                table[at], model.made = kept + np.float32(move), None
+                logs.append(float(np.sum(model.log10(*given), dtype=np.float64)) * math.log(10))
+            table[at] = kept
+            slope = (logs[0] - logs[1]) / 0.04
+            assert abs(slope - step[at]) < 0.05 * abs(slope) + 0.02, name
+    finally:
+        model.emit, model.squares, model.made = emit, squares, None
