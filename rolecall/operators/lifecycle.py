@@ -377,6 +377,9 @@ def _least_labels(edges: DataFrame) -> DataFrame:
     Each round a url takes the least label next to it, then that label's own label, so chains
     shrink fast.  Labels only fall, so the rounds end by themselves, and only when none moves.
     """
+    edges = written(edges, "clash-pairs")
+    if edges.isEmpty():
+        return edges.select("page_id", F.col("a").alias("url"), F.col("b").alias("root"))
     both = written(edges.unionAll(edges.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "clash-edges")
     labels = written(both.groupBy("page_id", F.col("a").alias("url")).agg(F.least("url", F.min("b")).alias("root")), "clash-labels")
     while True:
@@ -395,15 +398,22 @@ def clash_roots(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     """page_id, url, root: the least url of all that clash with it, directly or through others.
 
     Two rows of a page clash if they have one url, or one location and titles of a similarity over
-    ``threshold``.  Equal token sets are a star to their least url; other sets join on the rare
-    tokens that two titles this similar must share.  Urls that clash with none are left out.
+    ``threshold``.  The urls of one token set are a star to their least url, and a url goes by the
+    least such head.  Only where a url has several heads, or two sets are similar (they join on the
+    rare tokens that titles this similar must share), heads are joined in rounds.  Urls that are
+    their own root are left out.
     """
     words = F.array_sort(F.array_distinct(tx.tokens(F.coalesce("title", F.lit("")))))
-    keyed = rows.select("page_id", "url", F.coalesce("location", F.lit("")).alias("place"), words.alias("words")).where(F.size("words") > 0)
-    sets = keyed.groupBy("page_id", "place", "words").agg(F.min("url").alias("head"))
-    stars = keyed.join(sets, ["page_id", "place", "words"]).where("url <> head").select("page_id", F.col("head").alias("a"), F.col("url").alias("b"))
+    keyed = rows.where("page_id is not null and url is not null").select("page_id", "url", F.coalesce("location", F.lit("")).alias("place"), words.alias("words")).where(F.size("words") > 0)
+    # one shuffle for the distinct urls of a set and their least; the set is known by its tokens in a line, which hold no space
+    named = keyed.select("page_id", "place", F.array_join("words", " ").alias("name"), "url").repartition("page_id", "place", "name").distinct()
+    headed = named.withColumn("head", F.min("url").over(Window.partitionBy("page_id", "place", "name")))
+    lows = headed.select("page_id", "url", "head", F.min("head").over(Window.partitionBy("page_id", "url")).alias("low"))
+    lows = written(lows.where("low <> url or low <> head").distinct(), "clash-urls")
+    several = lows.where("low <> head").select("page_id", F.col("low").alias("a"), F.col("head").alias("b"))
     # two sets that differ in a token are similar over t only if they share more than t / (1 - t)
-    long = sets.where(F.size("words") > threshold / (1 - threshold) - 1e-6).withColumn("id", F.struct("page_id", "place", "words"))
+    long = keyed.where(F.size("words") > threshold / (1 - threshold) - 1e-6).groupBy("page_id", "place", "words").agg(F.min("url").alias("head"))
+    long = written(long, "clash-titles").withColumn("id", F.struct("page_id", "place", "words"))
     counts = long.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     rare = _prefix(long, counts, threshold)
     x, y = rare.alias("x"), rare.alias("y")
@@ -411,7 +421,11 @@ def clash_roots(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     alike = tx.token_similarity(F.col("x.words"), F.col("y.words")) > threshold
     near = x.join(y, block[0] & block[1] & block[2] & (F.col("x.words") < F.col("y.words")) & alike).where("x.head <> y.head")
     pairs = near.select("x.page_id", F.col("x.head").alias("a"), F.col("y.head").alias("b"))
-    return _least_labels(stars.unionAll(pairs))
+    joined = _least_labels(several.unionAll(pairs)).withColumnRenamed("url", "low").where("low <> root")
+    stars = lows.select("page_id", "url", "low").distinct()
+    # a head that is joined to others may have no line of its own
+    heads = joined.select("page_id", F.col("low").alias("url"), "low").join(stars.select("page_id", "url"), ["page_id", "url"], "left_anti")
+    return stars.unionByName(heads).join(joined, ["page_id", "low"], "left").select("page_id", "url", F.coalesce("root", "low").alias("root")).where("url <> root")
 
 
 def merge_extracted(rows: DataFrame) -> DataFrame:
@@ -424,6 +438,8 @@ def merge_extracted(rows: DataFrame) -> DataFrame:
     roots = clash_roots(rows)
     order = F.struct((F.col("method") != "JSON_LD").alias("prose"), (-F.length(F.coalesce("description", F.lit("")))).alias("size"), "url", "title")
     ranked = rows.join(roots, ["page_id", "url"], "left").withColumns({"root": F.coalesce("root", "url"), "_order": order})
-    best = lambda c: F.min(F.struct("_order", F.col(c).alias("v")))["v"].alias(c)
+    fills = ("external_job_id", "posted_at", "closing_at")
     fill = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("_order", F.col(c).alias("v"))))["v"].alias(c)
-    return ranked.groupBy("page_id", "root").agg(*[best(c) for c in ("url", "title", "location", "description", "method")], *[fill(c) for c in ("external_job_id", "posted_at", "closing_at")], F.count("*").alias("merged"))
+    best = F.min(F.struct("_order.*", "location", "description", "method")).alias("_best")
+    found = ranked.groupBy("page_id", "root").agg(best, *[fill(c) for c in fills], F.count("*").alias("merged"))
+    return found.select("page_id", "root", *[F.col(f"_best.{c}").alias(c) for c in ("url", "title", "location", "description", "method")], *fills, "merged")

@@ -130,3 +130,21 @@ def test_tier_three_links_every_pair_through_its_groups(spark):
                 near = x[6] is None or y[6] is None or abs(x[6] - y[6]) <= 21
                 pair = tuple(sorted((head[group[x[0]]], head[group[y[0]]])))
                 assert (pair in linked) == (alike and near and (x[5] or y[5]))
+
+
+def test_merge_stars_need_no_rounds(spark, monkeypatch):
+    made, plain = {}, lc.written
+
+    def noted(df, name):
+        out = plain(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lc, "written", noted)
+    rows = [extracted(f"p{i % 4}", f"u{i:03d}", ("Data Analyst", "Process Engineer", "DATA analyst", "")[i % 7 % 4]) for i in range(120)]
+    assert merged(spark, rows) == clusters_by_brute_force(rows)
+    assert not made.get("clash-edges") and not made.get("clash-labels") and made["clash-urls"] < 120
+    # of rows that tie in all that orders them, one is taken whole
+    ties = [("p", "u", "Analyst", "Pune", "ab", "JSON_LD", None, None, None), ("p", "u", "Analyst", "Delhi", "ba", "JSON_LD", None, None, None)]
+    (one,) = lc.merge_extracted(spark.createDataFrame(ties, ROW)).collect()
+    assert (one.location, one.description) in {("Pune", "ab"), ("Delhi", "ba")}
