@@ -14,6 +14,7 @@ before, so windows overlap by half and each token is scored once, with at least
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -341,16 +342,21 @@ class Pass:
             d_z[~valid] = 0
             d_hidden = (d_z @ out.T).reshape(b - a, stride, d)
             d_score = d_hidden @ v.transpose(0, 2, 1)
-            d_score -= (d_hidden * mixed).sum(axis=2, keepdims=True)
+            mixed *= d_hidden
+            d_score -= (mixed @ np.ones(d, dtype=np.float32))[:, :, None]
             d_score *= weight
-            change = np.zeros((b - a + 1, stride, 4 * d), dtype=np.float32)
-            change[1:, :, :d] = (d_score @ k) * scale
+            change = np.empty((b - a + 1, stride, 4 * d), dtype=np.float32)
+            change[0] = 0
+            np.matmul(d_score, k, out=change[1:, :, :d])  # still to be scaled
             change[1:, :, 3 * d :] = d_hidden
-            for c, of_window in ((d, d_score.transpose(0, 2, 1) @ q), (2 * d, weight.transpose(0, 2, 1) @ d_hidden)):
-                change[:-1, :, c : c + d] += of_window[:, :stride]
-                change[1:, :, c : c + d] += of_window[:, stride:]
+            # what a window's first half gives goes to the block before, which has what it gave itself
+            for c, score, of in ((d, d_score, q), (2 * d, weight, d_hidden)):
+                score = score.transpose(0, 2, 1)
+                np.matmul(score[:, stride:], of, out=change[1:, :, c : c + d])
+                change[:-1, :, c : c + d] += score[:, :stride] @ of
             self.times += np.bincount(x[valid], minlength=len(self.times))
             which, total = _sums(ids.ravel(), change.reshape(-1, 4 * d))
+            total[:, :d] *= scale
             past = self.past[which] + total * total
             self.past[which] = past
             self.table[which] -= self.rate * total / np.sqrt(past)
@@ -359,13 +365,15 @@ class Pass:
                 self.dense_past[name] += gradient.astype(np.float32) ** 2
                 self.dense[name] -= self.rate * gradient.astype(np.float32) / np.sqrt(self.dense_past[name])
 
-    def rows(self) -> list[tuple[int, bytes, bytes, bytes]]:
+    def rows(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """What this pass gives: of each range its number, how often its ids were met, their changes times that, and their shares."""
-        change = self.times[:, None] * (self.table - np.concatenate([getattr(self.model, n) for n in self.TABLES], axis=1))
-        out = [(a // RANGE, self.times[a : a + RANGE].tobytes(), change[a : a + RANGE].tobytes(), self.seen[a : a + RANGE].tobytes()) for a in range(0, len(change), RANGE)]
+        for a in range(0, len(self.times), RANGE):
+            at = slice(a, a + RANGE)
+            change = self.times[at, None] * (self.table[at] - np.concatenate([getattr(self.model, n)[at] for n in self.TABLES], axis=1))
+            yield a // RANGE, self.times[at].tobytes(), change.tobytes(), self.seen[at].tobytes()
         total = self.times.sum()
         dense = np.concatenate([(self.dense[n] - getattr(self.model, n)).ravel() for n in self.DENSE]).astype(np.float64)
-        return [*out, (-1, np.array([total]).tobytes(), (total * dense).tobytes(), b"")]
+        yield -1, np.array([total]).tobytes(), (total * dense).tobytes(), b""
 
 
 def added(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[bytes, bytes, bytes]:
@@ -377,6 +385,7 @@ def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids, and the sum of the rows of each."""
     if not len(ids):
         return ids, rows
-    order = np.argsort(ids, kind="stable")
+    # short whole numbers are sorted by radix
+    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
     begin = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
     return ids[order[begin]], np.add.reduceat(rows[order], begin, axis=0)

@@ -12,9 +12,10 @@ leave the pass as rows, and meet their counts by a join.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .attention import AttentionModel, CorpusCounts, Pass, added
 from .bpe import LEAF, Vocabulary, vocabulary
-from .common import spans, text_hash, unit_hash, written
+from .common import small_batches, spans, text_hash, unit_hash, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands for the end of a text among its words; no word holds a space.
 END = b" "
 #: Bytes of text worked on at a time.
 CHUNK = 1_000_000
+#: Bytes of a batch of rows on its way to a worker, which holds one in several copies.
+BATCH = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,14 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text.encode().translate(_LOWER).split() if text else ()), END]
 
 
+def _numbered(number: defaultdict[bytes, int], words: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of all words of all lists, and the words that had none before, in the order of their new numbers."""
+    before, number.default_factory = len(number), count(len(number)).__next__
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(map(len, words)))
+    number.default_factory = None
+    return ids, list(islice(reversed(number), len(number) - before))[::-1]
+
+
 def _prefix_codes(tokens: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """A code of the word's tokens up to each token."""
     start = np.cumsum(lens) - lens
@@ -190,7 +201,7 @@ class Lexicon:
 
     def __init__(self, subwords: Subwords | None, counts: CorpusCounts, tree: WordTree, less: int = 0) -> None:
         self.subwords, self.counts, self.tree, self.less = subwords, counts, tree, less
-        self.number: dict[bytes, int] = {}
+        self.number: defaultdict[bytes, int] = defaultdict()
         self.listed: list[bytes] = []
         self.fixed = 0
         self.size, self.start = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -217,9 +228,8 @@ class Lexicon:
 
     def numbers(self, words: list[list[bytes]]) -> np.ndarray:
         """Numbers of all words of all lists."""
-        new = list(set().union(*words).difference(self.number)) if words else []
+        ids, new = _numbered(self.number, words)
         if new:
-            self.number.update(zip(new, range(len(self.listed), len(self.listed) + len(new)), strict=True))
             self.listed += new
             tokens, size = self.subwords.of(new)
             self.tokens, self.size = np.r_[self.tokens, tokens], np.r_[self.size, size]
@@ -228,7 +238,7 @@ class Lexicon:
             self.pair, self.word = np.r_[self.pair, self.counts.pair(before, tokens, self.less)], np.r_[self.word, word]
             self.ends, self.pair_ends = np.r_[self.ends, ends], np.r_[self.pair_ends, self.counts.word_end(tokens[np.cumsum(size) - 1], self.less)]
             self.start = np.cumsum(self.size) - self.size
-        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(map(len, words)))
+        return ids
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the subwords of a sequence of words stand, and the first of each word among them."""
@@ -253,23 +263,20 @@ class Lexicon:
 def _counted(docs: DataFrame, params: LmParams) -> DataFrame:
     """word and n of each distinct word."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number: dict[bytes, int] = {}
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: defaultdict[bytes, int] = defaultdict()
         times = np.zeros(0, dtype=np.int64)
         for batch in batches:
             texts = batch["text"].tolist()
             for begin, end in spans([len(t or "") for t in texts], CHUNK):
-                words = [words_of(t) for t in texts[begin:end]]
-                new = list(set().union(*words).difference(number))
-                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(map(len, words)))
+                ids, new = _numbered(number, [words_of(t) for t in texts[begin:end]])
                 times = np.r_[times, np.zeros(len(new), dtype=np.int64)] + np.bincount(ids, minlength=len(number))
                 if len(number) > params.gathered:
                     yield pd.DataFrame({"word": list(number), "n": times})
-                    number, times = {}, times[:0]
+                    number, times = defaultdict(), times[:0]
         yield pd.DataFrame({"word": np.array([*number, None], dtype=object)[:-1], "n": times})
 
-    return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _subwords_counted(words: DataFrame, path: str, params: LmParams) -> DataFrame:
@@ -305,13 +312,15 @@ def _learned(docs: DataFrame, path: str, model: AttentionModel, lexicon: Lexicon
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, lexicon.subwords = Pass(model), Subwords(vocabulary(path))
+        model.squares = {}  # the pass has its own
         for batch in batches:
             texts = batch["text"].tolist()
             for begin, end in spans([len(t or "") for t in texts], CHUNK):
                 words = [words_of(t) for t in texts[begin:end]]
                 lexicon.forget(params.remembered)
                 own.learn(*lexicon.sequences(lexicon.numbers(words), np.array(list(map(len, words)), dtype=np.int64)))
-        yield pd.DataFrame(own.rows() if own.times.any() else [], columns=["range", "times", "change", "seen"])
+        for row in own.rows() if own.times.any() else ():
+            yield pd.DataFrame([row], columns=["range", "times", "change", "seen"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(rows["range"].iloc[0], *added(list(rows[["times", "change", "seen"]].itertuples(index=False))))], columns=rows.columns)
@@ -357,7 +366,11 @@ def train(docs: DataFrame, path: str, params: LmParams = LmParams(), doc_id: str
     from those of all rows, also where the id is null.  An empty table gives a model under which all
     tokens are equally likely.
     """
-    docs = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession, BATCH):
+        return _trained(docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")), path, params)
+
+
+def _trained(docs: DataFrame, path: str, params: LmParams) -> LanguageModel:
     words = written(_counted(docs, params), "lm-words")
     pairs = written(_subwords_counted(words, path, params), "lm-pairs")
     size = F.floor(F.log2("n") * 8).cast("int")
@@ -455,7 +468,8 @@ def score(docs: DataFrame, model: LanguageModel, params: LmParams = LmParams(),
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    scored = written(rows.mapInPandas(judge, _SCORED).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    with small_batches(docs.sparkSession, BATCH):
+        scored = written(rows.mapInPandas(judge, _SCORED).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
     terms = scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("_x")).select("_row", F.col("_x.rare").alias("word"), F.col("_x.times").alias("times"))
     found = terms.join(rare, "word", "left")
     sums = found.groupBy("_row").agg(F.sum(F.col("times") * model.base(F.coalesce("n", F.lit(0)))).alias("_base"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("_known"))

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from rolecall.llm import lm_scoring
 from rolecall.llm.attention import AttentionModel, CorpusCounts, Pass
 from rolecall.llm.bpe import vocabulary
+from rolecall.llm.common import small_batches
 from rolecall.llm.lm_scoring import END, Lexicon, LmParams, Subwords, WordTree, words_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -172,3 +174,43 @@ def test_a_pass_follows_the_slope(small):
             assert abs(slope - step[at]) < 0.05 * abs(slope) + 0.02, name
     finally:
         model.emit, model.squares, model.made = emit, squares, None
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Whatever is run for the model or the scores deals rows in batches bounded in bytes, and the session is left as it was."""
+    name, seen, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", [], []
+    before, written = spark.conf.get(name), lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, what: seen.append((what, int(spark.conf.get(name).rstrip("b")))) or written(df, what))
+    docs = spark.createDataFrame([(i, f"text {i} " * 400) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    assert lm_scoring.score_held_out(docs, PATH, LmParams(fit_tokens=500)).count() == 2000
+    assert [what for what, _ in seen] == ["lm-words", "lm-pairs", "lm-learned", "lm-scored"] and all(most <= 4_000_000 for _, most in seen)
+    assert spark.conf.get(name) == before
+    with small_batches(spark, 1_000_000):
+        sizes = docs.select("text").mapInPandas(lambda batches: (b.assign(text=str(b["text"].str.len().sum())) for b in batches), "text string").distinct().collect()
+    assert len(sizes) > 1 and all(int(r["text"]) < 1_500_000 for r in sizes)
+
+
+def test_a_pass_gives_its_rows_range_by_range(small):
+    subwords, counts, tree, model = small
+    one = Pass(model)
+    lexicon = Lexicon(subwords, counts, tree, less=1)
+    texts = [words_of(t) for _, t in ROWS[:20]]
+    one.learn(*lexicon.sequences(lexicon.numbers(texts), np.array(list(map(len, texts)))))
+    tracemalloc.start()
+    try:
+        given = {number: [len(x) // 8 for x in data] for number, *data in one.rows()}
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    finally:
+        tracemalloc.stop()
+    assert sum(n for number, (n, _, _) in given.items() if number >= 0) == len(counts.total)
+    assert all(change == n * 4 * model.dims and seen == n * 4 for number, (n, change, seen) in given.items() if number >= 0)
+
+
+def test_numbers_of_words_as_met(small):
+    subwords, counts, tree, _ = small
+    lexicon = Lexicon(subwords, counts, tree)
+    lexicon.fix([b"some", b"words"])
+    assert lexicon.numbers([[b"new", b"words"], [b"new", b"other", b"some"]]).tolist() == [2, 1, 2, 3, 0]
+    lexicon.forget(1)
+    assert lexicon.numbers([[b"other", b"words", b"other"]]).tolist() == [2, 1, 2] and lexicon.listed == [b"some", b"words", b"other"]
+    assert lexicon.numbers([]).tolist() == []
