@@ -304,15 +304,16 @@ def _subwords_counted(words: DataFrame, path: str, params: LmParams) -> DataFram
     return words.mapInPandas(count, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
 
 
-def _learned(docs: DataFrame, path: str, model: AttentionModel, lexicon: Lexicon, params: LmParams) -> DataFrame:
+def _learned(docs: DataFrame, path: str, model: AttentionModel, lexicon: Lexicon, params: LmParams) -> list:
     """What passes over all texts give, from ``model`` on, added up: a row for each range of ids (see ``Pass.rows``).
 
     There are as many passes as cores, so that what they give, some 300 bytes for each id, doesn't grow with the texts.
     """
+    sent = docs.sparkSession.sparkContext.broadcast((model, lexicon))  # in a function, workers would hold it pickled too
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, lexicon = sent.value
         own, lexicon.subwords = Pass(model), Subwords(vocabulary(path))
-        model.squares = {}  # the pass has its own
         for batch in batches:
             texts = batch["text"].tolist()
             for begin, end in spans([len(t or "") for t in texts], CHUNK):
@@ -326,7 +327,11 @@ def _learned(docs: DataFrame, path: str, model: AttentionModel, lexicon: Lexicon
         return pd.DataFrame([(rows["range"].iloc[0], *added(list(rows[["times", "change", "seen"]].itertuples(index=False))))], columns=rows.columns)
 
     kinds = "range int, times binary, change binary, seen binary"
-    return docs.select("text").coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(learn, kinds).groupBy("range").applyInPandas(add, kinds)
+    rows = docs.select("text").coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(learn, kinds).groupBy("range").applyInPandas(add, kinds)
+    try:
+        return written(rows, "lm-learned").collect()
+    finally:
+        sent.destroy()
 
 
 def _least(lines: list, most: int) -> int | None:
@@ -410,7 +415,7 @@ def _trained(docs: DataFrame, path: str, params: LmParams) -> LanguageModel:
         lexicon.forget(0)
         lexicon.subwords = None  # each worker reads the vocabulary itself
         del sample, texts
-        model.take(written(_learned(docs, path, model, lexicon, params), "lm-learned").collect())
+        model.take(_learned(docs, path, model, lexicon, params))
     lexicon = Lexicon(subwords, counts, tree)
     lexicon.fix(ordered)
     lexicon.subwords = None
@@ -432,10 +437,12 @@ def score(docs: DataFrame, model: LanguageModel, params: LmParams = LmParams(),
     model's log10 probability of the text.  Repeated rows stay, null ids stay null, an empty table
     gives no rows; ids are whole numbers, and other columns are neither read nor returned.
     """
-    rare, model_sent = model.rare, (model.path, model.known, model.tokens, model.distinct, model.attention, model.lexicon)
+    rare = model.rare
+    # tasks of a worker share it, and the words that its lexicon remembers
+    sent = docs.sparkSession.sparkContext.broadcast((model.path, model.known, model.tokens, model.distinct, model.attention, model.lexicon))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = LanguageModel(*model_sent)
+        own = LanguageModel(*sent.value)
         lexicon = own.lexicon
         lexicon.subwords = Subwords(vocabulary(own.path))
         for batch in batches:
@@ -468,8 +475,11 @@ def score(docs: DataFrame, model: LanguageModel, params: LmParams = LmParams(),
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    with small_batches(docs.sparkSession, BATCH):
-        scored = written(rows.mapInPandas(judge, _SCORED).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    try:
+        with small_batches(docs.sparkSession, BATCH):
+            scored = written(rows.mapInPandas(judge, _SCORED).withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    finally:
+        sent.destroy()
     terms = scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("_x")).select("_row", F.col("_x.rare").alias("word"), F.col("_x.times").alias("times"))
     found = terms.join(rare, "word", "left")
     sums = found.groupBy("_row").agg(F.sum(F.col("times") * model.base(F.coalesce("n", F.lit(0)))).alias("_base"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("_known"))

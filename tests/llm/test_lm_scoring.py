@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 
 from rolecall.llm import lm_scoring
 from rolecall.llm.attention import AttentionModel, CorpusCounts, Pass
@@ -214,3 +215,13 @@ def test_numbers_of_words_as_met(small):
     lexicon.forget(1)
     assert lexicon.numbers([[b"other", b"words", b"other"]]).tolist() == [2, 1, 2] and lexicon.listed == [b"some", b"words", b"other"]
     assert lexicon.numbers([]).tolist() == []
+
+
+def test_functions_do_not_hold_the_model(spark, monkeypatch):
+    """Else workers hold it a second time, pickled."""
+    docs = spark.createDataFrame(ROWS[:50], "doc_id long, text string").repartition(3)
+    sizes, kind = [], type(docs)
+    given = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, *a, **b: sizes.append(len(cloudpickle.dumps(f))) or given(self, f, *a, **b))
+    assert lm_scoring.score_held_out(docs, PATH, LmParams(fit_tokens=50)).count() == 50
+    assert len(sizes) == 4 and max(sizes) < 1_000_000
