@@ -183,3 +183,11 @@ def test_all_patterns_are_in_the_flow(spark):
         price[params.patterns] = sum(n * size[u] for u, n in load.items() if n > 1)
     total = sum(size.values())
     assert all(p < 0.15 * total for p in price.values())
+
+
+def test_every_pass_has_its_price():
+    # six rows of a text may be taken three times each: passes beyond the third are spread as well
+    capacity = {("a", "b"): 10, ("a", "b", "c"): 10}
+    held = {(("a", "b"), "a"): 10, (("a", "b"), "b"): 10, **{(("a", "b", "c"), s): 10 for s in "abc"}}
+    flow = mixing.min_cost_flow(capacity, held, {"a": 50, "b": 50, "c": 0})
+    assert {p: sum(n for (q, _), n in flow.items() if q == p) for p in capacity} == {p: 50 for p in capacity}
