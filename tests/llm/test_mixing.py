@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,30 @@ def test_every_pass_has_its_price():
     held = {(("a", "b"), "a"): 10, (("a", "b"), "b"): 10, **{(("a", "b", "c"), s): 10 for s in "abc"}}
     flow = mixing.min_cost_flow(capacity, held, {"a": 50, "b": 50, "c": 0})
     assert {p: sum(n for (q, _), n in flow.items() if q == p) for p in capacity} == {p: 50 for p in capacity}
+
+
+def test_balanced_flow_is_the_cheapest(spark):
+    rng = np.random.default_rng(2)
+    capacity, held, quota = defaultdict(int), {}, {}
+    for _ in range(600):
+        p = tuple(f"s{k}" for k in sorted(rng.choice(9, 3, replace=False)))
+        capacity[p] += int(rng.integers(5, 400))
+    for s in range(9):
+        capacity[f"s{s}",] += 500 * s
+    capacity = {p: c for p, c in capacity.items() if c}
+    held = {(p, s): c for p, c in capacity.items() for s in p}
+    of_source = {f"s{k}": sum(n for (_, s), n in held.items() if s == f"s{k}") for k in range(9)}
+    quota = {s: round(n) for s, n in mixing.targets(of_source).items()}
+    rows = [("|".join(p), s, held[p, s], c) for p, c in capacity.items() for s in p]
+    lines = spark.createDataFrame(rows, "pattern string, tag string, held long, capacity long")
+    shares = {(tuple(r.pattern.split("|")), r.tag): r.share for r in mixing.balanced_flow(lines, quota, of_source, mixing.MixParams()).collect()}
+
+    def price(flow):
+        load = {p: sum(flow[p, s] for s in p) for p in capacity}
+        return sum(k * max(0.0, load[p] - k * c) for p, c in capacity.items() for k in range(1, 10))
+
+    got = {key: shares[key] * n for key, n in held.items()}
+    # what sources get is what they want, and nothing cheaper gives it
+    assert sum(abs(sum(n for (_, t), n in got.items() if t == s) - q) for s, q in quota.items()) < 1e-4 * sum(quota.values())
+    best = price(mixing.min_cost_flow(capacity, held, quota))
+    assert abs(price(got) - best) < 1e-3 * best
