@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,28 +28,51 @@ def grams_of(part: str) -> list[str]:
 
 
 class TrigramIndex:
-    """(gram, key) of all rows, written once in ranges of grams and sorted by them.
+    """(gram, text) of all different texts and (text, key) of all rows, written once in ranges (``ranges`` at most) and sorted by them.
 
-    A search reads the lines of its two rarest grams (a part of one file each, by the statistics of
-    the file) and tests the texts of the rows that have both.  Parts without three characters in a
-    row between wildcards are looked for by a scan, as before.  Rows are parted by ``key``, which is unique.
+    Rows share texts, so a text's grams are found and stored once, however many rows have it.  A text's
+    number is its hash, of the first seed under which no two texts have the same.  A search reads the
+    lines of its two rarest grams (a part of one file each, by the statistics of the file), tests the
+    texts that have both, and gives the rows of those that fit.  Parts without three characters in
+    a row between wildcards are tested on all different texts.  Rows are parted by ``key``, which is unique.
     """
 
-    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], ranges: int = 200) -> None:
+    #: Up to so many texts that fit, their rows are looked up by the statistics of the files; of more, all files are read.
+    LISTED = 1000
+    #: A range has about so many lines.
+    LINES = 100_000
+
+    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], ranges: int = 200, number: Callable[[Column, Column], Column] = F.xxhash64) -> None:
         self.rows, self.key, self.columns = rows, key, list(columns)
-        grams = F.array_distinct(F.flatten(F.array(*[trigrams(F.col(c)) for c in columns])))
+        texts = rows.select(F.explode(F.array(*columns)).alias("text")).where("text is not null").distinct()
+        texts = written(texts, "texts")
+        n = texts.count()
+        seed = next(s for s in count() if texts.select(number(F.col("text"), F.lit(s)).alias("n")).distinct().count() == n)
+        of = lambda c: F.when(c.isNotNull(), number(c, F.lit(seed)))
+        self.texts = texts.withColumn("number", of(F.col("text")))
         # for ``explode`` the optimizer would add a filter that makes the grams a second time
-        lines = rows.select(F.explode_outer(grams).alias("gram"), key).where("gram is not null")
-        self.lines = written(lines.repartitionByRange(ranges, "gram", key).sortWithinPartitions("gram", key), "trigrams")
+        lines = self.texts.select(F.explode_outer(trigrams(F.col("text"))).alias("gram"), "number").where("gram is not null")
+        self.lines = self._sorted(written(lines, "grams"), "gram", "number", ranges, "trigrams")
+        numbered = rows.select(F.explode(F.array(*[of(F.col(c)) for c in columns])).alias("number"), F.col(key).alias("key")).where("number is not null")
+        self.held = self._sorted(written(numbered, "numbered"), "number", "key", ranges, "texts-of-rows")
+
+    def _sorted(self, lines: DataFrame, first: str, second: str, ranges: int, name: str) -> DataFrame:
+        """``lines``, a written table, written in order; ranges are cut by a sample, so it is read twice."""
+        parts = min(ranges, lines.count() // self.LINES + 1)
+        return written(lines.repartitionByRange(parts, first, second).sortWithinPartitions(first, second), name)
+
+    def keys(self, part: str) -> DataFrame:
+        """The keys of the rows of which a column holds ``part`` (case-blind; % and _ are wildcards)."""
+        fits = self.texts.where(like(F.col("text"), part))
+        if grams := grams_of(part):
+            counts = {g: 0 for g in grams} | {r["gram"]: r["count"] for r in self.lines.where(F.col("gram").isin(grams)).groupBy("gram").count().collect()}
+            wanted = sorted(grams, key=lambda g: (counts[g], g))[:2]
+            found = [self.lines.where(F.col("gram") == g).select("number") for g in wanted]
+            fits = fits.join(reduce(lambda a, b: a.join(b, "number", "left_semi"), found), "number", "left_semi")
+        some = [r["number"] for r in fits.select("number").limit(self.LISTED + 1).collect()]
+        held = self.held if len(some) > self.LISTED else self.held.where(F.col("number").isin(some) if some else F.lit(False))
+        return held.join(fits.select("number"), "number", "left_semi").select(F.col("key").alias(self.key)).distinct()  # two columns of a row may fit
 
     def find(self, part: str) -> DataFrame:
-        """The rows of which a column holds ``part`` (case-blind; % and _ are wildcards)."""
-        holds = reduce(lambda a, b: a | b, [like(F.col(c), part) for c in self.columns])
-        grams = grams_of(part)
-        if not grams:
-            return self.rows.where(holds)
-        counts = {g: 0 for g in grams} | {r["gram"]: r["count"] for r in self.lines.where(F.col("gram").isin(grams)).groupBy("gram").count().collect()}
-        wanted = sorted(grams, key=lambda g: (counts[g], g))[:2]
-        found = [self.lines.where(F.col("gram") == g).select(self.key) for g in wanted]
-        both = reduce(lambda a, b: a.join(b, self.key, "left_semi"), found)
-        return self.rows.join(both, self.key, "left_semi").where(holds)
+        """The rows of which a column holds ``part``."""
+        return self.rows.join(self.keys(part), self.key, "left_semi")

@@ -67,7 +67,7 @@ def _(t):
 @query("b6_indexed_search", "SELECT 'chem' AS part, id FROM postings WHERE title ILIKE '%chem%' OR description ILIKE '%chem%' UNION ALL SELECT 'r_d%chem', id FROM postings WHERE title ILIKE '%r_d%chem%' OR description ILIKE '%r_d%chem%' UNION ALL SELECT 'R&D', id FROM postings WHERE title ILIKE '%R&D%' OR description ILIKE '%R&D%' UNION ALL SELECT 'C', id FROM postings WHERE title ILIKE '%C%' OR description ILIKE '%C%'")
 def _(t):
     index = TrigramIndex(t.dealt_postings.select("id", "title", "description"), "id", ["title", "description"])
-    return reduce(DataFrame.unionAll, [index.find(part).select(F.lit(part).alias("part"), "id") for part in ("chem", "r_d%chem", "R&D", "C")])
+    return reduce(DataFrame.unionAll, [index.keys(part).select(F.lit(part).alias("part"), "id") for part in ("chem", "r_d%chem", "R&D", "C")])
 
 
 @query("b7_status_in", "SELECT company_id, status, count(*) AS n FROM postings WHERE status IN ('ACTIVE', 'EXPIRED') GROUP BY ALL")

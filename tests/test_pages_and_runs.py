@@ -69,3 +69,15 @@ def test_indexed_search_equals_a_scan(spark):
         assert {r.id for r in index.find(part).collect()} == want, part
     plan = index.find("process chem")._jdf.queryExecution().toString()
     assert "EqualTo(gram," in plan and search_index.grams_of("ab%c_") == []
+
+
+def test_a_text_is_indexed_once_for_all_its_rows(spark):
+    df = spark.createDataFrame([(i, f"Process {i % 3}", None if i % 2 else "R&D chem") for i in range(600)], "id int, a string, b string")
+    index = search_index.TrigramIndex(df, "id", ["a", "b"], ranges=4)
+    assert index.lines.count() == len({(t, t[i : i + 3]) for t in ("process 0", "process 1", "process 2", "r&d chem") for i in range(len(t) - 2)})
+    # two texts of one hash are told apart by another seed
+    clashing = search_index.TrigramIndex(df, "id", ["a", "b"], ranges=4, number=lambda c, seed: F.when(seed > 1, F.xxhash64(c, seed)).otherwise(F.length(c).cast("long")))
+    for part, want in (("process 1", {i for i in range(600) if i % 3 == 1}), ("chem", set(range(0, 600, 2))), ("c", set(range(600))), ("nowhere", set())):
+        for x in (index, clashing):
+            x.LISTED = 1000 if part != "c" else 2
+            assert sorted(r.id for r in x.keys(part).collect()) == sorted(want), part
