@@ -130,3 +130,17 @@ def test_a_host_is_found_once_for_a_score(spark):
     assert made._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 1
     assert [r.s for r in made.collect()] == [0.65, 0.1, 0.3]
     assert [r.a for r in urls.select(sites.is_ats(sites.tx.url_host(F.col("url"))).alias("a")).collect()] == [True, False, None]
+
+
+def test_extractors_read_each_page_once(spark):
+    item = '<div itemscope ItemType="https://schema&#46;org/JobPosting"><b itemprop="title">Process Engineer</b></div>'
+    link = '<ul><li><A\n\thref="/p/1">Process Engineer</A> Location: Pune</li></ul>'
+    ld = '<script type="application/ld+json">{"@type": "JobPosting", "title": "a"}</script>'
+    rows = [(1, item + link), (2, link), (3, ld + link), (4, "<p>itemtype</p><abbr>a</abbr>"), (5, None), (None, link), (None, item)]
+    df = spark.createDataFrame([(i, "https://x.org/", html) for i, html in rows], "page_id long, url string, html string")
+    found = sources.all_raw(None, df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2
+    got = sorted((r.page_id or 0, r.method, r.authoritative) for r in found.collect())
+    assert got == [(0, "HEURISTIC", False), (0, "MICRODATA", True), (1, "MICRODATA", True), (2, "HEURISTIC", False), (3, "JSON_LD", True)]
+    # pages that can't hold any aren't parsed
+    assert all("Filter" in make(df)._jdf.queryExecution().optimizedPlan().toString() for make in (pages.microdata, pages.anchors))
