@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,9 +55,9 @@ class Chunk:
     def __init__(self, texts: list[bytes], depth: int) -> None:
         tokens = b".".join(t.translate(_WORD_BYTES) for t in texts).replace(b".", b" . ").split()
         self.words = [b".", *set(tokens).difference((b".",))]
-        number = dict(zip(self.words, range(len(self.words)), strict=True))
-        ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-        del tokens, number
+        self.number = dict(zip(self.words, range(len(self.words)), strict=True))
+        ids = np.fromiter(map(self.number.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        del tokens
         starts = np.flatnonzero(ids)
         self.total = len(starts)
         self.suffixes, self.times = added_up(np.r_[ids, np.zeros(depth, dtype=np.int32)], starts, depth, len(self.words))
@@ -71,6 +71,12 @@ class Chunk:
         first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
         return rows[first], np.add.reduceat(times, first)
 
+    def known(self, phrases: Iterable[bytes], depth: int) -> np.ndarray:
+        """Word numbers [n, depth], sorted, of those of ``phrases`` that have ``depth`` words, all of which occur here."""
+        split = (p.split(b" ") for p in phrases)
+        rows = [[self.number[w] for w in words] for words in split if len(words) == depth and all(w in self.number for w in words)]
+        return np.array(sorted(rows), dtype=np.int64).reshape(-1, depth)
+
     def phrase(self, numbers: np.ndarray) -> bytes:
         return b" ".join([self.words[i] for i in numbers.tolist()])
 
@@ -203,16 +209,15 @@ def _routed(rows: DataFrame, hot: dict[str, set[bytes]], buckets: int, params: P
                     place[open_] ^= place[open_] >> np.uint64(29)
                     if k == depth:
                         break
-                    prefixes, times = chunk.prefixes(k)
-                    known = [(i, p) for i, p in enumerate(map(chunk.phrase, prefixes)) if p in here] if k > 1 else [(i, p) for i, p in enumerate(chunk.words[j] for j in prefixes[:, 0].tolist()) if p in here]
-                    out += [(name, -1, k, p, b"", b"", int(times[i])) for i, p in known]
                     # suffixes are sorted, so those of one prefix are a span
-                    hot_here = np.zeros(len(chunk.suffixes), dtype=bool)
-                    if known:
-                        wanted = prefixes[[i for i, _ in known]]
-                        low, high = _span(chunk.suffixes, wanted)
-                        for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                            hot_here[a:b] = True
+                    wanted = chunk.known(here, k)
+                    low, high = _span(chunk.suffixes, wanted)
+                    upto = np.r_[0, np.cumsum(chunk.times)]
+                    out += [(name, -1, k, chunk.phrase(p), b"", b"", n) for p, n in zip(wanted, (upto[high] - upto[low]).tolist(), strict=True) if n]
+                    edge = np.zeros(len(chunk.suffixes) + 1, dtype=np.int64)
+                    np.add.at(edge, low, 1)
+                    np.add.at(edge, high, -1)
+                    hot_here = np.cumsum(edge[:-1]) > 0
                     whole_from[open_ & ~hot_here] = k
                     open_ &= hot_here
                 bucket = (place % np.uint64(buckets)).astype(np.int64)
@@ -236,15 +241,29 @@ def _packed(times: np.ndarray) -> bytes:
 
 
 def _span(rows: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last+1 of the sorted rows that begin with each of ``prefixes``."""
+    """First and last+1 of the sorted rows that begin with each of the sorted ``prefixes``: halves all their ranges side by side, word by word."""
     low, high = np.zeros(len(prefixes), dtype=np.int64), np.full(len(prefixes), len(rows), dtype=np.int64)
-    for i, prefix in enumerate(prefixes):
-        for k, word in enumerate(prefix.tolist()):
-            a, b = np.searchsorted(rows[low[i] : high[i], k], (word, word + 1))
-            low[i], high[i] = low[i] + a, low[i] + b
+    for k in range(prefixes.shape[1]):
+        word, column = prefixes[:, k], rows[:, k]
+        ends = []
+        for least in (word, word + 1):
+            a, b = low.copy(), high.copy()
+            while (open_ := np.flatnonzero(a < b)).size:
+                middle = (a[open_] + b[open_]) // 2
+                before = column[middle] < least[open_]
+                a[open_[before]] = middle[before] + 1
+                b[open_[~before]] = middle[~before]
+            ends.append(a)
+        low, high = ends
     return low, high
 
 
+def _frequent(suffixes: np.ndarray, times: np.ndarray, column: int, least: int) -> np.ndarray:
+    """Whether a suffix has a word at ``column`` that all suffixes have there ``least`` times: others are in no frequent phrase as long."""
+    word = suffixes[:, column]
+    return (word > 0) & (np.bincount(word, weights=times)[word] >= least) if len(word) else np.zeros(0, dtype=bool)
+
+
 _COUNTED = "lang string, phrase string, size int, a long, lefts array<long>"
 
 
@@ -258,15 +277,17 @@ def _counted(routed: DataFrame, params: PhraseParams) -> DataFrame:
             suffixes, times = [], []
             for words, packed, n in zip(part["words"], part["suffixes"], part["times"], strict=True):
                 listed = words.split(b" ")
-                ids = np.fromiter((number.setdefault(w, len(number)) for w in listed), dtype=np.int32, count=len(listed))
+                new = [w for w in listed if w not in number]
+                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+                ids = np.fromiter(map(number.__getitem__, listed), dtype=np.int32, count=len(listed))
                 suffixes.append(ids[np.frombuffer(packed, dtype=np.uint16 if len(listed) < 65536 else np.int32)].reshape(-1, params.most_words))
                 times.append(np.frombuffer(n, dtype=np.uint8 if len(n) == len(suffixes[-1]) else np.int64).astype(np.int64))
-            words = np.array([w.decode() for w in number], dtype=object)
-            for phrases, counts in sorted_counts(np.concatenate(suffixes), np.concatenate(times), params.least, int(whole_from)):
+            listed = list(number)
+            rows, often = np.concatenate(suffixes), np.concatenate(times)
+            wanted = _frequent(rows, often, int(whole_from) - 1, params.least)
+            for phrases, counts in sorted_counts(rows[wanted], often[wanted], params.least, int(whole_from)):
                 size = phrases.shape[1]
-                text = words[phrases[:, 0]]
-                for k in range(1, size):
-                    text = text + " " + words[phrases[:, k]]
+                text = [b" ".join([listed[i] for i in p]).decode() for p in phrases.tolist()]
                 lefts = [[None if k < whole_from - 1 else int(c) for k, c in enumerate(row)] for row in counts[:, :-1].tolist()]
                 out.append(pd.DataFrame({"lang": name, "phrase": text, "size": size, "a": counts[:, -1], "lefts": pd.Series(lefts, dtype=object)}))
         return pd.concat(out).astype({"lang": object}) if out else pd.DataFrame(columns=["lang", "phrase", "size", "a", "lefts"], dtype=object)

@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rolecall.llm import collocations
@@ -97,3 +98,32 @@ def test_wide_numbers_are_added_up():
     starts = np.flatnonzero(ids)
     few, many = collocations.added_up(ids, starts, 3, 4), collocations.added_up(ids, starts, 3, 1 << 22)
     assert np.array_equal(few[0], many[0]) and np.array_equal(few[1], many[1]) and few[1].sum() == len(starts)
+
+
+def test_hot_prefixes_are_found_by_numbers(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = np.unique(rng.integers(0, 9, (2000, 3)).astype(np.int32), axis=0)
+    for depth in (1, 2):
+        prefixes = np.array(sorted({tuple(r) for r in rng.integers(0, 12, (60, depth)).tolist()}))
+        low, high = collocations._span(rows, prefixes)
+        for p, a, b in zip(prefixes, low.tolist(), high.tolist(), strict=True):
+            assert np.array_equal(np.flatnonzero((rows[:, :depth] == p).all(axis=1)), np.arange(a, b))
+    # a chunk spells out the hot prefixes that it has, not every prefix
+    spelt = []
+    monkeypatch.setattr(collocations.Chunk, "phrase", lambda chunk, numbers: spelt.append(tuple(numbers)) or b" ".join(chunk.words[i] for i in numbers.tolist()))
+    docs = pd.DataFrame({"lang": "en", "text": [" ".join(f"w{i} v{i} the end" for i in range(3000))]})
+
+    class Rows:
+        def mapInPandas(self, route, schema):
+            return pd.concat(list(route(iter([docs]))))
+
+    routed = collocations._routed(Rows(), {"en": {b"the", b"the end", b"not here", b"nowhere"}}, 5, PhraseParams())
+    assert len(spelt) == 2 and {(r.words, r.n) for r in routed.itertuples() if r.bucket < 0} == {(b"the", 3000), (b"the end", 3000)}
+
+
+def test_suffixes_of_rare_words_are_not_sorted():
+    suffixes = np.array([[1, 2, 3], [1, 4, 0], [5, 2, 3], [1, 2, 0], [6, 0, 0]], dtype=np.int32)
+    times = np.array([4, 3, 2, 4, 9])
+    assert collocations._frequent(suffixes, times, 0, 9).tolist() == [True, True, False, True, True]
+    assert collocations._frequent(suffixes, times, 1, 8).tolist() == [True, False, True, True, False]
+    assert collocations._frequent(suffixes[:0], times[:0], 0, 1).tolist() == []
