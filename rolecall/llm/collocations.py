@@ -220,6 +220,7 @@ def _routed(rows: DataFrame, hot: dict[str, set[bytes]], buckets: int, params: P
                     hot_here = np.cumsum(edge[:-1]) > 0
                     whole_from[open_ & ~hot_here] = k
                     open_ &= hot_here
+                chunk.number = {}  # not needed any more
                 bucket = (place % np.uint64(buckets)).astype(np.int64)
                 group = bucket * (depth + 1) + whole_from
                 order = np.argsort(group, kind="stable")
@@ -232,6 +233,7 @@ def _routed(rows: DataFrame, hot: dict[str, set[bytes]], buckets: int, params: P
                     kind = np.uint16 if len(used) < 65536 else np.int32
                     out.append((name, int(bucket[at[0]]), int(whole_from[at[0]]), b" ".join([chunk.words[i] for i in used.tolist()]), numbers.astype(kind).tobytes(), _packed(chunk.times[at]), 0))
                 yield pd.DataFrame(out, columns=["lang", "bucket", "whole_from", "words", "suffixes", "times", "n"]).astype({"lang": object})
+                del chunk, out  # before the next one is made
 
     return rows.mapInPandas(route, "lang string, bucket long, whole_from int, words binary, suffixes binary, times binary, n long")
 
@@ -284,8 +286,10 @@ def _counted(routed: DataFrame, params: PhraseParams) -> DataFrame:
                 times.append(np.frombuffer(n, dtype=np.uint8 if len(n) == len(suffixes[-1]) else np.int64).astype(np.int64))
             listed = list(number)
             rows, often = np.concatenate(suffixes), np.concatenate(times)
+            del number, suffixes, times
             wanted = _frequent(rows, often, int(whole_from) - 1, params.least)
-            for phrases, counts in sorted_counts(rows[wanted], often[wanted], params.least, int(whole_from)):
+            rows, often = rows[wanted], often[wanted]
+            for phrases, counts in sorted_counts(rows, often, params.least, int(whole_from)):
                 size = phrases.shape[1]
                 text = [b" ".join([listed[i] for i in p]).decode() for p in phrases.tolist()]
                 lefts = [[None if k < whole_from - 1 else int(c) for k, c in enumerate(row)] for row in counts[:, :-1].tolist()]
